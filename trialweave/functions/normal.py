@@ -5,12 +5,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_erf = np.vectorize(__import__("math").erf, otypes=[float])
 
 
 def _cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + _erf(x / np.sqrt(2.0)))
+    from statistics import NormalDist
+
+    cdf = NormalDist().cdf
+    return np.array([cdf(float(v)) for v in x], dtype=float)
 
 
 def _quantile(p: np.ndarray) -> np.ndarray:
@@ -25,11 +28,11 @@ def _quantile(p: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return pd.Series(_cdf(x.to_numpy(dtype=float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return pd.Series(_quantile(p.to_numpy(dtype=float)))

@@ -11,8 +11,12 @@ def col(c) -> Column:
 
 
 def r6(c) -> Column:
-    """Report rounding: six decimals, never a negative zero."""
-    return F.round(col(c).cast("double"), 6) + F.lit(0.0)
+    """Report rounding: six decimals, never a negative zero.
+
+    The small nudge sends decimal halves (0.0000005) the same way whatever the last bit
+    of a distributed sum.
+    """
+    return F.round(col(c).cast("double") + F.lit(1e-10), 6) + F.lit(0.0)
 
 
 def clamp(c, bound: float) -> Column:

@@ -99,25 +99,25 @@ def scan(df: DataFrame, keys: list[str], chunk, order: list[str], **steps: Step)
     ``chunk`` must never decrease along ``order`` inside a key, and ``order`` must
     be a total order inside a key.
     """
-    base = df.withColumn("_chunk", col(chunk))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    outer = Window.partitionBy(*keys).orderBy("_chunk")
+    base = df.withColumn("_scan_chunk", col(chunk))
+    inner = Window.partitionBy(*keys, "_scan_chunk").orderBy(*order)
+    outer = Window.partitionBy(*keys).orderBy("_scan_chunk")
     at = F.struct(*[F.col(o) for o in order])
 
-    local = base.withColumns({f"_l_{n}": s.local(inner) for n, s in steps.items()} | {"_rn": F.row_number().over(inner)})
-    summary = base.groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_size"), *[s.summary(at).alias(f"_s_{n}") for n, s in steps.items()]
+    local = base.withColumns({f"_l_{n}": s.local(inner) for n, s in steps.items()} | {"_scan_rn": F.row_number().over(inner)})
+    summary = base.groupBy(*keys, "_scan_chunk").agg(
+        F.count(F.lit(1)).alias("_scan_size"), *[s.summary(at).alias(f"_s_{n}") for n, s in steps.items()]
     )
     carry = summary.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        "_size",
+        F.col("_scan_chunk").alias("_k_scan_chunk"),
+        "_scan_size",
         *[s.carry(F.col(f"_s_{n}"), outer).alias(f"_c_{n}") for n, s in steps.items()],
     )
-    on = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
+    on = F.col("_scan_chunk").eqNullSafe(F.col("_k_scan_chunk"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    first, last = F.col("_rn") == 1, F.col("_rn") == F.col("_size")
+    first, last = F.col("_scan_rn") == 1, F.col("_scan_rn") == F.col("_scan_size")
     joined = local.join(carry, on, "inner")
     done = {n: s.merge(F.col(f"_l_{n}"), F.col(f"_c_{n}"), first, last) for n, s in steps.items()}
     return joined.select(*df.columns, *[c.alias(n) for n, c in done.items()])
