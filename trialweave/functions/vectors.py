@@ -76,3 +76,10 @@ def sum_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "total", co
     long = df.select(*keys, F.posexplode(vec).alias("_dim", "_v"))
     sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
     return to_vector(sums, keys, "_dim", "_s", out, **{count: F.max("_n")})
+
+
+def sum_vectors_weighted(df: DataFrame, keys: list[str], vec: str, n: str, out: str, out_n: str) -> DataFrame:
+    """Sum of partial sums: vectors added, their counts added."""
+    long = df.select(*keys, F.col(n).alias("_n"), F.posexplode(vec).alias("_dim", "_v"))
+    sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.sum("_n").alias("_c"))
+    return to_vector(sums, keys, "_dim", "_s", out, **{out_n: F.max("_c")})

@@ -132,17 +132,16 @@ def distribution(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -
     """(keys, value, n, cum, total): counts of each distinct value and their running sum.
 
     Ranks, percentiles, medians and step-up adjustments all read this table. Equal
-    values are merged first; chunk edges are approximate quantiles, which decide
-    only the balance of the work, never the result. They are written once so that
-    a recomputed task sees the same edges.
+    values are merged first and written, so the input is read once. Chunk edges are
+    approximate quantiles of the distinct values, which decide only the balance of
+    the work, never the result; they are written too, so that a recomputed task sees
+    the same edges.
     """
     present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
     levels = F.array(*[F.lit((i + 1) / chunks) for i in range(chunks - 1)])
     edges = durable(
-        present.groupBy(*keys).agg(
-            F.percentile_approx(value, levels, F.lit(1000)).alias("_edges"), F.count(F.lit(1)).alias("total")
-        )
+        counts.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(1000)).alias("_edges"), F.sum("n").alias("total"))
     )
     if keys:
         cut = counts.join(edges, keys)

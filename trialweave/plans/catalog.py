@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import joins, rows  # noqa: F401
+from . import joins, rows, series, trials  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
