@@ -48,3 +48,10 @@ def seeded_key(seed, *parts) -> Column:
 def seeded_chunk(key, hex_digits: int = 2) -> Column:
     """Leading hex digits of a seeded key: an even split that keeps the key order."""
     return F.substring(col(key), 1, hex_digits)
+
+
+def pearson(a, b) -> Column:
+    """Correlation aggregate that is NULL, not an error, where a side has no variance."""
+    a, b = col(a), col(b)
+    sd = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.covar_pop(a, b) / F.nullif(sd, F.lit(0.0))

@@ -15,7 +15,7 @@ def bh_fdr(df: DataFrame, family: list[str], p: str, out: str = "q") -> DataFram
     distinct values however many tests there are. q is the smallest p*m/rank from
     there on, which needs only a suffix minimum over chunks of p.
     """
-    dist = distribution(df, family, p).withColumn("_raw", F.col(p) * F.col("total") / F.col("cum"))
+    dist = distribution(df, family, p).withColumn("_raw", F.col(p) * F.col("_total") / F.col("_cum"))
     # Halves of the unit interval by magnitude keep the chunks in order and the small p values apart.
     chunk = F.floor(F.log2(F.greatest(F.col(p), F.lit(1e-300))) * 8)
     adj = scan(dist, family, chunk, [p], _min=min_from_here("_raw"))
@@ -31,7 +31,7 @@ def bh_fdr_with_placeholders(df: DataFrame, family: list[str], p: str, failed: s
 
 def fwe_threshold(maxima: DataFrame, keys: list[str], value: str, alpha: float = 0.05) -> DataFrame:
     """The ceil((1-alpha)(n+1))-th smallest of the null maxima."""
-    rank = F.ceil(F.lit(1 - alpha) * (F.col("total") + 1))
+    rank = F.ceil(F.lit(1 - alpha) * (F.col("_total") + 1))
     return distribution(maxima, keys, value).groupBy(*keys).agg(value_at(rank, value).alias("threshold"))
 
 
@@ -71,9 +71,9 @@ def p_pooled(observed: DataFrame, null: DataFrame, value: str) -> DataFrame:
     from .ordered import running_sum
 
     merged = both.groupBy("_v").agg(F.sum("_w").alias("_w"))
-    cut = distribution(merged, [], "_v").select("_v", "cum")
+    cut = distribution(merged, [], "_v").select("_v", "_cum")
     merged = merged.join(cut, "_v")
-    placed = scan(merged, [], F.floor(F.col("cum") / 65536), ["_v"], _through=running_sum("_w"))
+    placed = scan(merged, [], F.floor(F.col("_cum") / 65536), ["_v"], _through=running_sum("_w"))
     size = null.agg(F.count(F.lit(1)).alias("_n"))
     p = placed.join(size, F.lit(True)).select(
         F.col("_v").alias(value), ((F.col("_n") - F.col("_through") + F.col("_w")) / F.col("_n")).alias("p")

@@ -26,3 +26,253 @@ def first_component(df: DataFrame, vec: str, keep: list[str]) -> DataFrame:
     weights = [float(v) for v in model.pc.toArray()[:, 0]]
     sign = 1.0 if max(weights, key=abs) > 0 else -1.0
     return model.transform(data).select(*keep, (vector_to_array("_p")[0] * sign).alias("score"))
+
+
+def best_candidate(df: DataFrame, keys: list[str], order: str, score: str, tolerance: float = 1e-12) -> DataFrame:
+    """First candidate, in candidate order, within the tolerance of the best score."""
+    best = df.groupBy(*keys).agg(F.max(score).alias("_best"))
+    near = df.join(best, keys).where(F.col(score) >= F.col("_best") - tolerance)
+    return near.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("_w")).select(
+        *keys, *[F.col(f"_w.{c}").alias(c) for c in df.columns if c not in keys]
+    )
+
+
+def class_moments(units: DataFrame, keys: list[str], block: str, label: str, vec: str) -> DataFrame:
+    """(keys, block, label, n, s, ss): sums and sums of products per block and class.
+
+    Tasks add up their own units with numpy and send one row per (key, block, class);
+    the partial sums are then added by Spark.
+    """
+    import pandas as pd
+
+    by = [*keys, block, label]
+    slim = units.select(*by, vec)
+
+    def partial(batches):
+        import numpy as np
+
+        held: dict = {}
+        for batch in batches:
+            for key, part in batch.groupby(by, sort=False):
+                x = np.stack(part[vec].to_numpy())
+                n, s, ss = held.get(key, (0, 0.0, 0.0))
+                held[key] = (n + len(x), s + x.sum(0), ss + (x.T @ x)[np.triu_indices(x.shape[1])])
+        rows = [(*k, n, s.tolist(), ss.tolist()) for k, (n, s, ss) in held.items()]
+        yield pd.DataFrame(rows, columns=[*by, "n", "s", "ss"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in by)
+    parts = slim.mapInPandas(partial, f"{head}, n bigint, s array<double>, ss array<double>")
+    a = vectors.sum_vectors_weighted(parts, by, "s", "n", "s", "n")
+    b = vectors.sum_vectors_weighted(parts, by, "ss", "n", "ss", "_n2").drop("_n2")
+    return a.join(b, by)
+
+
+def lda_weights(moments: DataFrame, keys: list[str], gammas: list[float]) -> DataFrame:
+    """(keys, gamma, candidate, w, b) of shrunken linear discriminants with equal priors.
+
+    One group holds one row per class: its sums, whatever the number of units was.
+    """
+    import pandas as pd
+
+    cols = [*keys, "label", "n", "s", "ss"]
+
+    def solve(pdf):
+        import numpy as np
+
+        d = len(pdf["s"].iloc[0])
+        n = pdf["n"].to_numpy(dtype=float)
+        means = np.stack(pdf["s"].to_numpy()) / n[:, None]
+        total = np.zeros((d, d))
+        total[np.triu_indices(d)] = np.sum(np.stack(pdf["ss"].to_numpy()), axis=0)
+        total = total + np.triu(total, 1).T
+        pooled = (total - (means * n[:, None]).T @ means) / max(n.sum() - len(n), 1)
+        rows = []
+        for gamma in gammas:
+            cov = (1 - gamma) * pooled + gamma * np.diag(np.diag(pooled))
+            w = np.linalg.pinv(cov) @ means.T
+            for c, label in enumerate(pdf["label"]):
+                rows.append((*[pdf[k].iloc[0] for k in keys], gamma, int(label), w[:, c].tolist(), float(-0.5 * means[c] @ w[:, c])))
+        return pd.DataFrame(rows, columns=[*keys, "gamma", "candidate", "w", "b"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moments.schema if f.name in keys)
+    return moments.select(*cols).groupBy(*keys).applyInPandas(solve, f"{head}, gamma double, candidate int, w array<double>, b double")
+
+
+def train_moments(moments: DataFrame, keys: list[str], block: str) -> DataFrame:
+    """Moments of every training set that leaves one block out: total minus own block."""
+    def roll(vec):
+        return vectors.sum_vectors_weighted(moments, [*keys, "label"], vec, "n", f"t_{vec}", "t_n")
+
+    total = roll("s").join(roll("ss").drop("t_n"), [*keys, "label"])
+    blocks = moments.select(*keys, block).distinct()
+    grid = blocks.join(total, keys) if keys else blocks.join(total, F.lit(True))  # folds x classes
+    own = moments.select(*keys, block, "label", F.col("n").alias("o_n"), F.col("s").alias("o_s"), F.col("ss").alias("o_ss"))
+    g = grid.join(own, [*keys, block, "label"], "left")
+
+    def less(a, b):
+        return F.when(F.col(b).isNull(), F.col(a)).otherwise(vectors.subtract(a, b))
+
+    return g.select(
+        *keys, block, "label", (F.col("t_n") - F.coalesce("o_n", F.lit(0))).alias("n"), less("t_s", "o_s").alias("s"), less("t_ss", "o_ss").alias("ss")
+    ).where("n > 0")
+
+
+def linear_predict(tests: DataFrame, weights: DataFrame, on: list[str], by: list[str], unit: str, truth: str, vec: str) -> DataFrame:
+    """Class with the largest linear score; ties to the smallest class."""
+    scored = tests.join(weights, on).withColumn("_s", F.round(vectors.dot(vec, "w") + F.col("b"), 10))
+    return scored.groupBy(*dict.fromkeys([*on, *by]), unit, truth).agg(
+        F.max_by("candidate", F.struct("_s", (-F.col("candidate")).alias("c"))).alias("predicted")
+    )
+
+
+def lda_cross_validate(units: DataFrame, keys: list[str], unit: str, block: str, label: str, vec: str, gammas: list[float]) -> DataFrame:
+    """(keys, block, gamma, unit, label, predicted) leaving one block out."""
+    m = class_moments(units, keys, block, label, vec).withColumnRenamed(label, "label")
+    w = lda_weights(train_moments(m, keys, block), [*keys, block], gammas)
+    return linear_predict(units.select(*keys, block, unit, label, vec), w, [*keys, block], ["gamma"], unit, label, vec)
+
+
+def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, held: dict[str, list], models: list[dict], rounds: int = 8) -> DataFrame:
+    """Linear support vector machines for many training sets at once.
+
+    ``models`` lists dicts with the two classes, the cost and, per held-out column in
+    ``held``, the value left out (None = nothing). Squared hinge loss is minimised by
+    Newton steps. A step is one pass: each task adds gradient and curvature of its own
+    units for every model and key; the sums are joined by Spark and only the weights,
+    whose number is models x keys x features, come back for the next step.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = units.sparkSession
+    slim = units.select(*keys, label, vec, *held)
+    width = slim.select(F.size(vec).alias("d")).first()["d"] + 1
+    state: dict = {}
+    iu = np.triu_indices(width)
+
+    def one_pass(weights):
+        shared = spark.sparkContext.broadcast(weights)
+
+        def partial(batches):
+            held_sums: dict = {}
+            for batch in batches:
+                for key, part in batch.groupby(keys, sort=False):
+                    key = key if isinstance(key, tuple) else (key,)
+                    x = np.column_stack([np.stack(part[vec].to_numpy()), np.ones(len(part))])
+                    y_all = part[label].to_numpy()
+                    for m, spec in enumerate(models):
+                        use = np.isin(y_all, spec["classes"])
+                        for c in held:
+                            if spec[c] is not None:
+                                use &= ~np.isin(part[c].to_numpy(), spec[c])
+                        xs, ys = x[use], np.where(y_all[use] == spec["classes"][0], 1.0, -1.0)
+                        w = shared.value.get((key, m), np.zeros(width))
+                        margin = 1 - ys * (xs @ w)
+                        active = margin > 0
+                        xa = xs[active]
+                        g = -2 * spec["cost"] * (xa * (ys[active] * margin[active])[:, None]).sum(0)
+                        h = 2 * spec["cost"] * (xa.T @ xa)[iu]
+                        old = held_sums.get((key, m))
+                        held_sums[(key, m)] = (g, h) if old is None else (old[0] + g, old[1] + h)
+            rows = [(*k, m, np.concatenate([g, h]).tolist()) for (k, m), (g, h) in held_sums.items()]
+            yield pd.DataFrame(rows, columns=[*keys, "model", "sums"])
+
+        head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+        parts = slim.mapInPandas(partial, f"{head}, model int, sums array<double>")
+        return vectors.sum_vectors(parts, [*keys, "model"], "sums", "sums", "_n").drop("_n")
+
+    for _ in range(rounds):
+        new = {}
+        for row in one_pass(state).toLocalIterator():  # one short row per model and key
+            key = (tuple(row[k] for k in keys), row["model"])
+            sums = np.asarray(row["sums"])
+            w = state.get(key, np.zeros(width))
+            reg = np.eye(width)
+            reg[-1, -1] = 1e-6
+            h = np.zeros((width, width))
+            h[iu] = sums[width:]
+            h = h + np.triu(h, 1).T + reg
+            new[key] = w - np.linalg.solve(h, sums[:width] + reg @ w)
+        done = bool(state) and max(float(np.abs(new[k] - state[k]).max()) for k in new) < 1e-9
+        state = new
+        if done:
+            break
+    rows = [(*k, m, models[m]["classes"][0], models[m]["classes"][1], w[:-1].tolist(), float(w[-1])) for (k, m), w in state.items()]
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+    return spark.createDataFrame(rows, f"{head}, model int, first int, second int, w array<double>, b double")
+
+
+def vote(tests: DataFrame, machines: DataFrame, on: list[str], by: list[str], unit: str, truth: str, vec: str) -> DataFrame:
+    """One vote per class pair; the most votes win, ties to the smallest class."""
+    scored = tests.join(machines, on).withColumn("candidate", F.when(vectors.dot(vec, "w") + F.col("b") > 0, F.col("first")).otherwise(F.col("second")))
+    group = list(dict.fromkeys([*on, *by]))
+    votes = scored.groupBy(*group, unit, truth, "candidate").agg(F.count(F.lit(1)).alias("_v"))
+    return votes.groupBy(*group, unit, truth).agg(F.max_by("candidate", F.struct("_v", (-F.col("candidate")).alias("c"))).alias("predicted"))
+
+
+def class_pairs(classes: list[int]) -> list[list[int]]:
+    return [[a, b] for n, a in enumerate(classes) for b in classes[n + 1:]]
+
+
+def svm_cross_validate(units: DataFrame, keys: list[str], unit: str, block: str, label: str, vec: str, classes: list[int], cost: float) -> DataFrame:
+    """One-against-one voting, leaving one block out; all folds and pairs are fitted together."""
+    blocks = sorted(r[0] for r in units.select(block).distinct().collect())  # recording blocks: tens
+    models = [{"classes": p, "cost": cost, block: [b]} for b in blocks for p in class_pairs(classes)]
+    fitted = fit_linear_svms(units, keys, vec, label, {block: []}, models)
+    left = F.array(*[F.lit(m[block][0]) for m in models])
+    fitted = fitted.withColumn(block, F.element_at(left, F.col("model") + 1).cast(units.schema[block].dataType))
+    return vote(units.select(*keys, block, unit, label, vec), fitted, [*keys, block], [], unit, label, vec)
+
+
+GAMMAS = [0.0, 0.25, 0.5, 0.75, 1.0]
+COSTS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
+
+
+def nested_selection(
+    units: DataFrame, keys: list[str], unit: str, block: str, fold: str, label: str, vec: str, classes: list[int],
+    gammas: list[float] = GAMMAS, costs: list[float] = COSTS,
+) -> DataFrame:
+    """(keys, fold, candidate, n_units, accuracy, balanced_accuracy): inner folds choose, the outer fold is scored once.
+
+    Inner folds are the other outer folds. A candidate is a shrinkage (1..) or a cost
+    (after them); the first within 1e-12 of the best mean balanced accuracy wins.
+    """
+    from ..session import durable
+    from .summaries import accuracy
+
+    folds = sorted(r[0] for r in units.select(fold).distinct().collect())
+    units = durable(units.select(*keys, unit, fold, label, vec))
+    # Moments of each training set: all folds but the outer and, inside, but one more.
+    m = durable(class_moments(units, keys, fold, label, vec).withColumnRenamed(label, "label"))
+    outer = F.explode(F.array(*[F.lit(f) for f in folds]))
+    rest = m.withColumn("outer", outer.cast(m.schema[fold].dataType)).where(F.col(fold) != F.col("outer"))
+    inner_w = lda_weights(train_moments(rest, [*keys, "outer"], fold), [*keys, "outer", fold], gammas)
+    tests = units.withColumn("outer", outer.cast(m.schema[fold].dataType)).where(F.col(fold) != F.col("outer"))
+    inner = linear_predict(tests, inner_w, [*keys, "outer", fold], ["gamma"], unit, label, vec)
+    rank = F.array_position(F.array(*[F.lit(g) for g in gammas]), F.col("gamma")).cast("int")
+    inner = inner.withColumn("candidate", rank).drop("gamma")
+    outer_w = lda_weights(train_moments(m, keys, fold), [*keys, fold], gammas)
+    final = linear_predict(units, outer_w, [*keys, fold], ["gamma"], unit, label, vec).withColumn("candidate", rank).drop("gamma")
+
+    specs, place = [], []
+    for n, c in enumerate(costs):
+        for o in folds:
+            for p in class_pairs(classes):
+                specs.append({"classes": p, "cost": c, fold: [o]})
+                place.append((len(gammas) + n + 1, o, o))
+                for i in folds:
+                    if i != o:
+                        specs.append({"classes": p, "cost": c, fold: [o, i]})
+                        place.append((len(gammas) + n + 1, o, i))
+    machines = durable(fit_linear_svms(units, keys, vec, label, {fold: []}, specs))
+    lookup = F.array(*[F.struct(F.lit(a).alias("candidate"), F.lit(o).alias("outer"), F.lit(i).alias(fold)) for a, o, i in place])
+    at = machines.withColumn("_p", F.element_at(lookup, F.col("model") + 1)).select(*keys, "first", "second", "w", "b", "_p.candidate", "_p.outer", f"_p.{fold}")
+    svm_inner = vote(tests, at.where(F.col("outer") != F.col(fold)), [*keys, "outer", fold], ["candidate"], unit, label, vec)
+    svm_final = vote(units, at.where(F.col("outer") == F.col(fold)).drop("outer"), [*keys, fold], ["candidate"], unit, label, vec)
+
+    inner = inner.unionByName(svm_inner)
+    scores = accuracy(inner, [*keys, "outer", fold, "candidate"], label, "predicted")
+    mean = scores.groupBy(*keys, "outer", "candidate").agg(F.avg("balanced_accuracy").alias("score"))
+    chosen = best_candidate(mean, [*keys, "outer"], "candidate", "score").select(*keys, F.col("outer").alias(fold), "candidate")
+    final = final.unionByName(svm_final).join(chosen, [*keys, fold, "candidate"])
+    return accuracy(final, [*keys, fold, "candidate"], label, "predicted")

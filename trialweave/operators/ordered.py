@@ -129,7 +129,7 @@ def number_rows(df: DataFrame, keys: list[str], chunk, order: list[str], out: st
 
 
 def distribution(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
-    """(keys, value, n, cum, total): counts of each distinct value and their running sum.
+    """(keys, value, _n, _cum, _total): counts of each distinct value and their running sum.
 
     Ranks, percentiles, medians and step-up adjustments all read this table. Equal
     values are merged first and written, so the input is read once. Chunk edges are
@@ -138,10 +138,10 @@ def distribution(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -
     the same edges.
     """
     present = df.where(F.col(value).isNotNull())
-    counts = durable(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")))
+    counts = durable(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     levels = F.array(*[F.lit((i + 1) / chunks) for i in range(chunks - 1)])
     edges = durable(
-        counts.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(1000)).alias("_edges"), F.sum("n").alias("total"))
+        counts.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(1000)).alias("_edges"), F.sum("_n").alias("_total"))
     )
     if keys:
         cut = counts.join(edges, keys)
@@ -149,12 +149,12 @@ def distribution(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -
         cut = counts.join(edges, F.lit(True))  # a one-row table: the edges of the whole input
     place = F.size(F.filter("_edges", lambda e: e < F.col(value)))
     cut = cut.withColumn("_place", place).drop("_edges")
-    return scan(cut, keys, "_place", [value], cum=running_sum("n")).drop("_place")
+    return scan(cut, keys, "_place", [value], _cum=running_sum("_n")).drop("_place")
 
 
 def value_at(rank: Column, value: str) -> Column:
     """Aggregate over a ``distribution``: the value holding the given 1-based rank."""
-    return F.min(F.when(F.col("cum") >= rank, F.col(value)))
+    return F.min(F.when(F.col("_cum") >= rank, F.col(value)))
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
@@ -163,7 +163,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     ``linear`` interpolates on 1 + (n-1)p; ``midpoint`` puts the k-th value at (k-0.5)/n.
     """
     dist = distribution(df, keys, value)
-    n = F.col("total")
+    n = F.col("_total")
     columns, finish = [], {}
     for name, p in probs.items():
         pos = (n - 1) * F.lit(p) + 1 if rule == "linear" else F.greatest(F.lit(1.0), F.least(n * F.lit(p) + 0.5, n * F.lit(1.0)))
@@ -181,6 +181,6 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 def tied_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Average rank of equal values, joined back to the rows."""
     ranks = distribution(df, keys, value).select(
-        *keys, value, (F.col("cum") - (F.col("n") - 1) / 2.0).alias(out)
+        *keys, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(out)
     )
     return df.join(ranks, [*keys, value], "left")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import col, finite
+from ..functions.stats import col, finite, pearson
 
 # The ten censoring rules (id, kind, displacement mm, robust z).
 RULES = [
@@ -86,7 +86,7 @@ def coverage_preflight(runs: DataFrame, edges_ok: str, last_edge: str, before_la
 def task_locking(df: DataFrame, keys: list[str], columns: list[str], events: list[str]) -> DataFrame:
     """(keys, c, ev, r): correlation of each column with each event indicator, in one pass."""
     cells = [(c, e) for c in columns for e in events]
-    wide = df.groupBy(*keys).agg(*[F.corr(c, e).alias(f"{c}|{e}") for c, e in cells])
+    wide = df.groupBy(*keys).agg(*[pearson(c, e).alias(f"{c}|{e}") for c, e in cells])
     packed = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(e).alias("ev"), F.col(f"`{c}|{e}`").alias("r")) for c, e in cells])
     return wide.select(*keys, F.explode(packed).alias("_x")).select(*keys, "_x.c", "_x.ev", "_x.r")
 
@@ -95,7 +95,7 @@ def degenerate_columns(df: DataFrame, keys: list[str], columns: list[str], tiny:
     """(keys, a, b, problem): constant columns and pairs with |r| above 1 - 1e-10."""
     sds = [F.stddev_samp(c).alias(f"s|{c}") for c in columns]
     pairs = [(a, b) for n, a in enumerate(columns) for b in columns[n + 1:]]
-    rs = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+    rs = [pearson(a, b).alias(f"{a}|{b}") for a, b in pairs]
     wide = df.groupBy(*keys).agg(*sds, *rs)
     flat = [F.struct(F.lit(c).alias("a"), F.lit(None).cast("string").alias("b"), F.when(F.col(f"`s|{c}`") <= tiny, "constant").alias("problem")) for c in columns]
     near = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.abs(F.col(f"`{a}|{b}`")) > 1 - 1e-10, "collinear").alias("problem")) for a, b in pairs]
@@ -147,7 +147,7 @@ def drift_flags(df: DataFrame, keys: list[str], t: str, value: str, limit: float
     """Correlation with time, flag above the limit, and range over interquartile range."""
     from .ordered import percentiles
 
-    base = df.groupBy(*keys).agg(F.corr(value, t).alias("r_time"), (F.max(value) - F.min(value)).alias("_range"))
+    base = df.groupBy(*keys).agg(pearson(value, t).alias("r_time"), (F.max(value) - F.min(value)).alias("_range"))
     q = percentiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     return base.join(q, keys).select(
         *keys, "r_time", (F.abs("r_time") > limit).alias("drift"),

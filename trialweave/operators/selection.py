@@ -24,7 +24,7 @@ def encode_numbers(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     from .ordered import distribution
 
     values = df.select(label).distinct()
-    codes = distribution(values, [], label).select(label, F.col("cum").alias(out))
+    codes = distribution(values, [], label).select(label, F.col("_cum").alias(out))
     return df.join(codes, label)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import clamp, col
+from ..functions.stats import clamp, col, pearson
 from ..session import durable
 from .ordered import percentiles
 
@@ -147,6 +147,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def correlations(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, a, b, r) for every pair of a short list of columns, in one pass."""
     named = [(a, b) for n, a in enumerate(columns) for b in columns[n:]]
-    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in named])
+    wide = df.groupBy(*keys).agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in named])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in named])
     return wide.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.a", "_c.b", "_c.r")

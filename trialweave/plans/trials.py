@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import r6
+from ..functions.stats import pearson, r6
 from ..session import durable
 from ..operators import learners, ordered, patterns, quality, selection, spatial, summaries, timeseries
 from ..sources import views as V
@@ -249,7 +249,7 @@ def _summary(q, keys, columns, corr_where):
     pair = (F.col("fd"), F.col("dvars"))
     if corr_where is not None:
         pair = tuple(F.when(corr_where, c) for c in pair)
-    out = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), r6(F.max("fd")).alias("fd_max"), r6(F.corr(*pair)).alias("fd_dvars_r"))
+    out = q.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"), r6(F.max("fd")).alias("fd_max"), r6(pearson(*pair)).alias("fd_dvars_r"))
     for c in columns:
         p = ordered.percentiles(q, keys, c, {f"{c}_{n}": v for n, v in QS.items()})
         p = p.withColumns({f"{c}_{n}": r6(f"{c}_{n}") for n in QS})
@@ -276,7 +276,7 @@ def participant_summary(spark, sf):
 SELECT subject, {rnd('tanh(avg(atanh(greatest(least(r, 0.999999), -0.999999))))', 'mean_r')} FROM r GROUP BY subject""",
 )
 def fisher_mean(spark, sf):
-    r = V.ratings(spark, sf).groupBy("subject", "item", "context").agg(F.corr("m1", "m2").alias("r"))
+    r = V.ratings(spark, sf).groupBy("subject", "item", "context").agg(pearson("m1", "m2").alias("r"))
     return r.groupBy("subject").agg(r6(summaries.fisher_mean("r", 0.999999)).alias("mean_r"))
 
 
@@ -370,7 +370,7 @@ SELECT CAST(run % 5 AS INT) AS subject, CAST(sum(n) AS BIGINT) AS n_frames, CAST
 )
 def confound_subject_summary(spark, sf):
     r = motion_qc(spark, sf).groupBy("run").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if((F.col("fd") > 0.5) | (F.col("z") > 5)).alias("bad"), F.corr("fd", "frame").alias("drift")
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("fd") > 0.5) | (F.col("z") > 5)).alias("bad"), pearson("fd", "frame").alias("drift")
     )
     width = F.col("bad") + 27
     return r.groupBy((F.col("run") % 5).cast("int").alias("subject")).agg(
