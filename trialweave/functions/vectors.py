@@ -67,19 +67,29 @@ def to_vector(df: DataFrame, keys: list[str], dim: str, value: str, out: str, **
     )
 
 
-def sum_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "total", count: str = "n") -> DataFrame:
-    """Element-wise sum and row count per key.
+NARROW = 128  # up to this width a vector sum is one aggregate column per element
 
-    The exploded elements are combined on the map side, so the shuffle carries
-    (keys x width) rows per task however many vectors a hot key holds.
+
+def sum_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "total", count: str = "n", width: int | None = None) -> DataFrame:
+    """Element-wise sum and row count per key, combined on the map side.
+
+    With a known narrow width the elements are summed as plain columns: one shuffle of
+    one row per key and task. Otherwise elements are exploded first, so the shuffle
+    carries (keys x width) rows per task however many vectors a hot key holds.
     """
+    if width and width <= NARROW:
+        sums = F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) for i in range(width)])
+        return df.groupBy(*keys).agg(sums.alias(out), F.count(F.lit(1)).alias(count))
     long = df.select(*keys, F.posexplode(vec).alias("_dim", "_v"))
     sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
     return to_vector(sums, keys, "_dim", "_s", out, **{count: F.max("_n")})
 
 
-def sum_vectors_weighted(df: DataFrame, keys: list[str], vec: str, n: str, out: str, out_n: str) -> DataFrame:
+def add_sums(df: DataFrame, keys: list[str], vec: str, n: str, out: str, out_n: str, width: int | None = None) -> DataFrame:
     """Sum of partial sums: vectors added, their counts added."""
+    if width and width <= NARROW:
+        sums = F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) for i in range(width)])
+        return df.groupBy(*keys).agg(sums.alias(out), F.sum(n).alias(out_n))
     long = df.select(*keys, F.col(n).alias("_n"), F.posexplode(vec).alias("_dim", "_v"))
     sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.sum("_n").alias("_c"))
     return to_vector(sums, keys, "_dim", "_s", out, **{out_n: F.max("_c")})

@@ -62,8 +62,8 @@ def class_moments(units: DataFrame, keys: list[str], block: str, label: str, vec
 
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in by)
     parts = slim.mapInPandas(partial, f"{head}, n bigint, s array<double>, ss array<double>")
-    a = vectors.sum_vectors_weighted(parts, by, "s", "n", "s", "n")
-    b = vectors.sum_vectors_weighted(parts, by, "ss", "n", "ss", "_n2").drop("_n2")
+    a = vectors.add_sums(parts, by, "s", "n", "s", "n")
+    b = vectors.add_sums(parts, by, "ss", "n", "ss", "_n2").drop("_n2")
     return a.join(b, by)
 
 
@@ -101,7 +101,7 @@ def lda_weights(moments: DataFrame, keys: list[str], gammas: list[float]) -> Dat
 def train_moments(moments: DataFrame, keys: list[str], block: str) -> DataFrame:
     """Moments of every training set that leaves one block out: total minus own block."""
     def roll(vec):
-        return vectors.sum_vectors_weighted(moments, [*keys, "label"], vec, "n", f"t_{vec}", "t_n")
+        return vectors.add_sums(moments, [*keys, "label"], vec, "n", f"t_{vec}", "t_n")
 
     total = roll("s").join(roll("ss").drop("t_n"), [*keys, "label"])
     blocks = moments.select(*keys, block).distinct()
@@ -244,10 +244,11 @@ def nested_selection(
     units = durable(units.select(*keys, unit, fold, label, vec))
     # Moments of each training set: all folds but the outer and, inside, but one more.
     m = durable(class_moments(units, keys, fold, label, vec).withColumnRenamed(label, "label"))
-    outer = F.explode(F.array(*[F.lit(f) for f in folds]))
-    rest = m.withColumn("outer", outer.cast(m.schema[fold].dataType)).where(F.col(fold) != F.col("outer"))
+    kind = m.schema[fold].dataType
+    outer = F.explode(F.array(*[F.lit(f).cast(kind) for f in folds]))
+    rest = m.withColumn("outer", outer).where(F.col(fold) != F.col("outer"))
     inner_w = lda_weights(train_moments(rest, [*keys, "outer"], fold), [*keys, "outer", fold], gammas)
-    tests = units.withColumn("outer", outer.cast(m.schema[fold].dataType)).where(F.col(fold) != F.col("outer"))
+    tests = units.withColumn("outer", outer).where(F.col(fold) != F.col("outer"))
     inner = linear_predict(tests, inner_w, [*keys, "outer", fold], ["gamma"], unit, label, vec)
     rank = F.array_position(F.array(*[F.lit(g) for g in gammas]), F.col("gamma")).cast("int")
     inner = inner.withColumn("candidate", rank).drop("gamma")

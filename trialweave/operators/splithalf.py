@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.stats import fisher_z
+from . import patterns
+from .patterns import Places
 
 
-def half_templates(units: DataFrame, splits: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
+def half_templates(units: DataFrame, splits: DataFrame, keys: list[str], vec: str, width: int | None = None) -> DataFrame:
     """(keys, split, in_a, context, template): equal mean over items of the within-item means.
 
-    Units are summed once per (run, context, item); splits only meet those sums.
+    Units are read once, into run-centred sums per (run, context, item); splits only
+    meet those sums.
     """
-    cube = vectors.sum_vectors(units, [*keys, "run", "context", "item"], vec, "s", "n")
-    halves = cube.join(splits, "run")
-    cells = vectors.sum_vectors_weighted(halves, [*keys, "split", "in_a", "context", "item"], "s", "n", "s", "n")
+    sums, _ = patterns.cube(units, keys, "run", ["context", "item"], vec, width)
+    halves = sums.join(splits, "run")
+    cells = vectors.add_sums(halves, [*keys, "split", "in_a", "context", "item"], "s", "n", "s", "n", width)
     means = cells.withColumn("s", vectors.divide("s", "n"))
-    t = vectors.sum_vectors(means, [*keys, "split", "in_a", "context"], "s", "s", "k")
+    t = vectors.sum_vectors(means, [*keys, "split", "in_a", "context"], "s", "s", "k", width)
     return t.select(*keys, "split", "in_a", "context", vectors.divide("s", "k").alias("template"))
 
 
@@ -51,19 +54,11 @@ def over_splits(delta: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def split_half(units: DataFrame, splits: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
-    return over_splits(deltas(cross_similarity(half_templates(units, splits, keys, vec), keys), keys), keys)
-
-
-def gather(templates: DataFrame, keys: list[str], membership: DataFrame, vec: str) -> DataFrame:
-    """Vectors restricted to each neighbourhood: (keys, centre, vec); membership is (centre, dim)."""
-    long = vectors.to_long(templates.select(*keys, vec), vec, "dim", "_v")
-    near = long.join(membership, "dim")
-    return vectors.to_vector(near, [*keys, "centre"], "dim", "_v", vec)
-
-
-def searchlight_split_half(units: DataFrame, splits: DataFrame, keys: list[str], membership: DataFrame, vec: str = "x") -> DataFrame:
-    """Whole-width templates once, then each neighbourhood reads only its own features of them."""
-    t = half_templates(units, splits, keys, vec)
-    local = gather(t, [*keys, "split", "in_a", "context"], membership, "template")
-    return over_splits(deltas(cross_similarity(local, [*keys, "centre"]), [*keys, "centre"]), [*keys, "centre"])
+def split_half(
+    units: DataFrame, splits: DataFrame, keys: list[str], vec: str, places: Places | None = None, width: int | None = None
+) -> DataFrame:
+    """Whole-width templates once; each region or neighbourhood reads only its own features of them."""
+    t = half_templates(units, splits, keys, vec, width)
+    if places is not None:
+        t, keys = places.cut(t, "template"), [*keys, places.key]
+    return over_splits(deltas(cross_similarity(t, keys), keys), keys)

@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from . import patterns
+from .patterns import Places
 
 
-def context_transfer(units: DataFrame, keys: list[str], control: int, vec: str = "x") -> DataFrame:
-    """(keys, source, target, unit, item, predicted, evidence).
+def context_transfer(
+    units: DataFrame, control: int, vec: str, places: Places, width: int | None = None, keys: list[str] | None = None,
+    labels: DataFrame | None = None,
+) -> DataFrame:
+    """(perm, keys, place, source, target, unit, item, predicted, evidence).
 
     Item templates of each source context, from all runs but the tested one, meet the
     units of each target context. Semantic sources are tested on semantic targets, the
-    control source on all.
+    control source on all. ``labels`` replaces the items once per permutation.
     """
-    t = patterns.held_out_templates(units, [*keys, "context"], "run", "item", vec).withColumnRenamed("context", "source")
-    t = vectors.unit_length(t.select(*keys, "run", "source", F.col("item").alias("candidate"), "template"), "template", "template")
-    tests = vectors.unit_length(units.select(*keys, "run", F.col("context").alias("target"), "unit", "item", vec), vec, vec)
-    allowed = (F.col("source") == control) | (F.col("target") != control)
-    sims = tests.join(t, [*keys, "run"]).where(allowed).withColumn("similarity", vectors.dot(vec, "template"))
-    return patterns.decide(sims.drop(vec, "template"), [*keys, "source", "target", "unit"], "item")
+    keys = keys or []
+    perm = ["perm"] if labels is not None else []
+    named = units
+    if labels is not None:
+        named = patterns.permuted_units(units, labels, "unit", "item")
+    sums, means = patterns.cube(named, [*perm, *keys], "run", ["context", "item"], vec, width)
+    t = patterns.leave_out(sums, [*perm, *keys, "context"], "run", "item", width).withColumnRenamed("context", "source")
+    tests = units.select(*keys, "run", F.col("context").alias("target"), "unit", *([] if perm else ["item"]), vec)
+    means = means.where("perm = 0").drop("perm") if perm else means
+    tests = patterns.centre_blocks(tests, means, [*keys, "run"], vec)
+    sims = patterns.similarities(places.cut(tests, vec), places.cut(t, "template"), [*keys, places.key, "run"], vec, "item")
+    sims = sims.where((F.col("source") == control) | (F.col("target") != control))
+    if perm:
+        sims = sims.join(labels.select("perm", "unit", F.col("permuted").alias("item")), ["perm", "unit"])
+    return patterns.decide(sims, [*perm, *keys, places.key, "source", "target", "unit"], "item")
 
 
 def transfer_cells(decoded: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,18 +59,18 @@ def transfer_summary(cells: DataFrame, keys: list[str], control: int) -> DataFra
     return cells.groupBy(*keys).agg(*out)
 
 
-def leave_two_out(sums: DataFrame, keys: list[str], a: str, b: str, label: str) -> DataFrame:
+def leave_two_out(sums: DataFrame, a: str, b: str, label: str, width: int | None = None) -> DataFrame:
     """Class means without one ``a`` and without one ``b``: total - a - b + both, per tested (a, b)."""
     def roll(by):
-        return vectors.sum_vectors_weighted(sums, [*keys, *by, label], "s", "n", "s", "n")
+        return vectors.add_sums(sums, [*by, label], "s", "n", "s", "n", width)
 
-    cells = sums.select(*keys, a, b).distinct()
+    cells = sums.select(a, b).distinct()
     total = roll([]).withColumnsRenamed({"s": "t_s", "n": "t_n"})
     by_a = roll([a]).withColumnsRenamed({"s": "a_s", "n": "a_n"})
     by_b = roll([b]).withColumnsRenamed({"s": "b_s", "n": "b_n"})
     both = sums.withColumnsRenamed({"s": "o_s", "n": "o_n"})
-    g = cells.join(total, keys) if keys else cells.join(total, F.lit(True))  # tested cells x classes
-    g = g.join(by_a, [*keys, a, label], "left").join(by_b, [*keys, b, label], "left").join(both, [*keys, a, b, label], "left")
+    g = cells.join(total, F.lit(True))  # tested cells x classes
+    g = g.join(by_a, [a, label], "left").join(by_b, [b, label], "left").join(both, [a, b, label], "left")
 
     def less(x, y):
         return F.when(F.col(y).isNull(), F.col(x)).otherwise(vectors.subtract(x, y))
@@ -67,15 +80,16 @@ def leave_two_out(sums: DataFrame, keys: list[str], a: str, b: str, label: str)
     g = g.withColumn("_r", F.when(F.col("o_s").isNull(), F.col("_r")).otherwise(F.zip_with("_r", "o_s", lambda p, q: p + q)))
     zero = F.lit(0)
     n = F.col("t_n") - F.coalesce("a_n", zero) - F.coalesce("b_n", zero) + F.coalesce("o_n", zero)
-    return g.withColumn("n", n).where("n > 0").select(*keys, a, b, label, "n", vectors.divide("_r", "n").alias("template"))
+    return g.withColumn("n", n).where("n > 0").select(a, b, label, "n", vectors.divide("_r", "n").alias("template"))
 
 
-def cross_item_transfer(units: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
-    """(keys, item, unit, context, predicted, evidence): context decoded without the tested item and run."""
-    sums = vectors.sum_vectors(units, [*keys, "item", "run", "context"], vec, "s", "n")
-    t = leave_two_out(sums, keys, "item", "run", "context")
-    sims = patterns.similarities(units.select(*keys, "item", "run", "unit", "context", vec), t, [*keys, "item", "run"], vec, "context")
-    return patterns.decide(sims, [*keys, "item", "unit"], "context")
+def cross_item_transfer(units: DataFrame, vec: str, places: Places, width: int | None = None) -> DataFrame:
+    """(place, item, unit, context, predicted, evidence): context decoded without the tested item and run."""
+    sums, means = patterns.cube(units, [], "run", ["item", "context"], vec, width)
+    t = leave_two_out(sums, "item", "run", "context", width)
+    tests = patterns.centre_blocks(units.select("item", "run", "unit", "context", vec), means, ["run"], vec)
+    sims = patterns.similarities(places.cut(tests, vec), places.cut(t, "template"), [places.key, "item", "run"], vec, "context")
+    return patterns.decide(sims, [places.key, "item", "unit"], "context")
 
 
 def cross_item_summary(decoded: DataFrame, keys: list[str]) -> DataFrame:

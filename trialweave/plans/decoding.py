@@ -15,20 +15,22 @@ from .registry import query, rnd
 PERMS = 5
 
 
-def centred_units(spark, sf, semantic: bool = False):
-    u = V.units(spark, sf)
-    if semantic:
-        u = selection.drop_control(u, "context", V.CONTROL)
-    return patterns.centre_blocks(u, [], "run", "x")
+REGIONS = patterns.slices(V.WIDTH // V.REGION_WIDTH, V.REGION_WIDTH)
+
 
+def semantic(spark, sf):
+    return selection.drop_control(V.units(spark, sf), "context", V.CONTROL)
 
-def by_region(u):
-    regions = F.explode(F.sequence(F.lit(0), F.lit(V.WIDTH // V.REGION_WIDTH - 1)))
-    return u.withColumn("region", regions).withColumn("x", F.slice("x", F.col("region") * V.REGION_WIDTH + 1, V.REGION_WIDTH))
+
+def centred_regions(spark, sf):
+    """Run-centred units cut into regions, for the learners that need rows rather than sums."""
+    u = V.units(spark, sf)
+    _, means = patterns.cube(u, [], "run", [], "x", V.WIDTH)
+    return REGIONS.cut(patterns.centre_blocks(u, means, ["run"], "x"), "x")
 
 
-def decoded(spark, sf, label="item"):
-    return patterns.decode(by_region(centred_units(spark, sf)), ["region"], "unit", "run", label, "x", centre=False)
+def decoded(spark, sf, label="item", **options):
+    return patterns.decode(V.units(spark, sf), "unit", "run", label, "x", REGIONS, V.WIDTH, **options)
 
 
 DEC = f"WITH {S.CENTRED}, {S.decode('cent', ['region'], 'item')}"
@@ -85,9 +87,11 @@ def confusion_matrix(spark, sf):
     f"WITH {S.CENTRED}, {S.decode('cent', ['region'], 'item')} SELECT region, run, cand, count(*) AS n, {rnd('avg(s)', 'mean_r')}, {rnd('max(s)', 'max_r')} FROM sims GROUP BY ALL",
 )
 def join_templates(spark, sf):
-    u = by_region(centred_units(spark, sf))
-    t = patterns.held_out_templates(u, ["region"], "run", "item", "x")
-    sims = patterns.similarities(u, t, ["region", "run"], "x", "item")
+    u = V.units(spark, sf)
+    sums, means = patterns.cube(u, [], "run", ["item"], "x", V.WIDTH)
+    t = REGIONS.cut(patterns.leave_out(sums, [], "run", "item", V.WIDTH), "template")
+    tests = REGIONS.cut(patterns.centre_blocks(u, means, ["run"], "x"), "x")
+    sims = patterns.similarities(tests, t, ["region", "run"], "x", "item")
     return sims.groupBy("region", "run", F.col("candidate").alias("cand")).agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("similarity")).alias("mean_r"), r6(F.max("similarity")).alias("max_r")
     )
@@ -104,8 +108,8 @@ sims AS (SELECT region, unit, context, cand, corr((v - mu) / sd, (t - mu) / sd)
 
 @query("template_decode_loo", _loo_sql())
 def template_decode_loo(spark, sf):
-    u = by_region(centred_units(spark, sf))
-    d = patterns.decode_one_out(u, ["region"], "unit", "context", "x", scale=True)
+    u = centred_regions(spark, sf)
+    d = patterns.decode_one_out(u, ["region"], "unit", "context", "x", scale=True, width=V.REGION_WIDTH)
     return d.select("region", "unit", "context", "predicted", r6("evidence").alias("evidence"))
 
 
@@ -137,7 +141,7 @@ pc AS (SELECT region, context, count(*) AS n, avg(CASE WHEN predicted = context
 SELECT region, CAST(sum(n) AS BIGINT) AS n_units, {rnd('sum(n * rec) / sum(n)', 'accuracy')}, {rnd('avg(rec)', 'balanced_accuracy')} FROM pc GROUP BY region""",
 )
 def template_benchmark(spark, sf):
-    d = patterns.decode(by_region(centred_units(spark, sf)), ["region"], "unit", "run", "context", "x", centre=False, demean=True)
+    d = decoded(spark, sf, "context", demean=True)
     acc = summaries.accuracy(d, ["region"], "context", "predicted")
     return acc.withColumns({c: r6(c) for c in ("accuracy", "balanced_accuracy")})
 
@@ -146,7 +150,7 @@ def labels_with_observed(u, label: str, blocks: list[str], count: int):
     """Permutation 0 is the observed labelling, so one pass scores everything."""
     drawn = sampling.permute_within(u, blocks, "unit", label, count)
     own = u.select(F.lit(0).alias("perm"), "unit", F.col(label).alias("permuted"))
-    return drawn.select("perm", "unit", "permuted").unionByName(own)
+    return durable(drawn.select("perm", "unit", "permuted").unionByName(own))
 
 
 def perm_cte(src: str, label: str, blocks: list[str], count: int) -> str:
@@ -166,10 +170,8 @@ fw AS (SELECT o.region, (1.0 + count(*) FILTER (WHERE m >= o.v)) / (1 + count(*)
 SELECT region, {rnd('v', 'accuracy')}, n_perm, {rnd('null_mean', 'null_mean')}, {rnd('null_sd', 'null_sd')}, {rnd('p', 'p')}, {rnd('q', 'q')}, {rnd('p_fwe', 'p_fwe')} FROM adj JOIN fw USING (region)""",
 )
 def decode_with_permutations(spark, sf):
-    u = centred_units(spark, sf)
-    labels = labels_with_observed(u, "item", ["run"], PERMS)
-    pu = by_region(patterns.permuted_units(u, labels, [], "unit", "item"))
-    d = patterns.decode(pu, ["perm", "region"], "unit", "run", "item", "x", centre=False)
+    labels = labels_with_observed(V.units(spark, sf), "item", ["run"], PERMS)
+    d = decoded(spark, sf, "item", labels=labels)
     hit = (F.col("predicted") == F.col("item")).cast("double")
     scores = durable(d.groupBy("perm", "region").agg(F.round(F.avg(hit), 12).alias("accuracy")))  # one row per permutation and region
     return region_inference(scores, "accuracy")
@@ -200,7 +202,7 @@ def _transfer_sql(src: str, keys: list[str], p: str = "") -> str:
     + f", {rnd('within_evidence - cross_evidence', 'evidence_effect')}, {rnd('within_accuracy - cross_accuracy', 'accuracy_effect')} FROM tsum",
 )
 def context_transfer(spark, sf):
-    d = transfer.context_transfer(by_region(centred_units(spark, sf)), ["region"], V.CONTROL)
+    d = transfer.context_transfer(V.units(spark, sf), V.CONTROL, "x", REGIONS, V.WIDTH)
     s = transfer.transfer_summary(transfer.transfer_cells(d, ["region"]), ["region"], V.CONTROL)
     return s.select("region", *[r6(c).alias(c) for c in s.columns if c != "region"])
 
@@ -212,7 +214,7 @@ SELECT region, NULL AS context, {rnd('avg(evidence) FILTER (WHERE source = targe
 UNION ALL SELECT region, q, {rnd('avg(evidence) FILTER (WHERE source = target) - avg(evidence) FILTER (WHERE source <> target)', 'delta')} FROM c, (VALUES (0), (1), (2)) x(q) WHERE source = q OR target = q GROUP BY region, q""",
 )
 def diag_offdiag_contrast(spark, sf):
-    d = transfer.context_transfer(by_region(centred_units(spark, sf)), ["region"], V.CONTROL)
+    d = transfer.context_transfer(V.units(spark, sf), V.CONTROL, "x", REGIONS, V.WIDTH)
     cells = durable(transfer.transfer_cells(d, ["region"]).where("source < 3 AND target < 3"))
     overall = summaries.diagonal_contrast(cells, ["region"], "source", "target", "evidence").select("region", F.lit(None).cast("int").alias("context"), "delta")
     own = summaries.class_contrast(cells, ["region"], "source", "target", "evidence").select("region", F.col("class").alias("context"), "delta")
@@ -238,7 +240,7 @@ xitem AS (SELECT {k}item, avg(accuracy) AS accuracy, avg(evidence) AS evidence F
     f"WITH {S.SEMANTIC}, {_cross_item_sql('sem', ['region'])} SELECT region, {rnd('avg(accuracy)', 'accuracy')}, {rnd('avg(evidence)', 'evidence')}, count(*) AS n_items FROM xitem GROUP BY region",
 )
 def cross_item_transfer(spark, sf):
-    d = transfer.cross_item_transfer(by_region(centred_units(spark, sf, semantic=True)), ["region"])
+    d = transfer.cross_item_transfer(semantic(spark, sf), "x", REGIONS, V.WIDTH)
     out = transfer.cross_item_summary(d, ["region"])
     return out.select("region", r6("accuracy").alias("accuracy"), r6("evidence").alias("evidence"), "n_items")
 
@@ -248,7 +250,7 @@ TRANSFER_PERMS = 3
 
 @query(
     "transfer_null_and_group",
-    f"""WITH {S.CENTRED}, sub AS (SELECT unit, CAST(unit % 2 AS INT) AS subject, item, context, run, region, dim, v FROM cent WHERE region < 2),
+    f"""WITH {S.CENTRED}, sub AS (SELECT unit, CAST(unit % 2 AS INT) AS subject, item, context, run, region, dim, v - avg(v) OVER (PARTITION BY unit % 2, run, dim) AS v FROM feats),
 {S.permuted('sub', ['subject', 'context', 'run'], 'unit', 'item', TRANSFER_PERMS)}, labs AS (SELECT * FROM perms UNION ALL SELECT DISTINCT 0, unit, item FROM sub),
 pc AS (SELECT l.perm, subject, region, s.unit, run, context, l.permuted AS item, dim, v FROM sub s JOIN labs l ON l.unit = s.unit),
 {_transfer_sql('pc', ['perm', 'subject', 'region'])}, f AS (SELECT perm, subject, region, 'primary' AS family, within_evidence - cross_evidence AS v FROM tsum UNION ALL SELECT perm, subject, region, 'control_mean', control_evidence FROM tsum),
@@ -260,11 +262,10 @@ fw AS (SELECT region, family, avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END)
 SELECT family, region, {rnd('observed', 'observed')}, {rnd('p', 'p')}, {rnd('p_fwe', 'p_fwe')}, {rnd('q', 'q')} FROM adj JOIN fw USING (region, family)""",
 )
 def transfer_null_and_group(spark, sf):
-    u = centred_units(spark, sf).withColumn("subject", (F.col("unit") % 2).cast("int"))
+    u = V.units(spark, sf).withColumn("subject", (F.col("unit") % 2).cast("int"))
     labels = labels_with_observed(u, "item", ["subject", "context", "run"], TRANSFER_PERMS)
-    pu = by_region(patterns.permuted_units(u, labels, [], "unit", "item")).where("region < 2")
     keys = ["perm", "subject", "region"]
-    d = transfer.context_transfer(pu, keys, V.CONTROL)
+    d = transfer.context_transfer(u, V.CONTROL, "x", REGIONS, V.WIDTH, ["subject"], labels)
     s = durable(transfer.transfer_summary(transfer.transfer_cells(d, keys), keys, V.CONTROL))
     fam = F.array(
         F.struct(F.lit("primary").alias("family"), F.col("evidence_effect").alias("v")),
@@ -298,7 +299,7 @@ def _sh_round(df, *keys):
     f"WITH {S.SEMANTIC}, {S.splits(SPLITS, ATTEMPTS)}, {S.split_half('sem', [])} SELECT context, {SH_COLS} FROM sh",
 )
 def split_half_similarity(spark, sf):
-    return _sh_round(splithalf.split_half(centred_units(spark, sf, True), run_splits(spark, sf), []))
+    return _sh_round(splithalf.split_half(semantic(spark, sf), run_splits(spark, sf), [], "x", width=V.WIDTH))
 
 
 def _perm_sem(keys: str = "") -> str:
@@ -314,7 +315,7 @@ SELECT o.region, o.context, {rnd('o.a', 'mean_delta')}, {rnd('o.b', 'max_delta')
 FROM o JOIN n ON o.region = n.region AND o.context IS NOT DISTINCT FROM n.context GROUP BY o.region, o.context, o.a, o.b""",
 )
 def split_half_roi(spark, sf):
-    scores = split_half_null(spark, sf, ["region"])
+    scores = split_half_null(spark, sf, REGIONS)
     o, n = scores.where("perm = 0").drop("perm"), scores.where("perm > 0")
     a = inference.p_upper(o, n, ["region", "ctx"], "mean_delta").select("region", "ctx", "mean_delta", F.col("p").alias("p_mean"))
     b = inference.p_upper(o, n, ["region", "ctx"], "max_delta").select("region", "ctx", "max_delta", F.col("p").alias("p_max"))
@@ -324,16 +325,14 @@ def split_half_roi(spark, sf):
     )
 
 
-def split_half_null(spark, sf, keys):
-    """Scores per permutation and region; the overall contrast has ctx -1 so that keys join."""
-    u = centred_units(spark, sf, True)
+def split_half_null(spark, sf, places):
+    """Scores per permutation and place; the overall contrast has ctx -1 so that keys join."""
+    u = semantic(spark, sf)
     labels = labels_with_observed(u, "context", ["run"], PERMS)
-    pu = by_region(patterns.permuted_units(u, labels, [], "unit", "context"))
-    if "subject" in keys:
-        pu = pu.withColumn("subject", F.lit(0))
-    sh = splithalf.split_half(pu, run_splits(spark, sf), ["perm", *keys])
+    pu = patterns.permuted_units(u, labels, "unit", "context")
+    sh = splithalf.split_half(pu, run_splits(spark, sf), ["perm"], "x", places, V.WIDTH)
     return durable(sh.select(
-        "perm", *keys, F.coalesce("context", F.lit(-1)).alias("ctx"), F.round("mean_delta", 12).alias("mean_delta"), F.round("max_delta", 12).alias("max_delta")
+        "perm", places.key, F.coalesce("context", F.lit(-1)).alias("ctx"), F.round("mean_delta", 12).alias("mean_delta"), F.round("max_delta", 12).alias("max_delta")
     ))
 
 
@@ -345,7 +344,7 @@ SELECT o.context, {rnd('o.a', 'mean_delta')}, count(*) AS n_perm, {rnd('avg(n.a)
 )
 def split_half_group(spark, sf):
     # The four regions stand for subjects: equal weights, permutation k averaged with permutation k.
-    g = inference.group_null_mean(split_half_null(spark, sf, ["region"]), ["ctx"], "mean_delta")
+    g = inference.group_null_mean(split_half_null(spark, sf, REGIONS), ["ctx"], "mean_delta")
     g = g.select("ctx", "perm", F.round("mean", 12).alias("mean_delta"))
     p = inference.p_upper(g.where("perm = 0").drop("perm"), g.where("perm > 0"), ["ctx"], "mean_delta")
     return p.select(F.when(F.col("ctx") >= 0, F.col("ctx")).alias("context"), r6("mean_delta").alias("mean_delta"), "n_perm", r6("null_mean").alias("null_mean"), r6("p").alias("p"))
@@ -372,11 +371,9 @@ LIGHT = f"""WITH {S.CENTRED}, {NB}, {perm_cte('cent', 'context', ['run'], 2)}, p
 
 
 def scan_decode(spark, sf):
-    u = centred_units(spark, sf)
+    u = V.units(spark, sf)
     labels = labels_with_observed(u, "context", ["run"], 2)
-    local = splithalf.gather(u, ["unit", "run", "context"], membership(spark, sf), "x")
-    pu = patterns.permuted_units(local, labels, [], "unit", "context")
-    return patterns.decode(pu, ["perm", "centre"], "unit", "run", "context", "x", centre=False)
+    return patterns.decode(u, "unit", "run", "context", "x", patterns.neighbourhoods(membership(spark, sf)), V.WIDTH, labels)
 
 
 @query(
@@ -410,11 +407,8 @@ o AS (SELECT * FROM z WHERE perm = 0), pu AS (SELECT o.centre, o.context, (1.0 +
 SELECT CAST(o.centre AS INT) AS centre, o.context, {rnd('o.v', 'delta')}, {rnd('o.z', 'z')}, {rnd('pu.p', 'p_uncorrected')}, {rnd('(1.0 + (SELECT count(*) FROM mx WHERE mz >= o.z)) / (1 + (SELECT count(*) FROM mx))', 'p_fwe')} FROM o JOIN pu ON pu.centre = o.centre AND pu.context = o.context""",
 )
 def searchlight_split_half(spark, sf):
-    u = centred_units(spark, sf, True)
-    labels = labels_with_observed(u, "context", ["run"], PERMS)
-    pu = patterns.permuted_units(u, labels, [], "unit", "context")
-    sh = splithalf.searchlight_split_half(pu, run_splits(spark, sf), ["perm"], membership(spark, sf))
-    r = durable(sh.where("context IS NOT NULL").select("perm", "centre", "context", F.round("mean_delta", 12).alias("delta")))
+    scores = split_half_null(spark, sf, patterns.neighbourhoods(membership(spark, sf)))
+    r = scores.where("ctx >= 0").select("perm", "centre", F.col("ctx").alias("context"), F.col("mean_delta").alias("delta"))
     out = inference.maxstat_studentised(r.where("perm = 0").drop("perm"), r.where("perm > 0"), ["centre", "context"], [], "delta")
     return out.select("centre", "context", *[r6(c).alias(c) for c in ("delta", "z", "p_uncorrected", "p_fwe")])
 
@@ -503,7 +497,7 @@ def epoch_average(spark, sf):
 
 @query("svm_one_vs_one")
 def svm_one_vs_one(spark, sf):
-    u = by_region(centred_units(spark, sf))
+    u = centred_regions(spark, sf)
     d = learners.svm_cross_validate(u, ["region"], "unit", "run", "context", "x", [0, 1, 2, 3], cost=1.0)
     acc = summaries.accuracy(d, ["region"], "context", "predicted")
     return acc.withColumns({c: r6(c) for c in ("accuracy", "balanced_accuracy")})
@@ -511,7 +505,7 @@ def svm_one_vs_one(spark, sf):
 
 @query("lda_shrinkage")
 def lda_shrinkage(spark, sf):
-    u = by_region(centred_units(spark, sf))
+    u = centred_regions(spark, sf)
     d = learners.lda_cross_validate(u, ["region"], "unit", "run", "context", "x", gammas=[0.5])
     acc = summaries.accuracy(d, ["region", "gamma"], "context", "predicted")
     return acc.withColumns({c: r6(c) for c in ("accuracy", "balanced_accuracy")})
@@ -519,7 +513,7 @@ def lda_shrinkage(spark, sf):
 
 @query("nested_model_selection")
 def nested_model_selection(spark, sf):
-    u = by_region(centred_units(spark, sf))
+    u = centred_regions(spark, sf)
     folds = sampling.fold_by_block(V.units(spark, sf), "run", 5)
     u = u.join(folds, "run")
     out = learners.nested_selection(u, ["region"], "unit", "run", "fold", "context", "x", [0, 1, 2, 3])

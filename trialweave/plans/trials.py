@@ -48,7 +48,7 @@ SELECT fold, item, dim, count(*) AS n, {rnd('avg(v)', 'mean')} FROM feats JOIN f
 def mean_class_templates(spark, sf):
     from ..functions import vectors
 
-    t = patterns.held_out_templates(V.units(spark, sf), [], "run", "item", "x")
+    t = patterns.held_out_templates(V.units(spark, sf), [], "run", "item", "x", V.WIDTH)
     long = vectors.to_long(t.select(F.col("run").alias("fold"), "item", "n", "template"), "template", "dim", "v")
     return long.select("fold", "item", "dim", "n", r6("v").alias("mean"))
 
