@@ -172,3 +172,8 @@ def rank_splits(counts: DataFrame, keep: int) -> DataFrame:
         .orderBy("max_deviation", "sum_squared", "attempt")
         .limit(keep)
     )
+
+
+def sample_rank(df: DataFrame, keys: list[str], seed: int, parts: list[str], ids: list[str], count: int) -> DataFrame:
+    """``count`` seeded rows per key with their place in the draw."""
+    return seeded_rank(df, keys, seed, parts, ids, "rank").where(F.col("rank") <= count)

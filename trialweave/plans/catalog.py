@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import decoding, joins, rows, series, trials  # noqa: F401
+from . import decoding, joins, resampling, rows, series, trials  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
