@@ -125,3 +125,13 @@ def one_sided(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         l.join(r, keys, "left_anti").withColumn("side", F.lit("left"))
         .unionByName(r.join(l, keys, "left_anti").withColumn("side", F.lit("right")))
     )
+
+
+def full_grid_status(grid: DataFrame, results: DataFrame, keys: list[str], analysis: str, expected: dict[str, int]) -> DataFrame:
+    """Every key and analysis once: result where there is one, with ok / partial / missing."""
+    kinds = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in expected.items()])
+    full = grid.withColumn("_k", F.explode(kinds)).select(*keys, F.col("_k.a").alias(analysis), F.col("_k.n").alias("_expected"))
+    status = F.when(F.col("n_valid").isNull(), "missing").when(F.col("n_valid") < F.col("_expected"), "partial").otherwise("ok")
+    return full.join(results, [*keys, analysis], "left").withColumn("status", status).select(
+        *keys, analysis, F.coalesce("n_valid", F.lit(0)).alias("n_valid"), "value", "status"
+    )
