@@ -34,11 +34,16 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], factors: list[str
     for c in [*xs, *factors]:
         ok = ok & finite(c)
     marked = df.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_one", F.lit(1.0))
-    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_total"), F.count_if("_ok").alias("n_valid"))
+    inside = lambda c: F.when(F.col("_ok"), F.col(c))
+    stats = marked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if("_ok").alias("n_valid"), *[F.avg(inside(c)).alias(f"_m_{c}") for c in [*xs, *factors, y]]
+    )
     # Sums are taken around the key's means: no cancellation in the small system.
-    means = marked.where("_ok").groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in [*xs, *factors, y]])
-    moved = marked.where("_ok").join(means, keys).select(*keys, "_one", *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in [*xs, *factors, y]])
-    sums = counts.join(gram(moved, keys, columns).drop("n"), keys, "left")
+    moved = marked.join(stats, keys).select(
+        *keys, "n_total", "n_valid", F.when(F.col("_ok"), F.lit(1.0)).alias("_one"),
+        *[(inside(c) - F.col(f"_m_{c}")).alias(c) for c in [*xs, *factors, y]],
+    )
+    sums = gram(moved, [*keys, "n_total", "n_valid"], columns).drop("n")
     k = len(xs) + len(factors)
     nx = len(xs)
 
@@ -49,7 +54,7 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], factors: list[str
         for batch in batches:
             rows = []
             for values, n in zip(batch["gram"], batch["n_valid"]):
-                if values is None or n <= k + 1:
+                if n <= k + 1:
                     rows.append((*blank, "too_few_valid_rows"))
                     continue
                 g = unpack_symmetric(np.asarray(values, dtype=float), k + 2)[1:, 1:]
@@ -85,7 +90,7 @@ def ols(df: DataFrame, keys: list[str], y: str, xs: list[str], factors: list[str
             head["n_dropped"] = (batch["n_total"] - batch["n_valid"]).to_numpy()
             yield pd.concat([head, out], axis=1)
 
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema if f.name in keys)
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys)
     return sums.mapInPandas(
         solve,
         f"{head}, n_valid bigint, n_dropped bigint, beta array<double>, r2 double, adjusted_r2 double, delta_r2 array<double>, partial_r2 array<double>, status string",

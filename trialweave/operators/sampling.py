@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import seeded_chunk, seeded_key
+from ..session import durable
 from .ordered import number_rows
 
 
@@ -154,7 +155,7 @@ def covered_attempts(counts: DataFrame) -> DataFrame:
 
 def split_halves(units: DataFrame, run: str, stratum: str, cell: list[str], count: int, attempts: int, seed: int = 1) -> DataFrame:
     """(split, run, in_a): the first ``count`` distinct, covered partitions."""
-    halves = propose_halves(units, run, stratum, attempts, seed)
+    halves = durable(propose_halves(units, run, stratum, attempts, seed))  # attempts x runs rows, read three times
     valid = distinct_halves(halves, run).join(covered_attempts(half_counts(units, halves, run, cell)), "attempt")
     # One row per attempt, whose number the caller bounds: a single small window.
     ranked = valid.withColumn("split", F.row_number().over(Window.orderBy("attempt"))).where(F.col("split") <= count)

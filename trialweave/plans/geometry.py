@@ -13,7 +13,8 @@ from ..functions.stats import pearson, r6
 from ..operators import distances, matching, patterns, regression, sampling, summaries
 from ..session import durable
 from ..sources import views as V
-from .decoding import REGIONS, run_splits
+from . import sqlparts as S
+from .decoding import REGIONS, centred_regions, run_splits
 from .registry import query, rnd
 
 ITEMS = 10
@@ -54,7 +55,7 @@ def behaviour(spark, sf):
 def blocks(spark, sf):
     """Pairs of items inside one context: neural distance and rating differences."""
     both = rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"]).where(F.expr("i div 10 = j div 10"))
-    return both.select(
+    return durable(both).select(
         "subject", "region", F.expr("CAST(i div 10 AS INT)").alias("context"), (F.col("i") % 10).alias("ii"), (F.col("j") % 10).alias("jj"), "d", "m1", "m2"
     )
 
@@ -94,12 +95,20 @@ def residual_covariance(spark, sf):
     )
 
 
-@query("shrink_covariance")
+@query(
+    "shrink_covariance",
+    f"""WITH {S.CENTRED}, n AS (SELECT count(DISTINCT unit) AS n FROM cent), va AS (SELECT dim, sum(v * v) / any_value(n) AS var FROM cent, n GROUP BY dim),
+p AS (SELECT a.region, a.dim AS i, b.dim AS j, any_value(n) AS n, sum(a.v * b.v) / any_value(n) AS cov, sum(a.v * a.v * b.v * b.v) AS sq FROM cent a JOIN cent b ON a.unit = b.unit AND a.region = b.region AND a.dim <= b.dim, n GROUP BY ALL),
+r AS (SELECT p.*, vi.var AS vi, vj.var AS vj, cov / sqrt(vi.var * vj.var) AS r FROM p JOIN va vi ON vi.dim = i JOIN va vj ON vj.dim = j),
+l AS (SELECT region, least(1, greatest(0, sum(greatest(sq / (vi * vj) - n * r * r, 0) / (n * (n - 1))) / sum(r * r))) AS lam FROM r WHERE i < j GROUP BY region)
+SELECT region, i % 16 AS i, j % 16 AS j, {rnd('lam', 'shrinkage')}, {rnd('CASE WHEN i = j THEN cov ELSE (1 - lam) * cov END', 'covariance')} FROM r JOIN l USING (region)""",
+)
 def shrink_covariance(spark, sf):
-    _, _, w = whitening(spark, sf)
-    return w.select("region", r6("shrinkage").alias("shrinkage"), F.posexplode("covariance").alias("entry", "value")).select(
-        "region", "shrinkage", "entry", r6("value").alias("covariance")
-    )
+    sums = distances.product_sums(centred_regions(spark, sf).select("region", "x"), ["region"], "x")
+    w = distances.shrink_covariance(sums, ["region"], "n")
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(V.REGION_WIDTH) for j in range(i, V.REGION_WIDTH)])
+    cells = w.select("region", r6("shrinkage").alias("shrinkage"), F.explode(F.arrays_zip("covariance", at.alias("at"))).alias("_c"))
+    return cells.select("region", "_c.at.i", "_c.at.j", "shrinkage", r6("_c.covariance").alias("covariance"))
 
 
 @query("whiten_features")
@@ -141,7 +150,7 @@ def _fit(df, keys):
 
 @query("ols_standardised", f"WITH {RDM}, {BEH}, both_ AS (SELECT * FROM rdm JOIN beh USING (subject, i, j)), {TWO.format(k='subject, region', src='both_')} SELECT subject, region, {FIT} FROM fit")
 def ols_standardised(spark, sf):
-    return _fit(rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"]), ["subject", "region"])
+    return _fit(durable(rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"])), ["subject", "region"])
 
 
 @query("context_regression", f"WITH {BLOCKS}, {TWO.format(k='subject, region, context', src='blk')} SELECT subject, region, context, {FIT} FROM fit")
@@ -153,7 +162,7 @@ WARP = f"{BLOCKS}, wp AS (SELECT a.subject, a.region, a.context AS c1, b.context
 
 
 def block_pairs(spark, sf):
-    b = durable(blocks(spark, sf))
+    b = blocks(spark, sf)
     pairs = matching.upper_pairs(b, ["subject", "region", "ii", "jj"], "context", ["d", "m1", "m2"])
     return pairs.withColumnsRenamed({"i": "c1", "j": "c2"})
 
@@ -241,7 +250,7 @@ def factor_columns(df):
 
 @query("ols_factor")
 def ols_factor(spark, sf):
-    df, pair_names, item_names = factor_columns(displacement(spark, sf))
+    df, pair_names, item_names = factor_columns(durable(displacement(spark, sf)))
     fit = regression.ols(df, ["subject", "region"], "d", ["m1", "m2"], [*pair_names, *item_names], parts=False)
     return fit.select(
         "subject", "region", "n_valid", r6(F.get("beta", F.lit(0))).alias("beta_1"), r6(F.get("beta", F.lit(1))).alias("beta_2"),

@@ -136,9 +136,9 @@ dd AS (SELECT run, frame, val - lag(val) OVER (PARTITION BY run, voxel ORDER BY
 dv AS (SELECT run, frame, sqrt(avg(coalesce(d * d, 0))) AS x FROM dd GROUP BY run, frame)"""
 
 
-def voxels(spark, sf):
+def voxels(spark, sf, f=None):
     """Four measured columns of each frame as voxel rows."""
-    f = V.frames(spark, sf)
+    f = V.frames(spark, sf) if f is None else f
     cells = F.array(*[F.struct(F.lit(n).alias("voxel"), (F.col(c) * 10).alias("val")) for n, c in enumerate(V.MOTION[:4])])
     return f.select("run", "frame", F.explode(cells).alias("_c")).select("run", "frame", "_c.voxel", "_c.val")
 
@@ -169,9 +169,9 @@ BAD = "bad AS (" + " UNION ALL ".join(
 
 def motion_qc(spark, sf):
     """(run, frame, fd, dvars, z) of every frame; displacement in tenths for this fixture."""
-    f = V.frames(spark, sf)
+    f = V.frames(spark, sf, stored=True)
     fd = timeseries.framewise_displacement(f, ["run"], "frame", V.MOTION, V.frame_chunk()).withColumn("fd", F.col("fd") / 10)
-    d = quality.dvars(voxels(spark, sf), "run", "frame", "voxel", "val")
+    d = quality.dvars(voxels(spark, sf, f), "run", "frame", "voxel", "val")
     z = summaries.robust_z(d, "run", "frame", "dvars", "z")
     return fd.select("run", "frame", "fd").join(z, ["run", "frame"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import to_long
 from ..operators.ordered import number_rows
+from ..session import durable
 
 WIDTH = 64          # embedding width
 REGION_WIDTH = 16   # features per region
@@ -87,14 +88,17 @@ RATINGS = """ratings AS (SELECT CAST(l_suppkey % 5 AS INT) AS subject, CAST(l_pa
 MOTION = ["p1", "p2", "p3", "p4", "p5", "p6"]
 
 
-def frames(spark, sf) -> DataFrame:
-    """Six motion parameters per run and frame; frames are numbered along the order keys."""
+def frames(spark, sf, stored: bool = False) -> DataFrame:
+    """Six motion parameters per run and frame; frames are numbered along the order keys.
+
+    ``stored`` writes the numbered table once for pipelines that read it many times.
+    """
     li = table(spark, sf, "lineitem").drop("l_shipdate", "l_returnflag", "l_linestatus")
     numbered = number_rows(
         li, ["l_suppkey"], F.expr(f"l_orderkey div {ORDER_CHUNK}"), FRAME_ORDER, "frame"
     )
     q, e, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    return numbered.select(
+    table_ = numbered.select(
         F.col("l_suppkey").alias("run"),
         "frame",
         (q / 100).alias("p1"),
@@ -105,6 +109,7 @@ def frames(spark, sf) -> DataFrame:
         ((q / 100 + d) / 100).alias("p6"),
         q.alias("signal"),
     )
+    return durable(table_) if stored else table_
 
 
 FRAMES = """frames AS (SELECT l_suppkey AS run,
