@@ -251,9 +251,9 @@ def nested_selection(
     tests = units.withColumn("outer", outer).where(F.col(fold) != F.col("outer"))
     inner = linear_predict(tests, inner_w, [*keys, "outer", fold], ["gamma"], unit, label, vec)
     rank = F.array_position(F.array(*[F.lit(g) for g in gammas]), F.col("gamma")).cast("int")
-    inner = inner.withColumn("candidate", rank).drop("gamma")
+    inner = inner.withColumn("choice", rank).drop("gamma")
     outer_w = lda_weights(train_moments(m, keys, fold), [*keys, fold], gammas)
-    final = linear_predict(units, outer_w, [*keys, fold], ["gamma"], unit, label, vec).withColumn("candidate", rank).drop("gamma")
+    final = linear_predict(units, outer_w, [*keys, fold], ["gamma"], unit, label, vec).withColumn("choice", rank).drop("gamma")
 
     specs, place = [], []
     for n, c in enumerate(costs):
@@ -266,14 +266,14 @@ def nested_selection(
                         specs.append({"classes": p, "cost": c, fold: [o, i]})
                         place.append((len(gammas) + n + 1, o, i))
     machines = durable(fit_linear_svms(units, keys, vec, label, {fold: []}, specs))
-    lookup = F.array(*[F.struct(F.lit(a).alias("candidate"), F.lit(o).alias("outer"), F.lit(i).alias(fold)) for a, o, i in place])
-    at = machines.withColumn("_p", F.element_at(lookup, F.col("model") + 1)).select(*keys, "first", "second", "w", "b", "_p.candidate", "_p.outer", f"_p.{fold}")
-    svm_inner = vote(tests, at.where(F.col("outer") != F.col(fold)), [*keys, "outer", fold], ["candidate"], unit, label, vec)
-    svm_final = vote(units, at.where(F.col("outer") == F.col(fold)).drop("outer"), [*keys, fold], ["candidate"], unit, label, vec)
+    lookup = F.array(*[F.struct(F.lit(a).alias("choice"), F.lit(o).alias("outer"), F.lit(i).alias(fold)) for a, o, i in place])
+    at = machines.withColumn("_p", F.element_at(lookup, F.col("model") + 1)).select(*keys, "first", "second", "w", "b", "_p.choice", "_p.outer", f"_p.{fold}")
+    svm_inner = vote(tests, at.where(F.col("outer") != F.col(fold)), [*keys, "outer", fold], ["choice"], unit, label, vec)
+    svm_final = vote(units, at.where(F.col("outer") == F.col(fold)).drop("outer"), [*keys, fold], ["choice"], unit, label, vec)
 
     inner = inner.unionByName(svm_inner)
-    scores = accuracy(inner, [*keys, "outer", fold, "candidate"], label, "predicted")
-    mean = scores.groupBy(*keys, "outer", "candidate").agg(F.avg("balanced_accuracy").alias("score"))
-    chosen = best_candidate(mean, [*keys, "outer"], "candidate", "score").select(*keys, F.col("outer").alias(fold), "candidate")
-    final = final.unionByName(svm_final).join(chosen, [*keys, fold, "candidate"])
-    return accuracy(final, [*keys, fold, "candidate"], label, "predicted")
+    scores = accuracy(inner, [*keys, "outer", fold, "choice"], label, "predicted")
+    mean = scores.groupBy(*keys, "outer", "choice").agg(F.avg("balanced_accuracy").alias("score"))
+    chosen = best_candidate(mean, [*keys, "outer"], "choice", "score").select(*keys, F.col("outer").alias(fold), "choice")
+    final = final.unionByName(svm_final).join(chosen, [*keys, fold, "choice"])
+    return accuracy(final, [*keys, fold, "choice"], label, "predicted").withColumnRenamed("choice", "candidate")

@@ -70,40 +70,71 @@ def interior(mask: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
     return inside.where(F.col("_n") == len(offsets)).drop("_n")
 
 
-def connected_components(mask: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(i, j, k, label): 6-connected components named by their smallest cell key.
+TILE = 32  # edge of a labelling tile: at most 32^3 cells reach one group
+
 
-    Each round takes the smallest label around a cell, then jumps to the label of
-    that label, so paths shorten geometrically. Rounds are cut by a written copy.
+def contract(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(node, label) of an edge table (a, b): every node with the smallest node of its component.
+
+    Alternating large and small stars: each round hangs neighbours on the smallest node
+    seen, first those above a node, then those below, until only stars are left. The
+    number of rounds grows with the logarithm of the component, and a hub is only ever
+    met through a minimum and a join.
     """
-    faces = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
-    key = F.col("k") * (1 << 40) + F.col("j") * (1 << 20) + F.col("i")
-    cells = mask.select("i", "j", "k").distinct().withColumn("cell", key.cast("bigint"))
-    edges = (
-        shifted(cells, faces)
-        .select("cell", "ni", "nj", "nk")
-        .join(cells.select(F.col("i").alias("ni"), F.col("j").alias("nj"), F.col("k").alias("nk"), F.col("cell").alias("other")), ["ni", "nj", "nk"])
-        .select("cell", "other")
-    )
-    edges = durable(edges)
-    state = durable(cells.select("cell", F.col("cell").alias("label")))
+    state = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(max_rounds):
-        around = (
-            edges.join(state.select(F.col("cell").alias("other"), F.col("label").alias("seen")), "other")
-            .groupBy("cell").agg(F.min("seen").alias("seen"))
-        )
-        step = state.join(around, "cell", "left").select("cell", "label", F.least("label", "seen").alias("low"))
-        # The old label learns the new one too, so a whole tree moves at once.
-        hook = step.groupBy(F.col("label").alias("root")).agg(F.min("low").alias("root_low"))
-        step = step.join(hook, F.col("low") == F.col("root"), "left")
-        new = durable(step.select("cell", "label", F.least("low", "root_low").alias("new")))
-        changed = new.where("new <> label").limit(1).count()
-        state = new.select("cell", F.col("new").alias("label"))
-        if not changed:
-            return cells.join(state, "cell").select("i", "j", "k", "label")
+        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(small_low, "a")
+        new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        new = durable(new.where("a <> b").distinct())
+        moved = new.join(state, ["a", "b"], "left_anti").limit(1).count() + state.join(new, ["a", "b"], "left_anti").limit(1).count()
+        state = new
+        if not moved:
+            return state.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
+def connected_components(mask: DataFrame) -> DataFrame:
+    """(i, j, k, label): 6-connected components named by their smallest cell key.
+
+    Cells are first labelled inside fixed tiles, whose size bounds a group; only the
+    labels that touch across tile faces go on to the distributed contraction.
+    """
+    import pandas as pd
+
+    shift = 1 << 20
+    key = F.col("k").cast("bigint") * shift * shift + F.col("j") * shift + F.col("i")
+    tiles = [F.floor(F.col(c) / TILE).alias(f"t{c}") for c in "ijk"]
+    cells = mask.select("i", "j", "k").distinct().withColumn("cell", key.cast("bigint"))
+
+    def label(pdf: "pd.DataFrame") -> "pd.DataFrame":
+        parent = {c: c for c in pdf["cell"]}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        for c in pdf["cell"]:
+            for step in (1, shift, shift * shift):
+                if c + step in parent:
+                    a, b = root(c), root(c + step)
+                    parent[max(a, b)] = min(a, b)
+        return pdf[["i", "j", "k", "cell"]].assign(label=[root(c) for c in pdf["cell"]])
+
+    local = durable(cells.groupBy(*tiles).applyInPandas(label, "i int, j int, k int, cell bigint, label bigint"))
+    faces = F.explode(F.array(*[F.lit(s) for s in (1, shift, shift * shift)]))
+    edge_cells = local.where(" OR ".join(f"{c} % {TILE} = {TILE - 1}" for c in "ijk"))
+    touching = edge_cells.select(F.col("label").alias("a"), F.col("cell"), faces.alias("_s")).select("a", (F.col("cell") + F.col("_s")).alias("cell"))
+    edges = touching.join(local.select("cell", F.col("label").alias("b")), "cell").select("a", "b")
+    roots = contract(edges).select(F.col("node").alias("label"), F.col("label").alias("_root"))
+    return local.join(roots, "label", "left").select("i", "j", "k", F.coalesce("_root", "label").alias("label"))
+
+
 def corner_weights(df: DataFrame, x: Column, y: Column, z: Column) -> DataFrame:
     """Eight source corners (si, sj, sk) with trilinear weights for each target row."""
     df = df.withColumns({"_x": x, "_y": y, "_z": z})
