@@ -138,8 +138,8 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
     ``models`` lists dicts with the two classes, the cost and, per held-out column in
     ``held``, the value left out (None = nothing). Squared hinge loss is minimised by
     Newton steps. A step is one pass: each task adds gradient and curvature of its own
-    units for every model and key; the sums are joined by Spark and only the weights,
-    whose number is models x keys x features, come back for the next step.
+    units for every model and key, Spark adds those sums, tasks solve the small systems,
+    and only the weights (models x keys x features) come back for the next step.
     """
     import numpy as np
     import pandas as pd
@@ -147,58 +147,73 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
     spark = units.sparkSession
     slim = units.select(*keys, label, vec, *held)
     width = slim.select(F.size(vec).alias("d")).first()["d"] + 1
-    state: dict = {}
     iu = np.triu_indices(width)
+    first, second = (np.array([m["classes"][n] for m in models]) for n in (0, 1))
+    cost = np.array([m["cost"] for m in models])
+    # Held-out values per model, padded with a value no block has.
+    left_out = {c: [np.array([(m[c] + [-1] * 9)[n] for m in models]) for n in range(max(len(m[c]) for m in models))] for c in held}
+    state: dict = {}
 
     def one_pass(weights):
         shared = spark.sparkContext.broadcast(weights)
 
         def partial(batches):
-            held_sums: dict = {}
+            sums: dict = {}
             for batch in batches:
                 for key, part in batch.groupby(keys, sort=False):
                     key = key if isinstance(key, tuple) else (key,)
                     x = np.column_stack([np.stack(part[vec].to_numpy()), np.ones(len(part))])
-                    y_all = part[label].to_numpy()
-                    for m, spec in enumerate(models):
-                        use = np.isin(y_all, spec["classes"])
-                        for c in held:
-                            if spec[c] is not None:
-                                use &= ~np.isin(part[c].to_numpy(), spec[c])
-                        xs, ys = x[use], np.where(y_all[use] == spec["classes"][0], 1.0, -1.0)
-                        w = shared.value.get((key, m), np.zeros(width))
-                        margin = 1 - ys * (xs @ w)
-                        active = margin > 0
-                        xa = xs[active]
-                        g = -2 * spec["cost"] * (xa * (ys[active] * margin[active])[:, None]).sum(0)
-                        h = 2 * spec["cost"] * (xa.T @ xa)[iu]
-                        old = held_sums.get((key, m))
-                        held_sums[(key, m)] = (g, h) if old is None else (old[0] + g, old[1] + h)
-            rows = [(*k, m, np.concatenate([g, h]).tolist()) for (k, m), (g, h) in held_sums.items()]
+                    y = part[label].to_numpy()[:, None]
+                    use = (y == first) | (y == second)
+                    for c, values in left_out.items():
+                        for v in values:
+                            use &= part[c].to_numpy()[:, None] != v
+                    side = np.where(y == first, 1.0, -1.0)
+                    w = shared.value.get(key)
+                    margin = 1 - side * (x @ w.T) if w is not None else np.ones(use.shape)
+                    active = use & (margin > 0)
+                    g = (x.T @ (side * margin * active)).T * (-2 * cost[:, None])
+                    products = x[:, iu[0]] * x[:, iu[1]]  # one row per unit serves every model
+                    h = (products.T @ active.astype(float)).T * (2 * cost[:, None])
+                    sums[key] = sums.get(key, 0.0) + np.column_stack([g, h])
+            rows = [(*k, m, row.tolist()) for k, total in sums.items() for m, row in enumerate(total)]
             yield pd.DataFrame(rows, columns=[*keys, "model", "sums"])
 
-        head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+        def step(batches):
+            # Rows are per task, key and model; a partition holds whole (key, model) pairs.
+            held_sums: dict = {}
+            for batch in batches:
+                for *k, m, row in batch[[*keys, "model", "sums"]].itertuples(index=False, name=None):
+                    at = (tuple(k), m)
+                    held_sums[at] = held_sums.get(at, 0.0) + np.asarray(row)
+            if not held_sums:
+                return
+            total = np.stack(list(held_sums.values()))
+            reg = np.eye(width)
+            reg[-1, -1] = 1e-6
+            h = np.zeros((len(total), width, width))
+            h[:, iu[0], iu[1]] = total[:, width:]
+            h[:, iu[1], iu[0]] = total[:, width:]
+            old = [shared.value.get(k) for k, _ in held_sums]
+            w = np.stack([np.zeros(width) if o is None else o[m] for o, (_, m) in zip(old, held_sums)])
+            new_w = w - np.linalg.solve(h + reg, (total[:, :width] + w @ reg)[:, :, None])[:, :, 0]
+            rows = [(*k, m, v.tolist()) for (k, m), v in zip(held_sums, new_w)]
+            yield pd.DataFrame(rows, columns=[*keys, "model", "w"])
+
         parts = slim.mapInPandas(partial, f"{head}, model int, sums array<double>")
-        return vectors.sum_vectors(parts, [*keys, "model"], "sums", "sums", "_n").drop("_n")
+        return parts.repartition(*keys, "model").mapInPandas(step, f"{head}, model int, w array<double>")
 
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
     for _ in range(rounds):
-        new = {}
-        for row in one_pass(state).toLocalIterator():  # one short row per model and key
-            key = (tuple(row[k] for k in keys), row["model"])
-            sums = np.asarray(row["sums"])
-            w = state.get(key, np.zeros(width))
-            reg = np.eye(width)
-            reg[-1, -1] = 1e-6
-            h = np.zeros((width, width))
-            h[iu] = sums[width:]
-            h = h + np.triu(h, 1).T + reg
-            new[key] = w - np.linalg.solve(h, sums[:width] + reg @ w)
-        done = bool(state) and max(float(np.abs(new[k] - state[k]).max()) for k in new) < 1e-9
+        # One short weight row per model and key comes back; their number is set by the caller's models.
+        new: dict = {}
+        for r in one_pass(state).collect():
+            new.setdefault(tuple(r[k] for k in keys), np.zeros((len(models), width)))[r["model"]] = r["w"]
+        done = bool(state) and max(float(np.abs(new[k] - state[k]).max()) for k in new) < 1e-6
         state = new
         if done:
             break
-    rows = [(*k, m, models[m]["classes"][0], models[m]["classes"][1], w[:-1].tolist(), float(w[-1])) for (k, m), w in state.items()]
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+    rows = [(*k, m, int(first[m]), int(second[m]), w[:-1].tolist(), float(w[-1])) for k, ws in state.items() for m, w in enumerate(ws)]
     return spark.createDataFrame(rows, f"{head}, model int, first int, second int, w array<double>, b double")
 
 
