@@ -35,19 +35,34 @@ def test_scan_equals_window(series, width):
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
-def test_percentiles_match_numpy(series):
+@pytest.fixture(params=[1, 5, 100_000])
+def chunk_rows(request, monkeypatch):
+    """Distinct values per chunk: many chunks, some, one."""
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", request.param)
+
+
+def test_percentiles_match_numpy(series, chunk_rows):
     got = ordered.percentiles(series, ["key"], "v", {"a": 0.1, "b": 0.5, "c": 0.95}).toPandas().set_index("key")
     raw = series.toPandas().dropna()
     for key, part in raw.groupby("key"):
         np.testing.assert_allclose(got.loc[key, ["a", "b", "c"]].to_numpy(dtype=float), np.quantile(part["v"], [0.1, 0.5, 0.95]))
 
 
-def test_tied_ranks_match_pandas(series):
+def test_tied_ranks_match_pandas(series, chunk_rows):
     got = ordered.tied_ranks(series, ["key"], "v", "r").toPandas().dropna().sort_values("t")
     want = got.groupby("key")["v"].rank()
     np.testing.assert_allclose(got["r"], want)
 
 
+def test_many_chunks_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 3)
+    v = np.random.default_rng(1).exponential(size=3000) ** 3
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    got = ordered.tied_ranks(df, [], "v", "r").toPandas()
+    np.testing.assert_allclose(got["r"], got["v"].rank())
+    assert ordered.chunk_edges(df.groupBy("v").count().withColumnRenamed("count", "_n"), [], "v").select(F.size("_edges").alias("k")).first()["k"] > 200
+
+
 def test_result_does_not_depend_on_partitions(spark, series):
     def run(n):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))

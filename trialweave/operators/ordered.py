@@ -128,27 +128,44 @@ def number_rows(df: DataFrame, keys: list[str], chunk, order: list[str], out: st
     return scan(df, keys, chunk, order, **{out: row_number()})
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, chunks: int = 64) -> DataFrame:
+CHUNK_ROWS = 100_000  # distinct values per chunk of a distribution
+COARSE = 16           # a place is found in two steps of COARSE edges each
+
+
+def chunk_edges(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, _total, _edges, _coarse): up to COARSE^2 - 1 sorted cut values per key.
+
+    Small keys get none, so they pay nothing. Edges are approximate quantiles of the
+    distinct values; they decide only the balance of the work, never the result.
+    """
+    most = COARSE * COARSE
+    levels = F.array(*[F.lit((i + 1) / most) for i in range(most - 1)])
+    raw = counts.groupBy(*keys).agg(
+        F.percentile_approx(value, levels, F.lit(2000)).alias("_all"), F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_d")
+    )
+    pieces = F.least(F.lit(most), F.ceil(F.col("_d") / CHUNK_ROWS))
+    kept = F.filter("_all", lambda e, i: F.floor((i + 1) * pieces / most) > F.floor(i * pieces / most))
+    raw = raw.withColumn("_edges", F.array_distinct(kept))
+    steps = F.sequence(F.lit(COARSE), F.lit(most), F.lit(COARSE))
+    coarse = F.transform(F.filter(steps, lambda n: n <= F.size("_edges")), lambda n: F.get(F.col("_edges"), n - 1))
+    return raw.select(*keys, "_total", "_edges", coarse.alias("_coarse"))
+
+
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, _n, _cum, _total): counts of each distinct value and their running sum.
 
     Ranks, percentiles, medians and step-up adjustments all read this table. Equal
-    values are merged first and written, so the input is read once. Chunk edges are
-    approximate quantiles of the distinct values, which decide only the balance of
-    the work, never the result; they are written too, so that a recomputed task sees
-    the same edges.
+    values are merged first and written, so the input is read once. The cut values are
+    written too, so that a recomputed task sees the same ones.
     """
     present = df.where(F.col(value).isNotNull())
     counts = durable(present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
-    levels = F.array(*[F.lit((i + 1) / chunks) for i in range(chunks - 1)])
-    edges = durable(
-        counts.groupBy(*keys).agg(F.percentile_approx(value, levels, F.lit(1000)).alias("_edges"), F.sum("_n").alias("_total"))
-    )
-    if keys:
-        cut = counts.join(edges, keys)
-    else:
-        cut = counts.join(edges, F.lit(True))  # a one-row table: the edges of the whole input
-    place = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    cut = cut.withColumn("_place", place).drop("_edges")
+    edges = durable(chunk_edges(counts, keys, value))
+    cut = counts.join(edges, keys) if keys else counts.join(edges, F.lit(True))  # without keys: one row of edges
+    v = F.col(value)
+    high = F.size(F.filter("_coarse", lambda e: e < v)) * COARSE
+    place = high + F.size(F.filter(F.slice("_edges", high + 1, COARSE), lambda e: e < v))
+    cut = cut.withColumn("_place", place).drop("_edges", "_coarse")
     return scan(cut, keys, "_place", [value], _cum=running_sum("_n")).drop("_place")
 
 
