@@ -45,7 +45,7 @@ def seeded_key(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[col(p).cast("string") for p in parts]))
 
 
-def seeded_chunk(key, hex_digits: int = 2) -> Column:
+def seeded_chunk(key, hex_digits: int = 3) -> Column:
     """Leading hex digits of a seeded key: an even split that keeps the key order."""
     return F.substring(col(key), 1, hex_digits)
 

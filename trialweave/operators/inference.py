@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import distribution, min_from_here, scan, value_at
+from ..session import durable
+from .ordered import CHUNK_ROWS, distribution, min_from_here, running_sum, scan, value_at
 
 
 def bh_fdr(df: DataFrame, family: list[str], p: str, out: str = "q") -> DataFrame:
@@ -15,6 +16,7 @@ def bh_fdr(df: DataFrame, family: list[str], p: str, out: str = "q") -> DataFram
     distinct values however many tests there are. q is the smallest p*m/rank from
     there on, which needs only a suffix minimum over chunks of p.
     """
+    df = durable(df)  # q is joined back on the exact p, which a recomputed sum might not repeat
     dist = distribution(df, family, p).withColumn("_raw", F.col(p) * F.col("_total") / F.col("_cum"))
     # Halves of the unit interval by magnitude keep the chunks in order and the small p values apart.
     chunk = F.floor(F.log2(F.greatest(F.col(p), F.lit(1e-300))) * 8)
@@ -59,26 +61,27 @@ def p_two_sided(observed: DataFrame, null: DataFrame, keys: list[str], value: st
     ).withColumnRenamed("_obs", value)
 
 
-def p_pooled(observed: DataFrame, null: DataFrame, value: str) -> DataFrame:
-    """Share of one pooled null at or above each observed value, nothing added.
+def count_at_least(observed: DataFrame, pool: DataFrame, keys: list[str], value: str, pool_value: str) -> DataFrame:
+    """(keys, value, _ge, _n): how many pool values of the key reach each observed value.
 
-    Observed values are placed in the null's distribution by a union and a running
-    count; the null is never paired with the observations.
+    Both are merged along one order and counted with a running sum; observations are
+    never paired with the pool, so neither side is multiplied by the other.
     """
-    both = observed.select(F.col(value).alias("_v")).distinct().withColumn("_w", F.lit(0)).unionByName(
-        null.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    )
-    from .ordered import running_sum
-
-    merged = both.groupBy("_v").agg(F.sum("_w").alias("_w"))
-    cut = distribution(merged, [], "_v").select("_v", "_cum")
-    merged = merged.join(cut, "_v")
-    placed = scan(merged, [], F.floor(F.col("_cum") / 65536), ["_v"], _through=running_sum("_w"))
-    size = null.agg(F.count(F.lit(1)).alias("_n"))
-    p = placed.join(size, F.lit(True)).select(
-        F.col("_v").alias(value), ((F.col("_n") - F.col("_through") + F.col("_w")) / F.col("_n")).alias("p")
-    )
-    return observed.join(p, value)
+    seen = observed.select(*keys, F.col(value).alias("_v")).distinct().withColumn("_w", F.lit(0).cast("bigint"))
+    held = pool.groupBy(*keys, F.col(pool_value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+    merged = durable(seen.unionByName(held).groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")))
+    place = distribution(merged, keys, "_v").select(*keys, "_v", F.floor(F.col("_cum") / CHUNK_ROWS).alias("_place"))
+    through = scan(merged.join(place, [*keys, "_v"]), keys, "_place", ["_v"], _through=running_sum("_w"))
+    size = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else pool.agg(F.count(F.lit(1)).alias("_n"))
+    out = through.join(size, keys) if keys else through.join(size, F.lit(True))  # without keys: one row
+    return out.select(*keys, F.col("_v").alias(value), (F.col("_n") - F.col("_through") + F.col("_w")).alias("_ge"), "_n")
+
+
+def p_pooled(observed: DataFrame, null: DataFrame, value: str) -> DataFrame:
+    """Share of one pooled null at or above each observed value, nothing added."""
+    observed = durable(observed)
+    p = count_at_least(observed, null, [], value, value)
+    return observed.join(p.select(value, (F.col("_ge") / F.col("_n")).alias("p")), value)
 
 
 def max_per_permutation(null: DataFrame, family: list[str], value: str, out: str = "max_value") -> DataFrame:
@@ -87,11 +90,12 @@ def max_per_permutation(null: DataFrame, family: list[str], value: str, out: str
 
 def maxstat_fwe(observed: DataFrame, null: DataFrame, keys: list[str], family: list[str], value: str, add_one: bool = True) -> DataFrame:
     """p of each observed value among the maxima of its family per permutation."""
-    maxima = max_per_permutation(null, family, value, "_max")
-    joined = observed.join(maxima, family) if family else observed.join(maxima, F.lit(True))
+    observed = durable(observed)
+    maxima = durable(max_per_permutation(null, family, value, "_max"))  # one row per family and permutation
+    counts = count_at_least(observed, maxima, family, value, "_max")
     extra = 1 if add_one else 0
-    p = (F.count_if(F.col("_max") >= F.col(value)) + extra) / (F.count("_max") + extra)
-    return joined.groupBy(*dict.fromkeys([*family, *keys, value])).agg(p.alias("p_fwe"))
+    p = counts.select(*family, value, ((F.col("_ge") + extra) / (F.col("_n") + extra)).alias("p_fwe"))
+    return observed.join(p, [*family, value]).select(*dict.fromkeys([*family, *keys, value]), "p_fwe")
 
 
 def studentise(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
@@ -107,6 +111,7 @@ def studentise(observed: DataFrame, null: DataFrame, keys: list[str], value: str
 def maxstat_studentised(observed: DataFrame, null: DataFrame, keys: list[str], family: list[str], value: str) -> DataFrame:
     """Adds null mean, sd, z, uncorrected p and family-wise p over all tests of the family."""
     o, n = studentise(observed, null, keys, value)
+    o = durable(o)
     plain = p_upper(observed, null, keys, value).select(*keys, F.col("p").alias("p_uncorrected"), "n_perm")
     fwe = maxstat_fwe(o.select(*dict.fromkeys([*family, *keys]), "z"), n, keys, family, "z").select(*keys, "p_fwe")
     return o.select(*dict.fromkeys([*family, *keys]), value, "null_mean", "null_sd", "z").join(plain, keys).join(fwe, keys)
@@ -122,15 +127,14 @@ def sign_flip_exact(effects: DataFrame, family: list[str], test: list[str], subj
     wide = effects.join(n, F.lit(True)).withColumn("pattern", F.explode(F.expr("sequence(0L, shiftleft(1L, int(_n)) - 1)")))
     bit = F.expr(f"shiftright(pattern, int({subject})) & 1")
     signed = F.when(bit == 1, F.col(value)).otherwise(-F.col(value))
-    null = wide.groupBy(*family, *test, "pattern").agg(F.round(F.avg(signed), 12).alias("_null"))
-    obs = effects.groupBy(*family, *test).agg(F.round(F.avg(value), 12).alias("observed"))
+    null = durable(wide.groupBy(*family, *test, "pattern").agg(F.round(F.avg(signed), 12).alias("_null")))
+    obs = durable(effects.groupBy(*family, *test).agg(F.round(F.avg(value), 12).alias("observed")))
     joined = null.join(obs, [*family, *test])
     plain = joined.groupBy(*family, *test, "observed").agg(
         (F.count_if(F.col("_null") >= F.col("observed")) / F.count(F.lit(1))).alias("p")
     )
-    maxima = null.groupBy(*family, "pattern").agg(F.max("_null").alias("_max"))
-    both = obs.join(maxima, family) if family else obs.join(maxima, F.lit(True))
-    fwe = both.groupBy(*family, *test).agg((F.count_if(F.col("_max") >= F.col("observed")) / F.count(F.lit(1))).alias("p_fwe"))
+    by_pattern = null.select(*family, F.col("pattern").alias("perm"), F.col("_null").alias("observed"))
+    fwe = maxstat_fwe(obs, by_pattern, test, family, "observed", add_one=False).select(*family, *test, "p_fwe")
     return bh_fdr(plain.join(fwe, [*family, *test]), family, "p")
 
 

@@ -196,7 +196,11 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 
 
 def tied_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Average rank of equal values, joined back to the rows."""
+    """Average rank of equal values, joined back to the rows on the exact value.
+
+    Values that come from distributed sums should be written (``durable``) first, so
+    that both readings see the same bits.
+    """
     ranks = distribution(df, keys, value).select(
         *keys, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(out)
     )
