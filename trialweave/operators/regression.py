@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.stats import finite
-from .matching import permuted_pairs
 from .ordered import tied_ranks
 from .quality import gram, unpack_symmetric
 from .summaries import zscore_within

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import col
-from .ordered import following, last_known, number_rows, percentiles, previous, running_sum, scan
+from .ordered import following, number_rows, percentiles, previous, running_sum, scan
 
 
 def differences(df: DataFrame, keys: list[str], frame: str, columns: list[str], chunk, prefix: str = "d_") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.stats import pearson, r6
 from ..session import durable
 from ..operators import learners, ordered, patterns, quality, selection, spatial, summaries, timeseries
 from ..sources import views as V
-from .joins import AT, CELLS, conditions
+from .joins import AT
 from .registry import query, rnd
 
 
