@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import scratch_path
 
@@ -122,3 +124,27 @@ class Hasher:
 def per_text(start: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Bounds of the words of each text among all words: text i has words [b[i], b[i + 1])."""
     return np.searchsorted(start, first)
+
+
+def with_column(df: DataFrame, text: str, out: str, kind: str, make: Callable, keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) with ``out`` computed from ``text`` in Arrow slices.
+
+    ``make()`` runs once in each task and returns a function from a string array to an array of type ``kind``.
+    Rows stay as they are, one to one; a column already called ``out`` is replaced.
+    """
+    names = [c for c in (df.columns if keep is None else keep) if c != out]
+    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_text_"))
+    result = StructType([*[df.schema[c] for c in names], StructField(out, _parse_datatype_string(kind))])
+
+    def run(batches):
+        apply = make()
+        for part in slices(batches, "_text_"):
+            columns = [part.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, apply(part.column(len(names)))], names=[*names, out])
+
+    return work.mapInArrow(run, result)
+
+
+def lists(flat: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    """List array from its flat values and the length of each list."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)

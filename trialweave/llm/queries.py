@@ -1,6 +1,8 @@
 """Registered queries of the subpackage: one per numbered operator."""
 
-from . import neardup
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, neardup
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -8,3 +10,35 @@ from .common import QUERIES, SQL, query, table  # noqa: F401
 def op6_minhash_near_dedup(spark, sf):
     """Component and survivor of every document at similarity 0.75 on five-word shingles."""
     return neardup.near_components(table(spark, sf, "documents"))
+
+
+@query("op7_wu_manber_decontamination")
+def op7_wu_manber_decontamination(spark, sf):
+    """Words of every document inside occurrences of 13-word benchmark windows."""
+    found = decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+    p = F.col("passages")
+    return found.select(
+        "doc_id", p.n_words.alias("n_words"), p.n_hit.alias("n_hit"), F.size(p.getField("items")).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(p.getField("items")), ","), 256).alias("items_sha256"),
+        ((p.n_hit > 0) & (20 * p.n_hit >= p.n_words)).alias("contaminated"),
+    )
+
+
+def piece_model() -> str:
+    """Path of the public merge-type model; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op10_sentencepiece_codec")
+def op10_sentencepiece_codec(spark, sf, model: str | None = None):
+    """Encode every text with the merge-type vocabulary and decode it again."""
+    with open(model or piece_model(), "rb") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    ids = bpe.encode(table(spark, sf, "documents"), vocabulary, keep=["doc_id"])
+    back = bpe.decode(ids, vocabulary)
+    return back.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
