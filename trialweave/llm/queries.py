@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup
+from . import bpe, decontaminate, language, neardup, toxicity
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -24,6 +24,30 @@ def op7_wu_manber_decontamination(spark, sf):
     )
 
 
+@query("op8_toxicity_instances")
+def op8_toxicity_instances(spark, sf):
+    """Noisy-or toxicity of every document, learned from two thirds of the labels."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.trained(docs, table(spark, sf, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    value = F.col("toxicity.score")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), value.alias("score"), (value >= 0.7).cast("int").alias("predicted"),
+        F.size("toxicity.offending").alias("n_offending"),
+    )
+
+
+@query("op9_language_crf")
+def op9_language_crf(spark, sf):
+    """Language of every document from word labels, learned from three quarters of the rows."""
+    docs = table(spark, sf, "documents")
+    found = language.identify(docs, language.trained(docs), keep=["doc_id"])
+    return found.select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+        F.size("language.runs").alias("n_runs"),
+    )
+
+
 def piece_model() -> str:
     """Path of the public merge-type model; a parameter of the operator."""
     import public_tokenizers
