@@ -2,10 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, neardup, toxicity
+from . import bpe, decontaminate, language, linededup, neardup, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
+@query("op4_warc_zstandard")
+def op4_warc_zstandard(spark, sf):
+    """Every page as a WARC record, written to Zstandard archives and read back."""
+    back = warc.round_trip(spark, table(spark, sf, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op5_line_site_spread",
+    """WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos FROM d),
+wide AS (SELECT trim(line) AS t, min(row(doc_id, pos)) AS least FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 3),
+marked AS (SELECT doc_id, line, pos, t IS NOT NULL AND least <> row(doc_id, pos) AS gone FROM lines LEFT JOIN wide ON t = trim(line))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256 FROM marked GROUP BY doc_id""",
+)
+def op5_line_site_spread(spark, sf):
+    """Documents without the lines that stand on three or more sources, but for each line's first occurrence."""
+    done = linededup.remove_boilerplate(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    r = F.col("line_dedup")
+    return done.select("doc_id", r.n_lines.alias("n_lines"), r.n_removed.alias("n_removed"), F.sha2(r.getField("text"), 256).alias("text_sha256"))
+
+
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark, sf):
     """Component and survivor of every document at similarity 0.75 on five-word shingles."""
