@@ -2,10 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, linededup, neardup, toxicity, warc
+from . import ann, bpe, decontaminate, language, linededup, neardup, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
+@query("op1_multiprobe_neighbours")
+def op1_multiprobe_neighbours(spark, sf):
+    """The twenty nearest of every row of ``embeddings`` whose id is divisible by twenty, found by multiprobe hashing."""
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 @query("op4_warc_zstandard")
 def op4_warc_zstandard(spark, sf):
     """Every page as a WARC record, written to Zstandard archives and read back."""
