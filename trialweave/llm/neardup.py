@@ -8,8 +8,10 @@
 * BANDS x ROWS bins form bucket keys. A bucket is never expanded into pairs: its most central member (the one
   whose buckets hold most members) is the hub of a star. Confirmed links join components; members of a bucket
   that are still in different components get further stars around other hubs, four times as many each round,
-  until the bucket lies in one component or each of its members was a hub. No cap: two sets that share a bucket
-  are compared, unless their sizes rule a link out or they are already connected.
+  until the bucket lies in one component or each of its members was a hub. After the first round two upper
+  bounds on an overlap rule out nearly all pairs inside a large group of loose copies: the number of shingles that
+  any other open set holds too, and the summed minima of shingle counts by classes of low bits. No cap: two sets that share a
+  bucket are compared, unless a bound or their sizes rule a link out or they are already connected.
 * A link is confirmed on the full sets.
 """
 
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hasher, byte_set, mix, packed, per_text, slices, spans, written
@@ -26,6 +28,7 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 BINS, BANDS, ROWS = 128, 32, 4
+CELLS, LEVELS = 256, 3  # classes of shingles by their low bits; class sizes told apart
 BROADCAST_ROWS = 200_000  # a table of ids up to this long (about 5 MB) is sent to every executor
 
 NOT_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
@@ -102,13 +105,29 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>")
 
 
+def levels(one: np.ndarray) -> np.ndarray:
+    """Bit maps of the classes that hold at least 1, 2, ... LEVELS shingles, and how many shingles are beyond."""
+    count = np.bincount((one & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    maps = [np.packbits(count >= k).view(np.int64) for k in range(1, LEVELS + 1)]
+    return np.append(np.concatenate(maps), np.maximum(count - LEVELS, 0).sum())
+
+
+def overlap_bound(x: str, y: str) -> Column:
+    """No two sets share more than the summed minima of their class sizes (beyond LEVELS: of the totals)."""
+    words = LEVELS * CELLS // 64
+    bits = [F.bit_count(F.col(x)[i].bitwiseAND(F.col(y)[i])) for i in range(words)]
+    return sum(bits[1:], bits[0]) + F.least(F.col(x)[words], F.col(y)[words])
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast hint, given only after counting the rows of a written table of ids."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, items): the shingle hashes of the wanted nodes, read again from the texts of their first rows.
+    """(node, items, cells) of the wanted nodes, read again from the texts of their first rows.
+
+    ``items`` are the shingle hashes; ``cells`` says how they spread over their low bits, see ``levels``.
 
     ``wanted`` (node, doc_id) names a row that has the set. Rows of one id may hold other texts:
     only those whose set is the wanted one count.
@@ -126,9 +145,11 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
             yield pa.record_batch({
                 "node": pa.array([node[i] for i in keep], pa.binary()),
                 "items": pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
+                "cells": pa.array([levels(sets[i]) for i in keep], pa.list_(pa.int64())),
             })
 
-    return rows.mapInArrow(run, "node binary, items array<bigint>").groupBy("node").agg(F.first("items").alias("items"))
+    sets = rows.mapInArrow(run, "node binary, items array<bigint>, cells array<bigint>")
+    return sets.groupBy("node").agg(F.first("items").alias("items"), F.first("cells").alias("cells"))
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -139,6 +160,20 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def shareable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, m, cells): m shingles of a node occur in another of these nodes too, which bounds any overlap."""
+    items = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    own = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("e"))
+    nodes = nodes.join(sets.select("node", "cells"), "node").join(own, "node", "left")
+    return nodes.select("node", (F.col("n") - F.coalesce("e", F.lit(0))).alias("m"), "cells")
+
+
+def enough(most: Column, percent: int) -> Column:
+    """Whether sets of n and an shingles could be linked if they shared ``most`` of them."""
+    return 100 * most >= percent * (F.col("n") + F.col("an") - most)
+
+
 def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -153,7 +188,7 @@ def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(exploded.join(shared, "key"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("rank"))
-    left = written(members.join(central, "node").select("key", "node", "n", "rank"), "central")
+    left = written(members.join(central, "node").select("key", "node", "n", "rank", F.col("n").alias("m"), F.lit(None).cast("array<bigint>").alias("cells")), "central")
     wanted = written(nodes.select("node", "doc_id").join(left.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = written(full_sets(docs, ident, text, wanted), "sets")
     links = labels = tested = None
@@ -165,12 +200,16 @@ def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         stars = left.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
         drawn = F.pmod(F.xxhash64("node", F.lit(hubs)), F.col("size")) < (hubs if hubs > 1 else 0)
         pending = left.join(stars.where("low <> high"), "key").withColumn("hub", (F.col("node") == F.col("top.node")) | drawn)
-        pending = written(pending.select("key", "node", "n", "rank", "label", "hub"), "pending")
+        pending = written(pending.select("key", "node", "n", "rank", "m", "cells", "label", "hub"), "pending")
         if pending.isEmpty():
             break
-        centre = pending.where("hub").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
+        if hubs == 4:
+            pending = written(pending.drop("m", "cells").join(shareable(pending.select("node", "n").distinct(), sets), "node"), "pending")
+        centre = pending.where("hub").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("cells").alias("ac"), F.col("label").alias("al"))
         once = ~F.col("hub") | (F.col("a") < F.col("node"))
-        fits = (100 * F.least("n", "an") >= percent * F.greatest("n", "an")) & (F.col("label") != F.col("al"))
+        fits = (F.col("label") != F.col("al")) & enough(F.least("m", "am"), percent)
+        if hubs > 1:
+            fits = fits & enough(overlap_bound("cells", "ac"), percent)
         edges = centre.join(pending, "key").where(once & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
@@ -180,7 +219,7 @@ def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             labels = components(links)
-        left = pending.where("NOT hub").select("key", "node", "n", "rank")
+        left = pending.where("NOT hub").select("key", "node", "n", "rank", "m", "cells")
         hubs *= 4
     named = nodes.select("node", "doc_id")
     if labels is not None:
