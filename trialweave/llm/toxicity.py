@@ -22,6 +22,7 @@ from .common import Hasher, lists, slices, with_column
 from .wordstats import Words
 
 POSITIVES, NEGATIVES = 2_500, 5_000  # bound of the labelled rows used for the fit
+SLOT_BITS = 22  # hashed feature space
 FEATURES = 6_000  # features kept, by association with the label
 GAIN = 7.0  # least log likelihood ratio of a kept feature
 STEPS, RATE, RIDGE = 300, 0.15, 0.02
@@ -31,9 +32,10 @@ KIND = "struct<score:double,offending:array<struct<start:bigint,end:bigint,score
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the distinct word, feature): the word and its beginnings of 4 to 8 bytes."""
+    """(place of the distinct word, slot of a feature): the word and its beginnings of 4 to 8 bytes."""
     parts = [words.whole(1), *[words.ends(2, size, False) for size in range(4, 9)]]
-    return np.concatenate([p for p, _ in parts]), np.concatenate([f for _, f in parts])
+    slot = np.concatenate([f for _, f in parts]) >> np.uint64(64 - SLOT_BITS)
+    return np.concatenate([p for p, _ in parts]), slot.astype(np.int64)
 
 
 def sentences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +51,7 @@ def sentences(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    code: np.ndarray  # sorted feature hashes
+    code: np.ndarray  # sorted slots of features
     weight: np.ndarray
     bias: float
 
@@ -72,24 +74,29 @@ class Model:
 
 def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Weights of the noisy-or model by full-batch adaptive gradient steps; deterministic."""
-    hasher, rows, total = Hasher(fold=False), [], 0
     batch = pa.record_batch({"text": pa.array(texts, pa.string()), "row": pa.array(np.arange(len(texts)))})
+    hasher, counts = Hasher(fold=False), np.zeros((2, 1 << SLOT_BITS))
+    for part in slices([batch], "text"):
+        words = Words(part.column("text"), hasher)
+        row = np.repeat(part.column("row").to_numpy(), np.diff(words.bound))
+        pairs = np.unique(words.form * np.int64(len(texts)) + row)  # each form once in a text
+        at, slot = entries(words, pairs // max(1, len(texts)))
+        row = pairs[at] % max(1, len(texts))
+        pairs = np.unique(slot * np.int64(len(texts)) + row)
+        slot, row = pairs // max(1, len(texts)), pairs % max(1, len(texts))
+        for y in (0, 1):
+            counts[y] += np.bincount(slot, weights[row] * (labels[row] == y), 1 << SLOT_BITS)
+    kept = select(*counts, weights[labels == 0].sum(), weights[labels == 1].sum())
+    rows, total = [], 0
     for part in slices([batch], "text"):
         words = Words(part.column("text"), hasher)
         start, _, text, number = sentences(words)
-        own, code = features(words)
-        order = np.argsort(own, kind="stable")
-        count = np.bincount(own, minlength=len(words.distinct))
-        first = np.cumsum(count) - count
-        size = count[words.form]
-        pick = order[np.repeat(first[words.form], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        rows.append((np.repeat(number, size) + total, code[pick], part.column("row").to_numpy()[text]))
+        at, slot = entries(words, words.form)
+        place = np.searchsorted(kept, slot)
+        own = np.flatnonzero(kept[np.minimum(place, max(0, len(kept) - 1))] == slot) if len(kept) else place[:0]
+        rows.append((number[at[own]] + total, place[own], part.column("row").to_numpy()[text]))
         total += len(start)
-    sentence = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    code = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.uint64)
-    document = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
-    kept, index = select(code, document[sentence], labels, weights)
-    sentence, index = sentence[index >= 0], index[index >= 0]
+    sentence, index, document = (np.concatenate([np.zeros(0, np.int64), *[r[k] for r in rows]]) for k in range(3))
     w, y = np.zeros(len(kept) + 1), labels
     w[-1] = -6.0
     m = v = np.zeros_like(w)
@@ -106,23 +113,24 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> Mod
     return Model(kept, w[:-1], float(w[-1]))
 
 
-def select(code: np.ndarray, document: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The FEATURES codes most associated with the positive label, and for each entry its place there or -1."""
-    known, inverse = np.unique(code, return_inverse=True)
-    pairs = np.unique(inverse * np.int64(len(labels)) + document)
-    feature, row = pairs // max(1, len(labels)), pairs % max(1, len(labels))
-    weight = weights[row]
-    seen = np.bincount(feature, weight, len(known))
-    positive = np.bincount(feature, weight * (labels[row] > 0), len(known))
-    rate = (weights * (labels > 0)).sum() / max(weights.sum(), 1e-9)
-    negative, expected = seen - positive, seen * rate
+def entries(words: Words, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``forms``, slot) of every feature of the listed forms."""
+    own, slot = features(words)
+    order = np.argsort(own, kind="stable")
+    count = np.bincount(own, minlength=len(words.distinct))
+    first, size = (np.cumsum(count) - count)[forms], count[forms]
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.arange(len(forms)), size), slot[order[np.repeat(first, size) + inside]]
+
+
+def select(negative: np.ndarray, positive: np.ndarray, clean: float, toxic: float) -> np.ndarray:
+    """The slots, FEATURES at most, that speak for the positive label by GAIN or more of log likelihood."""
+    seen = positive + negative
+    expected = seen * toxic / max(clean + toxic, 1e-9)
     gain = positive * np.log((positive + 1e-9) / (expected + 1e-9)) + negative * np.log((negative + 1e-9) / (seen - expected + 1e-9))
     gain = np.where(positive > expected, gain, 0)
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    best = best[gain[best] >= GAIN]
-    place = np.full(len(known), -1)
-    place[best] = np.arange(len(best))
-    return known[best], place[inverse] if len(known) else inverse
+    return best[gain[best] >= GAIN]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[list[str | None], np.ndarray, np.ndarray]:
