@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, linededup, neardup, toxicity, warc
+from . import ann, bpe, decontaminate, language, linededup, neardup, pii, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -13,6 +13,14 @@ def op1_multiprobe_neighbours(spark, sf):
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+@query("op3_pii_weak_supervision")
+def op3_pii_weak_supervision(spark, sf):
+    """Personal data in every document: base spans and those that the trained span classifier adds."""
+    found = pii.personal_data(table(spark, sf, "documents").select("doc_id", "text"))
+    p = F.col("pii")
+    return found.select("doc_id", *[p[f"n_{k}"].alias(f"n_{k}") for k in pii.KINDS[:4]], F.sha2(pii.listed(p["base"]), 256).alias("base_sha256"), pii.listed(p["spans"]).alias("spans"))
+
+
 @query("op4_warc_zstandard")
 def op4_warc_zstandard(spark, sf):
     """Every page as a WARC record, written to Zstandard archives and read back."""
