@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import Hasher, with_column
 from .wordstats import Words
 
-PER_LANGUAGE = 400  # labelled rows of each language used for the fit
-ROW_WORDS = 400  # words of each such row that enter the spliced sequences
+PER_LANGUAGE = 250  # labelled rows of each language used for the fit
+ROW_WORDS = 200  # words of each such row that enter the spliced sequences
 CHAIN = 128
 BITS = 16  # hashed feature space
 LEXICON = 300  # frequent words of each language with a feature of their own
