@@ -1,26 +1,73 @@
-"""Training-data pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Training-data pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a DataFrame; the caller writes it
+and the next stage reads it again. All but the last keep the columns of ``documents`` (and any further ones).
+Empty tables stay empty; what nulls, repeated rows and ties do is stated with each operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.llm import neardup
+from trialweave.llm import bpe, decontaminate, linededup, neardup, toxicity
 from trialweave.llm.common import table, written
+from trialweave.llm.queries import piece_model
+
+REJECT = 0.7  # toxicity from which a document goes
+CONTAMINATED = 20  # a document goes if one word in this many lies in a benchmark window
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below REJECT by the model that the labels train."""
+    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, out="_toxicity")
+    return scored.where(F.col("_toxicity.score") < REJECT).select(*docs.columns)
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that stand on many sites; a document that loses its last worded line goes."""
+    done = linededup.remove_boilerplate(docs, out="_lines").withColumn("_changed", F.col("_lines.n_removed") > 0)
+    done = done.where(~F.col("_changed") | (F.trim("_lines.text") != ""))
+    text = F.when(F.col("_changed"), F.col("_lines.text")).otherwise(F.col("text"))
+    done = done.withColumn("n_chars", F.when(F.col("_changed"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.withColumn("text", text).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays; rows without an id stay."""
+    fate = neardup.near_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    lost = neardup.small(written(fate.where("NOT kept").select("doc_id"), "lost"))
+    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth lies in benchmark windows."""
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), out="_passages")
+    p = F.col("_passages")
+    return found.where(~((p.n_hit > 0) & (CONTAMINATED * p.n_hit >= p.n_words))).select(*docs.columns)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays; rows repeated under one id stay together."""
-    lost = neardup.near_components(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, their number, and a digest of the text that they decode to."""
+    with open(piece_model(), "rb") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    back = bpe.decode(bpe.encode(docs, vocabulary, keep=["doc_id"]), vocabulary)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("sentencepiece", tokenize),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
