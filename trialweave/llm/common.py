@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(names: list[str], wish: str) -> str:
+    """A column name that none of ``names`` clashes with."""
+    taken = {n.lower() for n in names}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose ``column`` holds at most ``limit`` bytes (one row at least)."""
     for batch in batches:
@@ -133,12 +141,13 @@ def with_column(df: DataFrame, text: str, out: str, kind: str, make: Callable, k
     Rows stay as they are, one to one; a column already called ``out`` is replaced.
     """
     names = [c for c in (df.columns if keep is None else keep) if c != out]
-    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_text_"))
+    inner = free(names, "_text")
+    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(inner))
     result = StructType([*[df.schema[c] for c in names], StructField(out, _parse_datatype_string(kind))])
 
     def run(batches):
         apply = make()
-        for part in slices(batches, "_text_"):
+        for part in slices(batches, inner):
             columns = [part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, apply(part.column(len(names)))], names=[*names, out])
 

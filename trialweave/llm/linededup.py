@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 SITES = 3  # distinct sites from which a line is boilerplate
 LOG_K = 10  # sketch size: 2^LOG_K registers, relative error about 1.04 / sqrt(2^LOG_K)
@@ -24,11 +24,6 @@ def split_lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def keyed(docs: DataFrame, ident: str, text: str, site: str) -> DataFrame:
-    """``docs`` with the key of a row: equal rows share it, rows of one id with other texts do not."""
-    return docs.withColumn("_row", F.xxhash64(F.col(ident), F.col(text), F.col(site)))
-
-
 def spread_lines(lines: DataFrame, sites: int = SITES) -> DataFrame:
     """(h, g, first): lines on at least ``sites`` distinct sites, with their first occurrence."""
     error = 3 * 1.04 / math.sqrt(1 << LOG_K)
@@ -52,19 +47,21 @@ def remove_boilerplate(
     with all their values share their lines' places and are treated alike. Null texts are one blank line.
     ``out`` replaces a column of that name; other columns stay.
     """
-    rows = keyed(docs.drop(out), ident, text, site)
-    lines = rows.select(F.col("_row").alias("row"), F.col(ident).alias("id"), F.col(site).cast("string").alias("site"), F.posexplode(split_lines(text)).alias("at", "line"))
+    names = [c for c in docs.columns if c != out]
+    key, gone_id, gone_row, places = (free([*names, out], n) for n in ("_row", "_gone_id", "_gone_row", "_gone"))
+    rows = docs.select(*names, F.xxhash64(ident, text, site).alias(key))  # rows of one id with other texts differ
+    lines = rows.select(F.col(key).alias("row"), F.col(ident).alias("id"), F.col(site).cast("string").alias("site"), F.posexplode(split_lines(text)).alias("at", "line"))
     line = F.trim("line")
     lines = lines.where(line != "").select("row", "id", "site", "at", F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
     lines = written(lines, "lines")
     spread = written(spread_lines(lines, sites), "spread")
     first = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.at") == F.col("at")) & (F.col("first.row") == F.col("row"))
     gone = lines.join(spread, LINE).where(~first).select("id", "row", "at").distinct()
-    gone = gone.groupBy(F.col("id").alias("_id"), F.col("row").alias("_gone_row")).agg(F.collect_set("at").alias("_gone"))
-    both = rows.join(gone, (F.col("_row") == F.col("_gone_row")) & F.col(ident).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(split_lines(text), lambda x, i: ~F.array_contains("_gone", i))
+    gone = gone.groupBy(F.col("id").alias(gone_id), F.col("row").alias(gone_row)).agg(F.collect_set("at").alias(places))
+    both = rows.join(gone, (F.col(key) == F.col(gone_row)) & F.col(ident).eqNullSafe(F.col(gone_id)), "left")
+    kept = F.filter(split_lines(text), lambda x, i: ~F.array_contains(places, i))
     result = F.struct(
-        F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(split_lines(text)).cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.when(F.col(places).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(split_lines(text)).cast("bigint").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("bigint").alias("n_removed"),
     )
-    return both.withColumn(out, result).drop("_row", "_id", "_gone_row", "_gone")
+    return both.select(*names, result.alias(out))

@@ -22,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 # Base kinds in order, the added kinds after them.
 KINDS = ["email", "ip", "card", "phone", "number", "secret"]
@@ -124,9 +124,10 @@ def judged(kind: str, m: Column) -> Column:
 def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
     """``docs`` with ``out``: the judged candidates of each whole text; null is empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_{k}": matches(whole, k) for k in PATTERNS})
-    judge = [F.transform(f"_{k}", partial(judged, k)) for k in PATTERNS]
-    return found.withColumn(out, F.concat(*judge)).drop(*[f"_{k}" for k in PATTERNS])
+    names = {k: free(docs.columns, f"_{k}") for k in PATTERNS}
+    found = docs.withColumns({n: matches(whole, k) for k, n in names.items()})
+    judge = [F.transform(n, partial(judged, k)) for k, n in names.items()]
+    return found.withColumn(out, F.concat(*judge)).drop(*names.values())
 
 
 def estimated(patterns: list[Row]) -> tuple[float, dict[str, list[float]], list[float]]:

@@ -215,14 +215,14 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-def with_first(pages: DataFrame, ident: str = "page_id", body: str = "html", least: int = 0) -> DataFrame:
-    """``pages`` with ``refers_to``: of rows with equal bodies of at least ``least`` bytes, the smallest id; null for it.
+def with_first(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html", least: int = 0) -> DataFrame:
+    """Id, url and body of ``pages`` with ``refers_to``: of rows with equal bodies of at least ``least`` bytes, the smallest id; null for it.
 
     Groups are met through a minimum of (digest, length) only. Rows repeated under the smallest id are responses all;
     rows without an id are responses, since nothing could refer to them or name them.
     """
     text = F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8")
-    rows = pages.drop("refers_to").withColumn("_d", F.sha1(text)).withColumn("_n", F.octet_length(text))
+    rows = pages.select(ident, url, body, F.sha1(text).alias("_d"), F.octet_length(text).alias("_n"))
     firsts = rows.groupBy("_d", "_n").agg(F.min(ident).alias("_first"), F.max(ident).alias("_last")).where("_first <> _last").drop("_last")
     refers = F.when((F.col("_n") >= least) & (F.col(ident) > F.col("_first")), F.col("_first"))
     return rows.join(firsts, ["_d", "_n"], "left").withColumn("refers_to", refers).drop("_d", "_n", "_first")
@@ -232,6 +232,6 @@ def round_trip(spark: SparkSession, pages: DataFrame, ident: str = "page_id", ur
     """Write a record for every row of ``pages`` and read all archives back; an empty table gives no record."""
     folder = scratch_path(spark, "warc")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-    done = written(write_archives(with_first(pages, ident, body, least), folder, ident, url, "refers_to", body), "archives")
+    done = written(write_archives(with_first(pages, ident, url, body, least), folder, ident, url, "refers_to", body), "archives")
     spread = max(1, min(done.count(), 10_000))
     return read_archives(done.repartition(spread, "archive"), folder)
