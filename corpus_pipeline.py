@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialweave.llm import bpe, decontaminate, linededup, neardup, toxicity
-from trialweave.llm.common import table, written
+from trialweave.llm.common import free, table, written
 from trialweave.llm.queries import piece_model
 
 REJECT = 0.7  # toxicity from which a document goes
@@ -21,17 +21,21 @@ CONTAMINATED = 20  # a document goes if one word in this many lies in a benchmar
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below REJECT by the model that the labels train."""
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, out="_toxicity")
-    return scored.where(F.col("_toxicity.score") < REJECT).select(*docs.columns)
+    out = free(docs.columns, "toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(f"{out}.score") < REJECT).select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand on many sites; a document that loses its last worded line goes."""
-    done = linededup.remove_boilerplate(docs, out="_lines").withColumn("_changed", F.col("_lines.n_removed") > 0)
-    done = done.where(~F.col("_changed") | (F.trim("_lines.text") != ""))
-    text = F.when(F.col("_changed"), F.col("_lines.text")).otherwise(F.col("text"))
-    done = done.withColumn("n_chars", F.when(F.col("_changed"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.withColumn("text", text).select(*docs.columns)
+    out = free(docs.columns, "line_dedup")
+    new = F.col(out)
+    done = linededup.remove_boilerplate(docs, out=out).where((new.n_removed == 0) | (F.trim(new.getField("text")) != ""))
+    size = F.length(new.getField("text")).cast(docs.schema["n_chars"].dataType)
+    done = done.withColumns({
+        "n_chars": F.when(new.n_removed > 0, size).otherwise(F.col("n_chars")),
+        "text": F.when(new.n_removed > 0, new.getField("text")).otherwise(F.col("text")),
+    })
+    return done.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in benchmark windows."""
-    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), out="_passages")
-    p = F.col("_passages")
+    out = free(docs.columns, "passages")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"), out=out)
+    p = F.col(out)
     return found.where(~((p.n_hit > 0) & (CONTAMINATED * p.n_hit >= p.n_words))).select(*docs.columns)
 
 
