@@ -79,4 +79,35 @@ def test_halves_cover_and_are_distinct(spark):
 
 def test_uncovered_halves_give_no_split(spark):
     df = spark.createDataFrame([(r, 0, 0, int(r == 0)) for r in range(4)], "run int, session int, item int, context int")
-    assert sampling.split_halves(df, "run", "session", ["item", "context"], 2, 10).count() == 0
+    assert sampling.split_halves(df, "run", "session", ["item", "context"], None, 10).count() == 0
+
+
+NAN = float("nan")
+
+
+def test_missing_observed_values_get_no_p(spark):
+    from trialweave.operators import inference
+
+    obs = spark.createDataFrame([(1, None), (2, NAN), (3, float("inf")), (4, 0.5)], "t int, v double")
+    null = spark.createDataFrame([(t, k, NAN if k == 1 else None if k == 2 else k / 100) for t in (1, 2, 3, 4) for k in range(100)], "t int, perm int, v double")
+    for fn in (inference.p_upper, inference.p_two_sided):
+        got = {r["t"]: r for r in fn(obs, null, ["t"], "v").collect()}
+        assert [got[t]["p"] for t in (1, 2, 3)] == [None] * 3 and got[4]["n_perm"] == 98
+    assert abs(got[4]["p"] - 2 * (98 - 48 + 1 - 1) / 99) < 0.05
+    fwe = {r["t"]: r["p_fwe"] for r in inference.maxstat_fwe(obs, null, ["t"], [], "v").collect()}
+    assert fwe[1] is None and fwe[2] is None and fwe[3] is None and fwe[4] > 0.4
+    full = {r["t"]: r for r in inference.maxstat_studentised(obs, null, ["t"], [], "v").collect()}
+    assert len(full) == 4 and full[2]["p_fwe"] is None and full[4]["p_uncorrected"] is not None
+    pooled = {r["t"]: r["p"] for r in inference.p_pooled(obs, null, "v").collect()}
+    assert pooled[2] is None and 0.4 < pooled[4] < 0.6
+
+
+def test_sign_flips_use_the_place_of_a_subject(spark):
+    import pytest
+    from trialweave.operators import inference
+
+    rows = [(s, "a", 1.0 + s / 10) for s in (2, 3, 4, 6, 7)]
+    got = inference.sign_flip_exact(spark.createDataFrame(rows, "s int, t string, v double"), [], ["t"], "s", "v").collect()
+    assert [(r["p"], r["p_fwe"]) for r in got] == [(1 / 32, 1 / 32)]
+    with pytest.raises(Exception, match="several values"):
+        inference.sign_flip_exact(spark.createDataFrame(rows + rows[:1], "s int, t string, v double"), [], ["t"], "s", "v").collect()

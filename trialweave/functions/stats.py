@@ -34,6 +34,11 @@ def finite(c) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def only_finite(c) -> Column:
+    """The value where it is finite, else NULL."""
+    return F.when(finite(c), col(c))
+
+
 def nan_to_null(c) -> Column:
     """NaN means missing in files; inside Spark missing is NULL."""
     c = col(c)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import finite, only_finite
 from ..session import durable
 from .ordered import CHUNK_ROWS, distribution, min_from_here, running_sum, scan, value_at
 
@@ -37,36 +38,48 @@ def fwe_threshold(maxima: DataFrame, keys: list[str], value: str, alpha: float =
     return distribution(maxima, keys, value).groupBy(*keys).agg(value_at(rank, value).alias("threshold"))
 
 
-def p_upper(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n_perm, null_mean, null_sd, p): one-sided with the observed value counted in."""
+def _against_null(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Observed and null values of a test side by side; null values that are no numbers are NULL and count nowhere."""
     o = observed.select(*keys, F.col(value).alias("_obs"))
-    joined = null.select(*keys, F.col(value).alias("_null")).join(o, keys) if keys else null.select(F.col(value).alias("_null")).join(o, F.lit(True))
-    n = F.count("_null")
-    return joined.groupBy(*keys, "_obs").agg(
-        n.alias("n_perm"), F.avg("_null").alias("null_mean"), F.stddev_samp("_null").alias("null_sd"),
-        ((F.count_if(F.col("_null") >= F.col("_obs")) + 1) / (n + 1)).alias("p"),
-    ).withColumnRenamed("_obs", value)
+    n = null.select(*keys, only_finite(value).alias("_null"))
+    return o.join(n, keys, "left") if keys else o.join(n, F.lit(True), "left")  # without keys: one observed row
+
+
+def _null_moments() -> list:
+    return [F.count("_null").alias("n_perm"), F.avg("_null").alias("null_mean"), F.stddev_samp("_null").alias("null_sd")]
+
+
+def _tail(reached) -> Column:
+    """Share of the null that reaches the observed value, which is counted in itself."""
+    return (F.count_if(reached) + 1) / (F.count("_null") + 1)
+
+
+def p_upper(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n_perm, null_mean, null_sd, p): one-sided with the observed value counted in.
+
+    p is missing where the observed value is no finite number; null values that are none are not counted.
+    """
+    p = F.when(F.first(only_finite("_obs")).isNotNull(), _tail(F.col("_null") >= F.col("_obs")))
+    joined = _against_null(observed, null, keys, value)
+    return joined.groupBy(*keys, "_obs").agg(*_null_moments(), p.alias("p")).withColumnRenamed("_obs", value)
 
 
 def p_two_sided(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Twice the smaller tail, each with the observed value counted in, at most one."""
-    o = observed.select(*keys, F.col(value).alias("_obs"))
-    joined = null.select(*keys, F.col(value).alias("_null")).join(o, keys)
-    n = F.count("_null")
-    up = (F.count_if(F.col("_null") >= F.col("_obs")) + 1) / (n + 1)
-    down = (F.count_if(F.col("_null") <= F.col("_obs")) + 1) / (n + 1)
-    return joined.groupBy(*keys, "_obs").agg(
-        n.alias("n_perm"), F.avg("_null").alias("null_mean"), F.stddev_samp("_null").alias("null_sd"),
-        F.least(F.lit(1.0), F.least(up, down) * 2).alias("p"),
-    ).withColumnRenamed("_obs", value)
+    """Twice the smaller tail, each with the observed value counted in, at most one; missing as in ``p_upper``."""
+    tails = F.least(_tail(F.col("_null") >= F.col("_obs")), _tail(F.col("_null") <= F.col("_obs")))
+    p = F.when(F.first(only_finite("_obs")).isNotNull(), F.least(F.lit(1.0), tails * 2))
+    joined = _against_null(observed, null, keys, value)
+    return joined.groupBy(*keys, "_obs").agg(*_null_moments(), p.alias("p")).withColumnRenamed("_obs", value)
 
 
 def count_at_least(observed: DataFrame, pool: DataFrame, keys: list[str], value: str, pool_value: str) -> DataFrame:
     """(keys, value, _ge, _n): how many pool values of the key reach each observed value.
 
     Both are merged along one order and counted with a running sum; observations are
-    never paired with the pool, so neither side is multiplied by the other.
+    never paired with the pool, so neither side is multiplied by the other. Values that
+    are no finite numbers take no part on either side.
     """
+    observed, pool = observed.where(finite(value)), pool.where(finite(pool_value))
     seen = observed.select(*keys, F.col(value).alias("_v")).distinct().withColumn("_w", F.lit(0).cast("bigint"))
     held = pool.groupBy(*keys, F.col(pool_value).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
     merged = durable(seen.unionByName(held).groupBy(*keys, "_v").agg(F.sum("_w").alias("_w")))
@@ -78,31 +91,33 @@ def count_at_least(observed: DataFrame, pool: DataFrame, keys: list[str], value:
 
 
 def p_pooled(observed: DataFrame, null: DataFrame, value: str) -> DataFrame:
-    """Share of one pooled null at or above each observed value, nothing added."""
+    """Share of one pooled null at or above each observed value, nothing added; missing for a missing value."""
     observed = durable(observed)
     p = count_at_least(observed, null, [], value, value)
-    return observed.join(p.select(value, (F.col("_ge") / F.col("_n")).alias("p")), value)
+    return observed.join(p.select(value, (F.col("_ge") / F.col("_n")).alias("p")), value, "left")
 
 
 def max_per_permutation(null: DataFrame, family: list[str], value: str, out: str = "max_value") -> DataFrame:
-    return null.groupBy(*family, "perm").agg(F.max(value).alias(out))
+    """Largest finite value of each permutation."""
+    return null.groupBy(*family, "perm").agg(F.max(only_finite(value)).alias(out))
 
 
 def maxstat_fwe(observed: DataFrame, null: DataFrame, keys: list[str], family: list[str], value: str, add_one: bool = True) -> DataFrame:
-    """p of each observed value among the maxima of its family per permutation."""
+    """p of each observed value among the maxima of its family per permutation; a missing value keeps its row, without p."""
     observed = durable(observed)
     maxima = durable(max_per_permutation(null, family, value, "_max"))  # one row per family and permutation
     counts = count_at_least(observed, maxima, family, value, "_max")
     extra = 1 if add_one else 0
     p = counts.select(*family, value, ((F.col("_ge") + extra) / (F.col("_n") + extra)).alias("p_fwe"))
-    return observed.join(p, [*family, value]).select(*dict.fromkeys([*family, *keys, value]), "p_fwe")
+    return observed.join(p, [*family, value], "left").select(*dict.fromkeys([*family, *keys, value]), "p_fwe")
 
 
 def studentise(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """Observed and null values standardised by mean and sd of both pooled, per test."""
-    pool = observed.select(*keys, F.lit(0).alias("perm"), value).unionByName(null.select(*keys, "perm", value))
+    """Observed and null values standardised by mean and sd of both pooled, per test; finite numbers only."""
+    number = only_finite(value).alias(value)
+    pool = observed.select(*keys, F.lit(0).alias("perm"), number).unionByName(null.select(*keys, "perm", number))
     stats = pool.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    z = (F.col(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    z = (only_finite(value) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     o = observed.join(stats, keys).withColumn("z", z).withColumnsRenamed({"_m": "null_mean", "_s": "null_sd"})
     n = null.join(stats, keys).withColumn("z", z).drop("_m", "_s")
     return o, n
@@ -120,12 +135,16 @@ def maxstat_studentised(observed: DataFrame, null: DataFrame, keys: list[str], f
 def sign_flip_exact(effects: DataFrame, family: list[str], test: list[str], subject: str, value: str) -> DataFrame:
     """Exact one-sided p over all sign patterns of the subjects, maximum-statistic p, and q.
 
-    ``subject`` is a 0-based code below a few tens: 2^n patterns are a plain row
-    generator, and the patterns meet the effects inside an explode.
+    A subject's bit is its place among the subjects, whatever its id; there are a few tens at most, since 2^n
+    patterns are a plain row generator that meets the effects inside an explode. Each subject gives one value to a
+    test, else the query fails; a value that is no finite number counts as missing.
     """
-    n = effects.select(F.col(subject)).distinct().agg(F.count(F.lit(1)).alias("_n"))
-    wide = effects.join(n, F.lit(True)).withColumn("pattern", F.explode(F.expr("sequence(0L, shiftleft(1L, int(_n)) - 1)")))
-    bit = F.expr(f"shiftright(pattern, int({subject})) & 1")
+    subjects = effects.where(F.col(subject).isNotNull()).agg(F.array_sort(F.collect_set(subject)).alias("_subjects"))
+    cells = effects.groupBy(*family, *test, subject).agg(F.count(F.lit(1)).alias("_rows"), F.first(only_finite(value)).alias(value))
+    once = F.when(F.col("_rows") > 1, F.raise_error(F.lit("a subject has several values in one test"))).otherwise(F.col(value))
+    effects = durable(cells.join(subjects, F.lit(True)).select(*family, *test, once.alias(value), F.expr(f"int(array_position(_subjects, {subject})) - 1").alias("_bit"), F.size("_subjects").alias("_n")))
+    wide = effects.withColumn("pattern", F.explode(F.expr("sequence(0L, shiftleft(1L, _n) - 1)")))
+    bit = F.expr("shiftright(pattern, _bit) & 1")
     signed = F.when(bit == 1, F.col(value)).otherwise(-F.col(value))
     null = durable(wide.groupBy(*family, *test, "pattern").agg(F.round(F.avg(signed), 12).alias("_null")))
     obs = durable(effects.groupBy(*family, *test).agg(F.round(F.avg(value), 12).alias("observed")))
@@ -139,9 +158,9 @@ def sign_flip_exact(effects: DataFrame, family: list[str], test: list[str], subj
 
 
 def null_centre(observed: DataFrame, null: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Observed value minus the mean of its own permutations."""
-    m = null.groupBy(*keys).agg(F.avg(value).alias("null_mean"))
-    return observed.join(m, keys).withColumn("centred", F.col(value) - F.col("null_mean"))
+    """Observed value minus the mean of its own permutations, finite numbers only; missing where it is none."""
+    m = null.groupBy(*keys).agg(F.avg(only_finite(value)).alias("null_mean"))
+    return observed.join(m, keys).withColumn("centred", only_finite(value) - F.col("null_mean"))
 
 
 def stouffer(df: DataFrame, keys: list[str], p: str, n: int, floor: float = 1e-15) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import fisher_z, pearson, r6
+from ..functions.stats import fisher_z, only_finite, pearson, r6
 from ..operators import inference, ordered, sampling, selection
 from ..session import durable
 from ..sources import views as V
@@ -65,43 +65,51 @@ SELECT split, run, in_a, CAST(md AS DOUBLE) AS max_deviation, CAST(ss AS DOUBLE)
 )
 def split_half_balanced(spark, sf):
     u = selection.drop_control(V.units(spark, sf).drop("x"), "context", V.CONTROL)
-    splits = durable(sampling.split_halves(u, "run", "session", ["item", "context"], 1000, 120))
+    splits = durable(sampling.split_halves(u, "run", "session", ["item", "context"], None, 120))
     counts = sampling.half_counts(u, splits.withColumnRenamed("split", "attempt"), "run", ["item", "context"])
     best = sampling.rank_splits(counts, 8).withColumnRenamed("attempt", "split")
     return splits.join(best, "split")
 
 
-NULLS = f"""{V.RATINGS}, nulls AS (SELECT subject, item, trial % 50 AS perm, round(avg(m2 + item * 0.1), 12) AS v FROM ratings GROUP BY ALL),
-o AS (SELECT subject, item, v FROM nulls WHERE perm = 0), n AS (SELECT subject, item, perm, v FROM nulls WHERE perm > 0)"""
+# The fixture holds tests whose observed value is missing or no number, and null values that are neither.
+NULLS = f"""{V.RATINGS}, plain AS (SELECT subject, item, trial % 50 AS perm, round(avg(m2 + item * 0.1), 12) AS v FROM ratings GROUP BY ALL),
+nulls AS (SELECT subject, item, perm, CASE WHEN perm IN (0, 7) AND (subject + item) % 7 = 1 THEN NULL WHEN perm IN (0, 8) AND (subject + item) % 7 = 2 THEN CAST('NaN' AS DOUBLE) ELSE v END AS v FROM plain),
+o AS (SELECT subject, item, CASE WHEN isfinite(v) THEN v END AS v FROM nulls WHERE perm = 0), n AS (SELECT subject, item, perm, v FROM nulls WHERE perm > 0 AND isfinite(v))"""
 
 
 def nulls(spark, sf):
     """Observed values (trial group 0) and 49 null values per subject and item."""
     r = V.ratings(spark, sf)
     v = r.groupBy("subject", "item", (F.col("trial") % 50).alias("perm")).agg(F.round(F.avg(F.col("m2") + F.col("item") * 0.1), 12).alias("v"))
+    odd = (F.col("subject") + F.col("item")) % 7
+    hole = F.when(F.col("perm").isin(0, 7) & (odd == 1), F.lit(None)).when(F.col("perm").isin(0, 8) & (odd == 2), F.lit(float("nan"))).otherwise(F.col("v"))
+    v = v.withColumn("v", hole)
     return v.where("perm = 0").drop("perm"), v.where("perm > 0")
 
 
 @query(
     "p_upper",
-    f"WITH {NULLS} SELECT subject, item, {rnd('o.v', 'v')}, count(*) AS n_perm, {rnd('(1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*))', 'p')} FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v",
+    f"WITH {NULLS} SELECT subject, item, {rnd('o.v', 'v')}, count(*) AS n_perm, CASE WHEN o.v IS NOT NULL THEN {rnd('(1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*))')} END AS p FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v",
 )
 def p_upper(spark, sf):
     out = inference.p_upper(*nulls(spark, sf), ["subject", "item"], "v")
-    return out.select("subject", "item", r6("v").alias("v"), "n_perm", r6("p").alias("p"))
+    return out.select("subject", "item", r6(only_finite("v")).alias("v"), "n_perm", r6("p").alias("p"))
 
 
 @query(
     "p_two_sided",
     f"""WITH {NULLS} SELECT subject, item, {rnd('avg(n.v)', 'null_mean')}, {rnd('stddev_samp(n.v)', 'null_sd')},
-{rnd('least(1, 2 * least((1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)), (1.0 + count(*) FILTER (WHERE n.v <= o.v)) / (1 + count(*))))', 'p')} FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v""",
+CASE WHEN o.v IS NOT NULL THEN {rnd('least(1, 2 * least((1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)), (1.0 + count(*) FILTER (WHERE n.v <= o.v)) / (1 + count(*))))')} END AS p FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v""",
 )
 def p_two_sided(spark, sf):
     out = inference.p_two_sided(*nulls(spark, sf), ["subject", "item"], "v")
     return out.select("subject", "item", *[r6(c).alias(c) for c in ("null_mean", "null_sd", "p")])
 
 
-@query("p_pooled_null", f"WITH {NULLS} SELECT o.subject, o.item, {rnd('avg(CASE WHEN n.v >= o.v THEN 1.0 ELSE 0.0 END)', 'p')} FROM o, n GROUP BY o.subject, o.item, o.v")
+@query(
+    "p_pooled_null",
+    f"WITH {NULLS} SELECT o.subject, o.item, CASE WHEN o.v IS NOT NULL THEN {rnd('avg(CASE WHEN n.v >= o.v THEN 1.0 ELSE 0.0 END)')} END AS p FROM o, n GROUP BY o.subject, o.item, o.v",
+)
 def p_pooled_null(spark, sf):
     o, n = nulls(spark, sf)
     return inference.p_pooled(o, n, "v").select("subject", "item", r6("p").alias("p"))
@@ -110,11 +118,11 @@ def p_pooled_null(spark, sf):
 @query(
     "maxstat_fwe",
     f"""WITH {NULLS}, mu AS (SELECT subject, item, avg(v) AS mu FROM n GROUP BY ALL), oc AS (SELECT subject, item, round(v - mu, 12) AS v FROM o JOIN mu USING (subject, item)), nc AS (SELECT subject, item, perm, round(v - mu, 12) AS v FROM n JOIN mu USING (subject, item)),
-mx AS (SELECT subject, perm, max(v) AS m FROM nc GROUP BY ALL) SELECT oc.subject, oc.item, {rnd('(1.0 + count(*) FILTER (WHERE m >= oc.v)) / (1 + count(*))', 'p_fwe')} FROM oc JOIN mx USING (subject) GROUP BY oc.subject, oc.item, oc.v""",
+mx AS (SELECT subject, perm, max(v) AS m FROM nc GROUP BY ALL) SELECT oc.subject, oc.item, CASE WHEN oc.v IS NOT NULL THEN {rnd('(1.0 + count(*) FILTER (WHERE m >= oc.v)) / (1 + count(*))')} END AS p_fwe FROM oc JOIN mx USING (subject) GROUP BY oc.subject, oc.item, oc.v""",
 )
 def maxstat_fwe(spark, sf):
     o, n = nulls(spark, sf)
-    mu = n.groupBy("subject", "item").agg(F.avg("v").alias("mu"))
+    mu = n.groupBy("subject", "item").agg(F.avg(only_finite("v")).alias("mu"))
     centre = lambda d: d.join(mu, ["subject", "item"]).withColumn("v", F.round(F.col("v") - F.col("mu"), 12)).drop("mu")
     out = inference.maxstat_fwe(centre(o), centre(n), ["subject", "item"], ["subject"], "v")
     return out.select("subject", "item", r6("p_fwe").alias("p_fwe"))
@@ -122,9 +130,9 @@ def maxstat_fwe(spark, sf):
 
 @query(
     "maxstat_studentised",
-    f"""WITH {NULLS}, st AS (SELECT subject, item, avg(v) AS m, stddev_samp(v) AS s FROM nulls GROUP BY ALL), z AS (SELECT subject, item, perm, v, m, s, round((v - m) / s, 10) AS z FROM nulls JOIN st USING (subject, item)),
-mx AS (SELECT perm, max(z) AS mz FROM z WHERE perm > 0 GROUP BY perm), pu AS (SELECT subject, item, (1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)) AS p FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v)
-SELECT z.subject, z.item, {rnd('m', 'null_mean')}, {rnd('s', 'null_sd')}, {rnd('z', 'z')}, {rnd('pu.p', 'p_uncorrected')}, {rnd('(1.0 + (SELECT count(*) FROM mx WHERE mz >= z.z)) / (1 + (SELECT count(*) FROM mx))', 'p_fwe')} FROM z JOIN pu USING (subject, item) WHERE perm = 0""",
+    f"""WITH {NULLS}, st AS (SELECT subject, item, avg(v) AS m, stddev_samp(v) AS s FROM nulls WHERE isfinite(v) GROUP BY ALL), z AS (SELECT subject, item, perm, CASE WHEN isfinite(v) THEN round((v - m) / s, 10) END AS z, m, s FROM nulls JOIN st USING (subject, item)),
+mx AS (SELECT perm, max(z) AS mz FROM z WHERE perm > 0 GROUP BY perm), pu AS (SELECT subject, item, CASE WHEN o.v IS NOT NULL THEN (1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)) END AS p FROM o JOIN n USING (subject, item) GROUP BY subject, item, o.v)
+SELECT z.subject, z.item, {rnd('m', 'null_mean')}, {rnd('s', 'null_sd')}, {rnd('z', 'z')}, {rnd('pu.p', 'p_uncorrected')}, CASE WHEN z.z IS NOT NULL THEN {rnd('(1.0 + (SELECT count(*) FROM mx WHERE mz >= z.z)) / (1 + (SELECT count(*) FROM mx))')} END AS p_fwe FROM z JOIN pu USING (subject, item) WHERE perm = 0""",
 )
 def maxstat_studentised(spark, sf):
     out = inference.maxstat_studentised(*nulls(spark, sf), ["subject", "item"], [], "v")
@@ -142,14 +150,14 @@ def null_centre(spark, sf):
 
 @query(
     "sign_flip_exact",
-    f"""WITH {NULLS}, mu AS (SELECT subject, item, avg(v) AS mu FROM n GROUP BY ALL), e AS (SELECT subject, item, v - mu AS v FROM o JOIN mu USING (subject, item)),
-fl AS (SELECT item, range AS pat, round(avg(CASE WHEN (range >> subject) & 1 = 1 THEN v ELSE -v END), 12) AS x FROM e, range(32) GROUP BY ALL), ob AS (SELECT item, round(avg(v), 12) AS observed FROM e GROUP BY item), mx AS (SELECT pat, max(x) AS m FROM fl GROUP BY pat),
+    f"""WITH {NULLS}, mu AS (SELECT subject, item, avg(v) AS mu FROM n GROUP BY ALL), e AS (SELECT subject, item, v - mu AS v, CAST(dense_rank() OVER (ORDER BY subject) - 1 AS INT) AS place FROM o JOIN mu USING (subject, item)),
+fl AS (SELECT item, range AS pat, round(avg(CASE WHEN (range >> place) & 1 = 1 THEN v ELSE -v END), 12) AS x FROM e, range(32) GROUP BY ALL), ob AS (SELECT item, round(avg(v), 12) AS observed FROM e GROUP BY item), mx AS (SELECT pat, max(x) AS m FROM fl GROUP BY pat),
 pl AS (SELECT item, observed, avg(CASE WHEN x >= observed THEN 1.0 ELSE 0.0 END) AS p FROM fl JOIN ob USING (item) GROUP BY ALL), fw AS (SELECT item, avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END) AS p_fwe FROM ob, mx GROUP BY item), {S.bh('pl', [])}
 SELECT item, {rnd('observed', 'observed')}, {rnd('p', 'p')}, {rnd('p_fwe', 'p_fwe')}, {rnd('q', 'q')} FROM adj JOIN fw USING (item)""",
 )
 def sign_flip_exact(spark, sf):
     e = inference.null_centre(*nulls(spark, sf), ["subject", "item"], "v")
-    out = inference.sign_flip_exact(e, [], ["item"], "subject", "centred")
+    out = inference.sign_flip_exact(e.withColumn("subject", 2 * F.col("subject") + 3), [], ["item"], "subject", "centred")
     return out.select("item", *[r6(c).alias(c) for c in ("observed", "p", "p_fwe", "q")])
 
 
