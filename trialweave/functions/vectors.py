@@ -70,26 +70,42 @@ def to_vector(df: DataFrame, keys: list[str], dim: str, value: str, out: str, **
 NARROW = 128  # up to this width a vector sum is one aggregate column per element
 
 
+def _element_sums(vec: str, width: int) -> Column:
+    """Sum of each of the ``width`` elements over a group; fails on another width or a missing element."""
+    wrong = F.raise_error(F.lit(f"a vector of {vec} is not of width {width} or misses an element")).cast("double")
+    sums = []
+    for i in range(width):
+        x = F.get(F.col(vec), F.lit(i))
+        whole = F.count(x) == F.count(vec)
+        if i == 0:
+            whole = whole & (F.coalesce(F.max(F.size(vec)), F.lit(width)) <= width)
+        sums.append(F.when(whole, F.sum(x)).otherwise(wrong))
+    return F.array(*sums)
+
+
+def _whole(n: Column, present: Column) -> Column:
+    """The count, where no element of that place is missing."""
+    return F.when(n == present, n).otherwise(F.raise_error(F.lit("a vector misses an element")).cast("bigint"))
+
+
 def sum_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "total", count: str = "n", width: int | None = None) -> DataFrame:
-    """Element-wise sum and row count per key, combined on the map side.
+    """Element-wise sum and row count per key, combined on the map side; a NULL vector is no row.
 
     With a known narrow width the elements are summed as plain columns: one shuffle of
     one row per key and task. Otherwise elements are exploded first, so the shuffle
     carries (keys x width) rows per task however many vectors a hot key holds.
     """
     if width and width <= NARROW:
-        sums = F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) for i in range(width)])
-        return df.groupBy(*keys).agg(sums.alias(out), F.count(F.lit(1)).alias(count))
+        return df.groupBy(*keys).agg(_element_sums(vec, width).alias(out), F.count(vec).alias(count))
     long = df.select(*keys, F.posexplode(vec).alias("_dim", "_v"))
-    sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), _whole(F.count(F.lit(1)), F.count("_v")).alias("_n"))
     return to_vector(sums, keys, "_dim", "_s", out, **{count: F.max("_n")})
 
 
 def add_sums(df: DataFrame, keys: list[str], vec: str, n: str, out: str, out_n: str, width: int | None = None) -> DataFrame:
     """Sum of partial sums: vectors added, their counts added."""
     if width and width <= NARROW:
-        sums = F.array(*[F.sum(F.get(F.col(vec), F.lit(i))) for i in range(width)])
-        return df.groupBy(*keys).agg(sums.alias(out), F.sum(n).alias(out_n))
+        return df.groupBy(*keys).agg(_element_sums(vec, width).alias(out), F.sum(n).alias(out_n))
     long = df.select(*keys, F.col(n).alias("_n"), F.posexplode(vec).alias("_dim", "_v"))
     sums = long.groupBy(*keys, "_dim").agg(F.sum("_v").alias("_s"), F.sum("_n").alias("_c"))
     return to_vector(sums, keys, "_dim", "_s", out, **{out_n: F.max("_c")})

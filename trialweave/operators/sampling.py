@@ -77,8 +77,7 @@ def missing_classes(df: DataFrame, fold: str, label: str, keys: list[str] | None
 def folds_all_classes(df: DataFrame, block: str, label: str, k: int, attempts: int, seed: int = 1) -> DataFrame:
     """(attempt, block, fold) of the first draw whose folds have every class on both sides.
 
-    Attempts are drawn as one table; nothing loops on the driver. The result is empty
-    where no attempt is valid, which the caller must treat as an error.
+    Attempts are drawn as one table; nothing loops on the driver. No valid attempt is an error.
     """
     counts = df.groupBy(block, label).agg(F.count(F.lit(1)).alias("_c"))
     blocks = per_permutation(counts.select(block).distinct(), attempts, "attempt")
@@ -95,13 +94,17 @@ def folds_all_classes(df: DataFrame, block: str, label: str, k: int, attempts: i
         .join(classes, F.col("_cells") == F.col("_k") * k)
     )
     first = covered.agg(F.min("attempt").alias("attempt"))
+    none = F.raise_error(F.lit(f"none of {attempts} draws has every class on both sides of each fold")).cast("int")
+    first = first.select(F.coalesce("attempt", none).alias("attempt"))
     return drawn.join(first, "attempt")
 
 
 def first_valid(proposals: DataFrame, valid: DataFrame, keys: list[str], attempt: str = "attempt") -> DataFrame:
-    """Proposals of the smallest valid attempt per key."""
-    best = valid.groupBy(*keys).agg(F.min(attempt).alias(attempt))
-    return proposals.join(best, [*keys, attempt], "left_semi")
+    """Proposals of the smallest valid attempt per key; a key none of whose attempts is valid is an error."""
+    best = valid.groupBy(*keys).agg(F.min(attempt).alias("_best"))
+    none = F.raise_error(F.lit(f"a key of {', '.join(keys)} has no valid attempt")).cast("bigint")
+    wanted = proposals.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("_best", none).alias(attempt))
+    return proposals.join(wanted, [*keys, attempt], "left_semi")
 
 
 def propose_halves(runs: DataFrame, run: str, stratum: str, count: int, seed: int = 1) -> DataFrame:
@@ -153,12 +156,19 @@ def covered_attempts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("attempt").agg(F.min(F.least("n_a", "n_b")).alias("_least")).where("_least > 0").select("attempt")
 
 
-def split_halves(units: DataFrame, run: str, stratum: str, cell: list[str], count: int, attempts: int, seed: int = 1) -> DataFrame:
-    """(split, run, in_a): the first ``count`` distinct, covered partitions."""
+def split_halves(units: DataFrame, run: str, stratum: str, cell: list[str], count: int | None, attempts: int, seed: int = 1) -> DataFrame:
+    """(split, run, in_a): the first ``count`` distinct, covered partitions; None: all among the attempts.
+
+    Fewer than ``count`` among the attempts is an error.
+    """
     halves = durable(propose_halves(units, run, stratum, attempts, seed))  # attempts x runs rows, read three times
     valid = distinct_halves(halves, run).join(covered_attempts(half_counts(units, halves, run, cell)), "attempt")
     # One row per attempt, whose number the caller bounds: a single small window.
-    ranked = valid.withColumn("split", F.row_number().over(Window.orderBy("attempt"))).where(F.col("split") <= count)
+    ranked = valid.withColumn("split", F.row_number().over(Window.orderBy("attempt")))
+    if count is not None:
+        ranked = durable(ranked.where(F.col("split") <= count))
+        if (found := ranked.count()) < count:
+            raise ValueError(f"{found} of {count} distinct, covered partitions in {attempts} attempts")
     return halves.join(ranked.select("attempt", "split"), "attempt").select("split", run, "in_a")
 
 

@@ -47,7 +47,7 @@ def equal_weight_mean(df: DataFrame, levels: list[list[str]], value: str, out: s
 
 
 def robust_z(df: DataFrame, run: str, frame: str, value: str, out: str) -> DataFrame:
-    """(x - median) / (1.4826 MAD) per run from frame 2 on; frame 1 is zero; NULL without spread."""
+    """(x - median) / (1.4826 MAD) per run from frame 2 on; frame 1 is zero; a run without spread is an error."""
     df = durable(df)  # read four times below
     later = df.where(F.col(frame) > 1)
     med = percentiles(later, [run], value, {"_med": 0.5})
@@ -55,7 +55,8 @@ def robust_z(df: DataFrame, run: str, frame: str, value: str, out: str) -> DataF
     mad = percentiles(dev, [run], "_dev", {"_mad": 0.5})
     scaled = df.join(med.join(mad, run), run, "left")
     scale = F.col("_mad") * 1.4826
-    z = F.when(F.col(frame) == 1, F.lit(0.0)).when(scale > 0, (F.col(value) - F.col("_med")) / scale)
+    flat = F.raise_error(F.lit(f"{value} has no spread in a run")).cast("double")
+    z = F.when(F.col(frame) == 1, F.lit(0.0)).when(scale > 0, (F.col(value) - F.col("_med")) / scale).otherwise(flat)
     return scaled.withColumn(out, z).drop("_med", "_mad")
 
 

@@ -177,8 +177,8 @@ def sink_no_overwrite(spark, sf):
 
 
 def _digest_sql(name: str, columns: list[str]) -> str:
-    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns) + ")"
-    return f"SELECT '{name}' AS source, count(*) AS n_rows, bit_xor(CAST('0x' || substr(sha256({text}), 1, 15) AS BIGINT)) AS digest FROM {name}"
+    text = "concat_ws(',', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+    return f"SELECT '{name}' AS source, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(sha256({text}), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM {name}"
 
 
 @query(

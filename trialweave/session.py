@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "trialweave") -> SparkSession:
-    """Session for tests and the bench; on a cluster the caller brings its own."""
+    """Session for tests and the bench, with a folder of this machine for its checkpoints; a cluster brings its own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "trialw
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="trialweave-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -25,19 +26,15 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "trialw
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only where a session names none (tests, local runs) a private folder is made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session. A session without one is refused."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    folder = tempfile.mkdtemp(prefix="trialweave-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if spark.sparkContext.master.startswith("local["):  # one machine: its folders are shared by all there is
+        folder = tempfile.mkdtemp(prefix="trialweave-")
+        spark.sparkContext.setCheckpointDir(folder)
+        return folder
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -42,10 +42,14 @@ def dense_map(grid: DataFrame, sparse: DataFrame, at: list[str], value: str, fil
 
 
 def content_digest(df: DataFrame, source: str) -> DataFrame:
-    """(source, n_rows, digest): row hashes combined so that order and partitioning do not matter."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
-    part = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
-    return df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("n_rows"), F.bit_xor(part).alias("digest"))
+    """(source, n_rows, digest): row hashes added up, so that order and partitioning do not matter but repeats do.
+
+    A field is written with its length before it and a missing one as ``-``: no two rows have the same text.
+    """
+    field = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in df.columns]
+    part = F.conv(F.substring(F.sha2(F.concat_ws(",", *field), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    digest = F.coalesce(F.sum(part), F.lit(0)).cast("string")
+    return df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("n_rows"), digest.alias("digest"))
 
 
 def selection_key(names: list[str]) -> str:
