@@ -29,9 +29,10 @@ TABLES, FUNCTIONS, WIDTH = 4, 8, 2.0  # WIDTH: of a cell, in largest norms
 NEAREST = 20
 SAMPLE, SAMPLE_QUERIES, AIM = 8_192, 128, 0.95
 MOST_PROBES = 2_048
-POINTS, QUERIES = 20_000, 4_000  # rows of a chunk
+POINTS, QUERIES = 10_000, 2_000  # rows of a chunk
 SLACK = 1e-9  # rounding of the block products, in squared largest norms
-KEEP_PAIRS = 1_000_000
+KEEP_PAIRS = 500_000  # pairs held before all but the best are let go
+EXACT = 20_000  # pairs whose products are summed at once
 
 
 def probe_order(functions: int, most: int) -> np.ndarray:
@@ -155,13 +156,16 @@ def meet(points: pa.Table, queries: pa.Table, count: int, slack: float) -> pa.Ta
         def settle() -> None:
             nonlocal held, size
             q, p, s = (np.concatenate([h[k] for h in held]) for k in range(3))
-            exact = np.cumsum(y[q] * x[p], axis=1)[:, -1] if len(q) else s
-            best = best_pairs(q, p, exact, ident, count)
-            held, size = [(q[best], p[best], exact[best])], len(best)
+            best = best_pairs(q, p, s, ident, count)
             full = np.bincount(q[best], minlength=len(y)) >= count
             least = np.full(len(y), np.inf)
-            np.minimum.at(least, q[best], exact[best])
+            np.minimum.at(least, q[best], s[best])
             floor[full] = least[full] - slack
+            near = s >= floor[q]
+            q, p = q[near], p[near]
+            exact = np.concatenate([np.zeros(0), *[np.cumsum(y[q[k : k + EXACT]] * x[p[k : k + EXACT]], axis=1)[:, -1] for k in range(0, len(q), EXACT)]])
+            best = best_pairs(q, p, exact, ident, count)
+            held, size = [(q[best], p[best], exact[best])], len(best)
 
         edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
         for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
@@ -170,7 +174,7 @@ def meet(points: pa.Table, queries: pa.Table, count: int, slack: float) -> pa.Ta
             i, j = np.nonzero((scores >= floor[own][:, None]) & (asker[own][:, None] != ident[low[b] : high[b]][None, :]))
             held.append((own[i], low[b] + j, scores[i, j]))
             size += len(i)
-            if size > KEEP_PAIRS:
+            if size > KEEP_PAIRS + count * len(y):
                 settle()
         if held:
             settle()
