@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 
 
-def mixture_threshold(df: DataFrame, value: str, seed: int = 1) -> DataFrame:
-    """Two-component mixture of a value; rows above the lower component mean are kept."""
+def mixture_threshold(df: DataFrame, value: str, seed: int = 1, steps: int = 500) -> DataFrame:
+    """Two-component mixture of a value; rows above the lower component mean are kept. No convergence is an error."""
     data = df.withColumn("_f", array_to_vector(F.array(F.col(value))))
-    model = GaussianMixture(k=2, featuresCol="_f", seed=seed, maxIter=100).fit(data)
+    model = GaussianMixture(k=2, featuresCol="_f", seed=seed, maxIter=steps).fit(data)
+    if model.summary.numIter >= steps:
+        raise RuntimeError(f"the mixture still moves after {steps} steps")
     low = min(float(g.mean[0]) for g in model.gaussians)
     return df.withColumn("kept", F.col(value) > F.lit(low))
 
@@ -132,14 +134,15 @@ def lda_cross_validate(units: DataFrame, keys: list[str], unit: str, block: str,
     return linear_predict(units.select(*keys, block, unit, label, vec), w, [*keys, block], ["gamma"], unit, label, vec)
 
 
-def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, held: dict[str, list], models: list[dict], rounds: int = 8) -> DataFrame:
+def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, held: dict[str, list], models: list[dict], rounds: int = 50) -> DataFrame:
     """Linear support vector machines for many training sets at once.
 
     ``models`` lists dicts with the two classes, the cost and, per held-out column in
     ``held``, the value left out (None = nothing). Squared hinge loss is minimised by
     Newton steps. A step is one pass: each task adds gradient and curvature of its own
     units for every model and key, Spark adds those sums, tasks solve the small systems,
-    and only the weights (models x keys x features) come back for the next step.
+    and only the weights (models x keys x features) come back for the next step. Weights that
+    still move after ``rounds`` steps are an error.
     """
     import numpy as np
     import pandas as pd
@@ -150,8 +153,9 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
     iu = np.triu_indices(width)
     first, second = (np.array([m["classes"][n] for m in models]) for n in (0, 1))
     cost = np.array([m["cost"] for m in models])
-    # Held-out values per model, padded with a value no block has.
-    left_out = {c: [np.array([(m[c] + [-1] * 9)[n] for m in models]) for n in range(max(len(m[c]) for m in models))] for c in held}
+    # Held-out values per model; where a model has fewer, NaN, which equals no block.
+    most = {c: max(len(m[c]) for m in models) for c in held}
+    left_out = {c: [np.array([float(m[c][n]) if n < len(m[c]) else np.nan for m in models]) for n in range(most[c])] for c in held}
     state: dict = {}
 
     def one_pass(weights):
@@ -211,8 +215,10 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
             new.setdefault(tuple(r[k] for k in keys), np.zeros((len(models), width)))[r["model"]] = r["w"]
         done = bool(state) and max(float(np.abs(new[k] - state[k]).max()) for k in new) < 1e-6
         state = new
-        if done:
+        if done or not state:
             break
+    else:
+        raise RuntimeError(f"support vector weights still move after {rounds} rounds")
     rows = [(*k, m, int(first[m]), int(second[m]), w[:-1].tolist(), float(w[-1])) for k, ws in state.items() for m, w in enumerate(ws)]
     return spark.createDataFrame(rows, f"{head}, model int, first int, second int, w array<double>, b double")
 

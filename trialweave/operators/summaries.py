@@ -60,11 +60,13 @@ def robust_z(df: DataFrame, run: str, frame: str, value: str, out: str) -> DataF
     return scaled.withColumn(out, z).drop("_med", "_mad")
 
 
-def confusion(df: DataFrame, keys: list[str], truth: str, predicted: str, classes: list[int]) -> DataFrame:
-    """Full grid of true x predicted counts with row fractions."""
+def confusion(df: DataFrame, keys: list[str], truth: str, predicted: str) -> DataFrame:
+    """Full grid of true x predicted counts with row fractions; the classes are all that occur on either side."""
     counts = df.groupBy(*keys, truth, predicted).agg(F.count(F.lit(1)).alias("n"))
     rows = counts.groupBy(*keys, truth).agg(F.sum("n").alias("_row"))
-    grid = rows.withColumn(predicted, F.explode(F.array(*[F.lit(c) for c in classes])))
+    seen = counts.select(F.explode(F.array(truth, predicted)).alias("_c")).where("_c IS NOT NULL").distinct()
+    classes = seen.agg(F.collect_list("_c").alias("_classes"))  # one row; classes are counted in tens
+    grid = rows.join(classes, F.lit(True)).withColumn(predicted, F.explode("_classes")).drop("_classes")
     n = F.coalesce("n", F.lit(0))
     return grid.join(counts, [*keys, truth, predicted], "left").select(
         *keys, truth, predicted, n.alias("n"), (n / F.col("_row")).alias("fraction")

@@ -75,10 +75,10 @@ def accuracy_metrics(spark, sf):
 @query(
     "confusion_matrix",
     f"""{DEC}, c AS (SELECT region, item, predicted, count(*) AS n FROM dec GROUP BY ALL), t AS (SELECT region, item, sum(n) AS tot FROM c GROUP BY ALL)
-SELECT t.region, t.item, CAST(g AS INT) AS predicted, coalesce(c.n, 0) AS n, {rnd('coalesce(c.n, 0) / CAST(tot AS DOUBLE)', 'fraction')} FROM t CROSS JOIN range(10) q(g) LEFT JOIN c ON c.region = t.region AND c.item = t.item AND c.predicted = g""",
+SELECT t.region, t.item, g AS predicted, coalesce(c.n, 0) AS n, {rnd('coalesce(c.n, 0) / CAST(tot AS DOUBLE)', 'fraction')} FROM t CROSS JOIN (SELECT item AS g FROM dec UNION SELECT predicted FROM dec) q LEFT JOIN c ON c.region = t.region AND c.item = t.item AND c.predicted = g""",
 )
 def confusion_matrix(spark, sf):
-    c = summaries.confusion(decoded(spark, sf), ["region"], "item", "predicted", list(range(10)))
+    c = summaries.confusion(decoded(spark, sf), ["region"], "item", "predicted")
     return c.withColumn("fraction", r6("fraction"))
 
 
