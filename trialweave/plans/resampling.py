@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.normal import cdf_sql, quantile_sql
 from ..functions.stats import fisher_z, only_finite, pearson, r6
 from ..operators import inference, ordered, sampling, selection
 from ..session import durable
@@ -161,7 +162,13 @@ def sign_flip_exact(spark, sf):
     return out.select("item", *[r6(c).alias(c) for c in ("observed", "p", "p_fwe", "q")])
 
 
-@query("stouffer")
+@query(
+    "stouffer",
+    f"""WITH {NULLS}, pu AS (SELECT subject, item, (1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)) AS p FROM o JOIN n USING (subject, item) WHERE o.v IS NOT NULL GROUP BY subject, item, o.v),
+zs AS (SELECT item, -({quantile_sql('c')}) AS z FROM (SELECT item, CAST(least(greatest(p, 1e-15), 1 - 1e-15) AS DOUBLE) AS c FROM pu)),
+g AS (SELECT item, sum(z) / sqrt(count(*)) AS z, -sum(z) / sqrt(count(*)) AS m FROM zs GROUP BY item HAVING count(*) = 5), pl AS (SELECT item, z, {cdf_sql('m')} AS p FROM g), {S.bh('pl', [])}
+SELECT item, {rnd('z', 'z')}, {rnd('p', 'p')}, {rnd('q', 'q')} FROM adj""",
+)
 def stouffer(spark, sf):
     p = inference.p_upper(*nulls(spark, sf), ["subject", "item"], "v")
     return inference.stouffer(p, ["item"], "p", 5).select("item", *[r6(c).alias(c) for c in ("z", "p", "q")])

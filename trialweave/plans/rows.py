@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.normal import cdf_sql, normal_cdf, normal_quantile, quantile_sql
 from ..functions.stats import r6
 from ..operators import sampling, selection
 from ..sources import views as V
@@ -212,10 +213,11 @@ def fn_math(spark, sf):
     )
 
 
-@query("fn_normal")
+@query(
+    "fn_normal",
+    f"WITH {V.PVALUES}, z AS (SELECT test, p, {quantile_sql('p')} AS z FROM pv) SELECT test, {rnd('p', 'p')}, {rnd('z', 'z')}, {rnd(cdf_sql('z'), 'back')} FROM z",
+)
 def fn_normal(spark, sf):
-    from ..functions.normal import normal_cdf, normal_quantile
-
     p = V.pvalues(spark, sf).withColumn("z", normal_quantile("p"))
     return p.select("test", r6("p").alias("p"), r6("z").alias("z"), r6(normal_cdf("z")).alias("back"))
 
