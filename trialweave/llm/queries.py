@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, linededup, neardup, pii, toxicity, warc
+from . import ann, bpe, decontaminate, language, licenses, linededup, neardup, pii, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -13,6 +13,17 @@ def op1_multiprobe_neighbours(spark, sf):
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+@query("op2_license_digests", licenses.scan_sql())
+def op2_license_digests(spark, sf):
+    """The licence that each whole document is, and those that its lines name."""
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"), licenses.known_licenses(spark))
+    lines = F.col("license.lines")
+    return found.select(
+        "doc_id", F.col("license.whole").alias("whole_license"), F.size(lines).cast("bigint").alias("n_notices"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(lines, lambda x: x.license))), ",").alias("licenses"),
+    )
+
+
 @query("op3_pii_weak_supervision")
 def op3_pii_weak_supervision(spark, sf):
     """Personal data in every document: base spans and those that the trained span classifier adds."""
