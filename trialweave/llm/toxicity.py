@@ -23,6 +23,7 @@ from .wordstats import Words
 
 POSITIVES, NEGATIVES = 2_500, 5_000  # bound of the labelled rows used for the fit
 SLOT_BITS = 22  # hashed feature space
+FIT_BYTES = 1 << 19  # text bytes that the fit handles at once
 FEATURES = 6_000  # features kept, by association with the label
 GAIN = 7.0  # least log likelihood ratio of a kept feature
 STEPS, RATE, RIDGE = 300, 0.15, 0.02
@@ -66,7 +67,7 @@ class Model:
         start, end, text, number = sentences(words)
         z = self.sentence_logits(words, number, len(start))
         clean = np.bincount(text, -np.logaddexp(0, z), len(column))  # sum of log(1 - p)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         bad = np.flatnonzero(p >= OFFENDING)
         listed = pa.StructArray.from_arrays([pa.array(words.point(start[bad])), pa.array(words.point(end[bad])), pa.array(p[bad])], names=["start", "end", "score"])
         return pa.StructArray.from_arrays([pa.array(-np.expm1(clean)), lists(listed, np.bincount(text[bad], minlength=len(column)))], names=["score", "offending"])
@@ -75,8 +76,8 @@ class Model:
 def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Weights of the noisy-or model by full-batch adaptive gradient steps; deterministic."""
     batch = pa.record_batch({"text": pa.array(texts, pa.string()), "row": pa.array(np.arange(len(texts)))})
-    hasher, counts = Hasher(fold=False), np.zeros((2, 1 << SLOT_BITS))
-    for part in slices([batch], "text"):
+    hasher, counts = Hasher(fold=False), np.zeros((2, 1 << SLOT_BITS), np.float32)
+    for part in slices([batch], "text", FIT_BYTES):
         words = Words(part.column("text"), hasher)
         row = np.repeat(part.column("row").to_numpy(), np.diff(words.bound))
         pairs = np.unique(words.form * np.int64(len(texts)) + row)  # each form once in a text
@@ -85,10 +86,11 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> Mod
         pairs = np.unique(slot * np.int64(len(texts)) + row)
         slot, row = pairs // max(1, len(texts)), pairs % max(1, len(texts))
         for y in (0, 1):
-            counts[y] += np.bincount(slot, weights[row] * (labels[row] == y), 1 << SLOT_BITS)
+            own = labels[row] == y
+            np.add.at(counts[y], slot[own], weights[row[own]].astype(np.float32))
     kept = select(*counts, weights[labels == 0].sum(), weights[labels == 1].sum())
     rows, total = [], 0
-    for part in slices([batch], "text"):
+    for part in slices([batch], "text", FIT_BYTES):
         words = Words(part.column("text"), hasher)
         start, _, text, number = sentences(words)
         at, slot = entries(words, words.form)
@@ -102,7 +104,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray) -> Mod
     m = v = np.zeros_like(w)
     for step in range(1, STEPS + 1):
         z = w[-1] + np.bincount(sentence, w[index], total)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         clean = np.bincount(document, -np.logaddexp(0, z), len(y))
         bag = np.maximum(-np.expm1(clean), 1e-9)
         share = np.where(y > 0, -np.exp(clean) / bag, 1.0) * weights
@@ -125,12 +127,14 @@ def entries(words: Words, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def select(negative: np.ndarray, positive: np.ndarray, clean: float, toxic: float) -> np.ndarray:
     """The slots, FEATURES at most, that speak for the positive label by GAIN or more of log likelihood."""
+    known = np.flatnonzero(positive)
+    negative, positive = negative[known].astype(float), positive[known].astype(float)
     seen = positive + negative
     expected = seen * toxic / max(clean + toxic, 1e-9)
     gain = positive * np.log((positive + 1e-9) / (expected + 1e-9)) + negative * np.log((negative + 1e-9) / (seen - expected + 1e-9))
     gain = np.where(positive > expected, gain, 0)
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    return best[gain[best] >= GAIN]
+    return known[best[gain[best] >= GAIN]]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[list[str | None], np.ndarray, np.ndarray]:
