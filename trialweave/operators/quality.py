@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import col, finite, pearson
@@ -25,13 +25,15 @@ RULES = [
 def dvars(df: DataFrame, run: str, frame: str, voxel: str, value: str) -> DataFrame:
     """Root mean squared change per frame over the voxels finite in every frame of the run.
 
-    The previous frame is met by an equi-join on (run, voxel, frame), so neither a hot
-    run nor a hot voxel is gathered.
+    One shuffle: both windows run over (run, voxel), a group as long as a recording run however
+    many voxels or runs there are. A frame without the one before it changes by nothing.
     """
-    good = df.groupBy(run, voxel).agg(F.bool_and(finite(value)).alias("_ok")).where("_ok").select(run, voxel)
-    now = df.join(good, [run, voxel], "left_semi").select(run, voxel, frame, value)
-    before = now.select(run, voxel, (F.col(frame) + 1).alias(frame), F.col(value).alias("_before"))
-    change = now.join(before, [run, voxel, frame], "left").withColumn("_d", F.coalesce(F.col(value) - F.col("_before"), F.lit(0.0)))
+    series = Window.partitionBy(run, voxel)
+    order = series.orderBy(frame)
+    before = F.when(F.lag(frame).over(order) == F.col(frame) - 1, F.lag(value).over(order))
+    change = df.select(
+        run, frame, F.min(finite(value).cast("int")).over(series).alias("_ok"), F.coalesce(F.col(value) - before, F.lit(0.0)).alias("_d")
+    ).where("_ok = 1")
     return change.groupBy(run, frame).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("dvars"))
 
 
