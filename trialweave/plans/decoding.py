@@ -46,6 +46,18 @@ def template_decode(spark, sf):
     return acc.withColumns({c: r6(c) for c in ("accuracy", "balanced_accuracy")})
 
 
+# Features divided by their spread over the training runs, the usual setting of the decoders.
+DEC_SCALED = f"""WITH {S.CENTRED}, {S.templates('cent', ['region'], 'item')}, rq AS (SELECT run, dim, sum(v * v) AS q, count(*) AS n FROM cent GROUP BY ALL), tq AS (SELECT dim, sum(q) AS q, sum(n) AS n FROM rq GROUP BY dim),
+sdv AS (SELECT rq.run, dim, sqrt((tq.q - rq.q) / (tq.n - rq.n - 1)) AS sd FROM rq JOIN tq USING (dim)),
+sims AS (SELECT c.region, c.unit, c.run, c.item, t.cand, corr(c.v / sd, t.v / sd) AS s FROM cent c JOIN tmpl t ON c.region = t.region AND c.run = t.run AND c.dim = t.dim JOIN sdv ON sdv.run = c.run AND sdv.dim = c.dim GROUP BY ALL),
+{S.decide('sims', ['region', 'unit', 'run'], 'item', 'dec')}"""
+
+
+@query("template_decode_scaled", f"{DEC_SCALED} SELECT region, unit, item, predicted, {rnd('evidence', 'evidence')} FROM dec")
+def template_decode_scaled(spark, sf):
+    return decoded(spark, sf, scale=True).select("region", "unit", "item", "predicted", r6("evidence").alias("evidence"))
+
+
 @query("argmax_class", f"{DEC} SELECT region, unit, item, predicted FROM dec")
 def argmax_class(spark, sf):
     return decoded(spark, sf).select("region", "unit", "item", "predicted")
