@@ -55,7 +55,7 @@ SPELLINGS = {
     "emphasised": "emphasized", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "http": "https", "initialise": "initialize",
     "judgement": "judgment", "labelling": "labeling", "labour": "labor", "licence": "license", "licenced": "licensed", "maximise": "maximize", "modelled": "modeled",
     "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
-    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
