@@ -102,7 +102,7 @@ def test_toxicity_learns_and_locates(spark):
     rows = toxic_set(900)
     docs = X.documents(spark, [(k, t, "en", "s") for k, t, _ in rows] + EMPTY[:1] + [(5000, "", "en", "s"), (5001, "villain " * 100_000, "en", "s")])
     labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows] + [(None, 1), (3, None), (4, int(rows[4][2]))], "doc_id bigint, toxic int")
-    scored = toxicity.score(docs, toxicity.trained(docs, labels)).select("doc_id", "text", "toxicity", toxicity.held_out(docs["doc_id"]).alias("out"))
+    scored = toxicity.score(docs, toxicity.trained(docs, labels)).select("doc_id", "text", "toxicity", toxicity.held_out(toxicity.F.col("doc_id")).alias("out"))
     truth = {k: y for k, _, y in rows}
     got = {r["doc_id"]: r for r in scored.collect()}
     assert got[None]["toxicity"]["score"] == 0 and got[5000]["toxicity"]["score"] == 0 and not got[None]["out"] and got[5001]["toxicity"]["score"] > 0.9

@@ -9,11 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from ..session import scratch_path
 
-SLICE_BYTES = 2 << 20  # text bytes handled at once in a Python worker; one longer text is a slice of its own
+ARROW_ROWS = 1_000  # rows sent to a Python worker at once, where the session has Spark's default of 10,000
+SLICE_BYTES = 1 << 20  # text bytes handled at once in a Python worker; one longer text is a slice of its own
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +44,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Texts are long: keep Arrow batches small, unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def with_text(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, str]:
+    """The columns ``names`` of ``df`` and the text as a string, under a name of its own where it is not among them."""
+    bounded(df.sparkSession)
+    if text in names and df.schema[text].dataType == StringType():
+        return df.select(*[F.col(f"`{c}`") for c in names]), text
+    inner = free(names, "_text")
+    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(inner)), inner
+
+
 def free(names: list[str], wish: str) -> str:
     """A column name that none of ``names`` clashes with."""
     taken = {n.lower() for n in names}
@@ -141,15 +158,15 @@ def with_column(df: DataFrame, text: str, out: str, kind: str, make: Callable, k
     Rows stay as they are, one to one; a column already called ``out`` is replaced.
     """
     names = [c for c in (df.columns if keep is None else keep) if c != out]
-    inner = free(names, "_text")
-    work = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(inner))
+    work, inner = with_text(df, names, text)
+    place = work.columns.index(inner)
     result = StructType([*[df.schema[c] for c in names], StructField(out, _parse_datatype_string(kind))])
 
     def run(batches):
         apply = make()
         for part in slices(batches, inner):
             columns = [part.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, apply(part.column(len(names)))], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*columns, apply(part.column(place))], names=[*names, out])
 
     return work.mapInArrow(run, result)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import Hasher, byte_set, free, lists, mix, packed, per_text, slices, spans
+from .common import Hasher, byte_set, lists, mix, packed, per_text, slices, spans, with_text
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20  # benchmark text sent to the executors at once
@@ -182,21 +182,20 @@ def find_passages(
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = 1 + int(total // block_bytes)
     names = [c for c in (docs.columns if keep is None else keep) if c != out]
-    inner = free(names, "_text")
-    work = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(inner))
-    place = len(names)
+    work, inner = with_text(docs, names, text)
+    place = work.columns.index(inner)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         rows = sorted((r["item"], r["text"]) for r in part.collect())
         last = block == blocks - 1
-        columns = [*names, out] if last else [*names, inner, out]
+        columns = [*(names if last else work.columns), out] if not block else [*(names if last else work.columns[:-1]), out]
         schema = StructType([*[work.schema[c] for c in columns if c != out], StructField(out, _parse_datatype_string(KIND))])
 
         def run(batches, rows=rows, columns=columns, again=block > 0):
             hasher = Hasher()
             tables = [Table(n, w, hasher) for n, w in sorted(windows_of(rows, window).items())]
             for part in slices(batches, inner):
-                prior = part.column(place + 1) if again else None
+                prior = part.column(part.num_columns - 1) if again else None
                 found = one_pass(part, place, prior, tables, hasher)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(columns) - 1)], found], names=columns)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, byte_set, mix, packed, per_text, slices, spans, written
+from .common import Hasher, bounded, byte_set, mix, packed, per_text, slices, spans, written
 from .components import components
 
 SHINGLE = 5
@@ -89,6 +89,7 @@ class Sketch:
 
 def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, n_shingles, node, keys) per row; a text without words has no node and no keys."""
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
