@@ -22,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import lists, with_column
+from .common import lists, trim, with_column
 
 MARK = "▁"
-CACHE_IDS = 4_000_000  # ids of distinct units kept by a task before it forgets them and starts anew
+CACHE_IDS = 1_000_000  # ids of distinct units kept by a task before it forgets them and starts anew
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
 
 
@@ -294,6 +294,8 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str =
                 column = part.column(place)
                 own = pa.concat_arrays([column]) if column.offset == 0 else pa.array(column.to_pylist(), column.type)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoder(own)], names=[*names, text])
+        decoder = None
+        trim()
 
     return base.mapInArrow(run, schema)
 

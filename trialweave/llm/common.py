@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +47,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give back what a finished task no longer uses: its worker goes on to serve later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded(spark: SparkSession) -> None:
     """Texts are long: keep Arrow batches small, unless the session has its own setting."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -167,6 +178,8 @@ def with_column(df: DataFrame, text: str, out: str, kind: str, make: Callable, k
         for part in slices(batches, inner):
             columns = [part.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, apply(part.column(place))], names=[*names, out])
+        apply = None
+        trim()
 
     return work.mapInArrow(run, result)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from .common import Hasher, byte_set, lists, mix, packed, per_text, slices, spans, with_text
+from .common import Hasher, byte_set, lists, mix, packed, per_text, slices, spans, trim, with_text
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20  # benchmark text sent to the executors at once
@@ -198,6 +198,8 @@ def find_passages(
                 prior = part.column(part.num_columns - 1) if again else None
                 found = one_pass(part, place, prior, tables, hasher)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(columns) - 1)], found], names=columns)
+            hasher = tables = None
+            trim()
 
         work = work.mapInArrow(run, schema)
     return work

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, bounded, byte_set, mix, packed, per_text, slices, spans, written
+from .common import Hasher, bounded, byte_set, mix, packed, per_text, slices, spans, trim, written
 from .components import components
 
 SHINGLE = 5
@@ -102,6 +102,8 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
                 "node": pa.array([set_digest(s) for s in sets], pa.binary()),
                 "keys": pa.array([sketch.keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
             })
+        hasher = sketch = None
+        trim()
 
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>")
 
@@ -148,6 +150,8 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
                 "items": pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64())),
                 "cells": pa.array([levels(sets[i]) for i in keep], pa.list_(pa.int64())),
             })
+        hasher = None
+        trim()
 
     sets = rows.mapInArrow(run, "node binary, items array<bigint>, cells array<bigint>")
     return sets.groupBy("node").agg(F.first("items").alias("items"), F.first("cells").alias("cells"))
