@@ -40,6 +40,30 @@ def test_neighbours_reach_the_recall_and_exact_scores(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    rng = np.random.default_rng(5)
+    base = 5 + rng.normal(size=(60, 8))
+    ids = np.concatenate([np.arange(60), np.repeat([7, 8], 40)])
+    x = np.concatenate([base, np.repeat(base[[7]], 40, axis=0), base[8] + 2 + 0.01 * rng.normal(size=(40, 8))])  # 7: one vector, 8: others
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>").repartition(4)
+    got = ann.nearest(df, df.where("vec_id IN (0, 20, 40)")).orderBy("query_id", "rank").collect()
+    for q in (0, 20, 40):
+        best = {}
+        for i, s in zip(ids.tolist(), np.cumsum(x * x[q], axis=1)[:, -1].tolist()):
+            if i != q:
+                best[i] = max(s, best.get(i, -np.inf))
+        found = {r["vec_id"]: r["score"] for r in got if r["query_id"] == q}
+        assert sum(r["query_id"] == q for r in got) == len(found) == 20 and all(found[i] == best[i] for i in found)
+        assert 8 in found
+
+
+def test_best_pairs_rank_ids_not_rows():
+    query, place = np.zeros(30, np.int64), np.arange(30)
+    ident, score = np.repeat([4, 5, 6], [25, 3, 2]), np.linspace(3, 1, 30)
+    assert ident[ann.best_pairs(query, place, score, ident, 3)].tolist() == [4, 5, 6]
+    assert len(ann.best_pairs(query[:0], place[:0], score[:0], ident, 3)) == 0
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 0.5)]

@@ -125,8 +125,11 @@ def fitted_probes(sample: np.ndarray, norm: float) -> int:
 
 
 def best_pairs(query: np.ndarray, place: np.ndarray, score: np.ndarray, ident: np.ndarray, count: int) -> np.ndarray:
-    """Positions of each query's ``count`` best pairs, ties to the smaller id."""
-    order = np.lexsort((ident[place], -score, query))
+    """Positions of each query's ``count`` best pairs, one for an id, ties to the smaller id."""
+    order = np.lexsort((-score, ident[place], query))
+    own, other = query[order], ident[place[order]]
+    order = order[np.concatenate(([True], (own[1:] != own[:-1]) | (other[1:] != other[:-1])))[: len(order)]]  # an id's best row
+    order = order[np.lexsort((ident[place[order]], -score[order], query[order]))]
     rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
     return order[rank < count]
 
@@ -200,9 +203,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
     if main is None:
         return points.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     dimension, rows, longest = main["d"], main["n"], main["norm"]
-    points, asked = points.where(F.size("vector") == dimension), ready(queries).where(F.size("vector") == dimension)
-    drawn = points.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    probes = fitted_probes(matrix(drawn["vector"].combine_chunks()), longest)
+    points, asked = (df.where(F.size("vector") == dimension).dropDuplicates(["id", "vector"]) for df in (points, ready(queries)))
+    drawn = points.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).toArrow()
+    _, once = np.unique(drawn["id"].to_numpy(), return_index=True)  # neighbours are ids, not rows
+    probes = fitted_probes(matrix(drawn["vector"].combine_chunks())[np.sort(once)], longest)
     tables = Tables.drawn(dimension, longest, probes)
     groups = max(4, -(-rows // POINTS))
 
