@@ -64,6 +64,36 @@ def test_best_pairs_rank_ids_not_rows():
     assert len(ann.best_pairs(query[:0], place[:0], score[:0], ident, 3)) == 0
 
 
+def test_all_candidates_of_a_small_table(spark):
+    rng = np.random.default_rng(8)
+    for n in (12, 21):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(n, 16)))], "vec_id bigint, embedding array<double>")
+        got = ann.nearest(df, df).groupBy("query_id").count().collect()
+        assert {r["query_id"]: r["count"] for r in got} == {k: n - 1 for k in range(n)}
+
+
+def test_isolated_queries_are_asked_again(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=16)
+    x = np.concatenate([centre + 0.01 * rng.normal(size=(1980, 16)), 0.01 * rng.normal(size=(5, 16)) - centre])  # the five are far from the rest
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    by = {}
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0 OR vec_id >= 1980")).orderBy("query_id", "rank").collect():
+        by.setdefault(r["query_id"], []).append(r["rank"])
+    assert set(by) == {*range(0, 1980, 100), *range(1980, 1985)} and all(v == list(range(1, 21)) for v in by.values())
+
+
+def test_all_buckets_where_no_moves_reach_the_aim(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)  # even all sets of moves are too few
+    rng = np.random.default_rng(10)
+    ids, x = np.arange(300), rng.normal(size=(300, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids.tolist(), x)], "vec_id bigint, embedding array<double>")
+    assert ann.fitted_probes(x, float(np.linalg.norm(x, axis=1).max())) is None
+    got = ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()
+    for q in range(0, 300, 50):
+        assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == q] == brute(ids, x, q, 20)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id = 0")).collect()] == [(0, 1, 0.5)]

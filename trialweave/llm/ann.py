@@ -11,12 +11,15 @@
   ranked by the inner product of the original vectors in double precision.
 * The number of probes is fitted: the least that finds AIM of the true neighbours within a sample of at most
   SAMPLE vectors and SAMPLE_QUERIES queries. Neighbours in the whole table are nearer, so its recall is higher.
+  Where all MOST_PROBES sets of moves fall short of AIM, every query visits all buckets.
+* Queries that found fewer than they should are asked again with all sets of moves, and then in all buckets.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from .common import mix, written
 TABLES, FUNCTIONS, WIDTH = 4, 8, 2.0  # WIDTH: of a cell, in largest norms
 NEAREST = 20
 SAMPLE, SAMPLE_QUERIES, AIM = 8_192, 128, 0.95
-MOST_PROBES = 2_048
+MOST_PROBES = 3**FUNCTIONS  # all sets of moves
+VISIT_KEYS = 1 << 20  # probe keys made at once
+BLOCK = 1 << 20  # products held at once by queries that visit all buckets
 POINTS, QUERIES = 10_000, 2_000  # rows of a chunk
 SLACK = 1e-9  # rounding of the block products, in squared largest norms
 KEEP_PAIRS = 500_000  # pairs held before all but the best are let go
@@ -102,8 +107,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def fitted_probes(sample: np.ndarray, norm: float) -> int:
-    """The least number of probes, by doubling, that finds AIM of the sample's true neighbours."""
+def fitted_probes(sample: np.ndarray, norm: float) -> int | None:
+    """The least number of probes, by doubling, that finds AIM of the sample's true neighbours; None if none does."""
     queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
     tables = Tables.drawn(sample.shape[1], norm, MOST_PROBES)
     scores = queries @ sample.T
@@ -119,8 +124,10 @@ def fitted_probes(sample: np.ndarray, norm: float) -> int:
             hit = key[best[q]][:, None] == probe[q][None, :]
             first[q] = np.minimum(first[q], np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
     probes = 1
-    while probes < MOST_PROBES and (first < probes).mean() < AIM:
-        probes *= 2
+    while (first < probes).mean() < AIM:
+        if probes == MOST_PROBES:
+            return None
+        probes = min(2 * probes, MOST_PROBES)
     return probes
 
 
@@ -135,7 +142,7 @@ def best_pairs(query: np.ndarray, place: np.ndarray, score: np.ndarray, ident: n
 
 
 def meet(points: pa.Table, queries: pa.Table, count: int, slack: float) -> pa.Table:
-    """The best candidates of each query among the points in its probed buckets."""
+    """The best candidates of each query among the points in its probed buckets, or in all where it lists none."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if points.num_rows and queries.num_rows:
         x, ident, key = matrix(points["vector"].combine_chunks()), points["vec_id"].to_numpy(), points["key"].to_numpy()
@@ -145,7 +152,8 @@ def meet(points: pa.Table, queries: pa.Table, count: int, slack: float) -> pa.Ta
         high = np.append(low[1:], len(key))
         y, asker = matrix(queries["vector"].combine_chunks()), queries["query_id"].to_numpy()
         probes = queries["keys"].combine_chunks()
-        owner = np.repeat(np.arange(len(y)), np.diff(probes.offsets.to_numpy()))
+        listed = np.diff(probes.offsets.to_numpy())
+        owner, everywhere = np.repeat(np.arange(len(y)), listed), np.flatnonzero(listed == 0)
         wanted = probes.flatten().to_numpy()
         at = np.minimum(np.searchsorted(bucket, wanted), len(bucket) - 1)
         real = bucket[at] == wanted
@@ -171,11 +179,13 @@ def meet(points: pa.Table, queries: pa.Table, count: int, slack: float) -> pa.Ta
             held, size = [(q[best], p[best], exact[best])], len(best)
 
         edges = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else at
-        for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
-            own, b = owner[first:last], at[first]
-            scores = y[own] @ x[low[b] : high[b]].T
-            i, j = np.nonzero((scores >= floor[own][:, None]) & (asker[own][:, None] != ident[low[b] : high[b]][None, :]))
-            held.append((own[i], low[b] + j, scores[i, j]))
+        blocks = [(owner[first:last], low[at[first]], high[at[first]]) for first, last in zip(edges.tolist(), [*edges[1:].tolist(), len(at)])]
+        step = max(1, BLOCK // max(1, len(everywhere)))
+        blocks += [(everywhere, k, min(k + step, len(x))) for k in range(0, len(x) if len(everywhere) else 0, step)]
+        for own, begin, end in blocks:
+            scores = y[own] @ x[begin:end].T
+            i, j = np.nonzero((scores >= floor[own][:, None]) & (asker[own][:, None] != ident[begin:end][None, :]))
+            held.append((own[i], begin + j, scores[i, j]))
             size += len(i)
             if size > KEEP_PAIRS + count * len(y):
                 settle()
@@ -207,7 +217,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
     drawn = points.orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).toArrow()
     _, once = np.unique(drawn["id"].to_numpy(), return_index=True)  # neighbours are ids, not rows
     probes = fitted_probes(matrix(drawn["vector"].combine_chunks())[np.sort(once)], longest)
-    tables = Tables.drawn(dimension, longest, probes)
+    # with one more id than ``count`` every query has enough candidates
+    enough = len(once) > count or points.select("id").distinct().limit(count + 1).count() > count
+    rounds = ([probes] if probes == MOST_PROBES else [probes, MOST_PROBES]) + [None] if enough and probes else [None]
+    tables = Tables.drawn(dimension, longest, 1)
     groups = max(4, -(-rows // POINTS))
 
     def group_of(key: np.ndarray) -> np.ndarray:
@@ -221,34 +234,63 @@ def nearest(vectors: DataFrame, queries: DataFrame, ident: str = "vec_id", vecto
                     key = tables.keys(x, table)
                     yield pa.RecordBatch.from_arrays([pa.array(group_of(key) * TABLES + table), pa.array(key), batch.column(0), batch.column(1)], names=["g", "key", "vec_id", "vector"])
 
-    def visit(batches):
-        for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
-                x = matrix(batch.column(1))
-                for table in range(TABLES):
-                    key = tables.probes(x, table)
-                    group = group_of(key.ravel()).reshape(key.shape)
-                    order = np.lexsort((group.ravel(), np.repeat(np.arange(len(x)), key.shape[1])))
-                    owner, group, key = order // key.shape[1], group.ravel()[order], key.ravel()[order]
-                    opens = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (group[1:] != group[:-1]))))
-                    take = pa.array(owner[opens])
-                    keys = pa.ListArray.from_arrays(pa.array(np.append(opens, len(key)), pa.int32()), pa.array(key))
-                    yield pa.RecordBatch.from_arrays([pa.array(group[opens] * TABLES + table), batch.column(0).take(take), keys, batch.column(1).take(take)], names=["g", "query_id", "keys", "vector"])
+    def visits_of(asked: DataFrame, probes: int | None) -> DataFrame:
+        """A row for each query and group, with its keys there; without probes, each group of one table and no keys."""
+        here = None if probes is None else Tables.drawn(dimension, longest, probes)
+
+        def everywhere(batches):
+            for batch in batches:
+                for g in range(groups if batch.num_rows else 0):
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(batch.num_rows + 1), pa.int32()), pa.array([], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, g * TABLES)), batch.column(0), none, batch.column(1)], names=["g", "query_id", "keys", "vector"])
+
+        def visit(batches):
+            size = max(1, min(512, VISIT_KEYS // probes))
+            for whole in batches:
+                for low in range(0, whole.num_rows, size):
+                    batch = whole.slice(low, size)
+                    x = matrix(batch.column(1))
+                    for table in range(TABLES):
+                        key = here.probes(x, table)
+                        group = group_of(key.ravel()).reshape(key.shape)
+                        order = np.lexsort((group.ravel(), np.repeat(np.arange(len(x)), key.shape[1])))
+                        owner, group, key = order // key.shape[1], group.ravel()[order], key.ravel()[order]
+                        opens = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (group[1:] != group[:-1]))))
+                        take = pa.array(owner[opens])
+                        keys = pa.ListArray.from_arrays(pa.array(np.append(opens, len(key)), pa.int32()), pa.array(key))
+                        yield pa.RecordBatch.from_arrays([pa.array(group[opens] * TABLES + table), batch.column(0).take(take), keys, batch.column(1).take(take)], names=["g", "query_id", "keys", "vector"])
+
+        return written(asked.mapInArrow(everywhere if probes is None else visit, "g bigint, query_id bigint, keys array<bigint>, vector array<double>"), "visits")
 
     indexed = written(points.mapInArrow(index, "g bigint, key bigint, vec_id bigint, vector array<double>"), "index")
-    visits = written(asked.mapInArrow(visit, "g bigint, query_id bigint, keys array<bigint>, vector array<double>"), "visits")
-    cuts = indexed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("np")).join(visits.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("nq")), "g")
-    cuts = written(cuts, "cuts")  # one row for each group of POINTS points
-    left = indexed.join(cuts, "g").withColumn("pc", F.pmod(F.xxhash64("vec_id"), "np")).withColumn("qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)))
-    right = visits.join(cuts, "g").withColumn("qc", F.pmod(F.xxhash64("query_id"), "nq")).withColumn("pc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("np") - 1)))
     keys = ["g", "pc", "qc"]
     slack = SLACK * longest * longest
 
     def run(p: pa.Table, q: pa.Table) -> pa.Table:
         return meet(p, q, count, slack)
 
-    found = left.select(*keys, "key", "vec_id", "vector").groupBy(*keys).cogroup(right.select(*keys, "keys", "query_id", "vector").groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+    def ranked(asked: DataFrame, probes: int | None) -> DataFrame:
+        visits = visits_of(asked, probes)
+        cuts = indexed.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / POINTS).alias("np")).join(visits.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("nq")), "g")
+        cuts = written(cuts, "cuts")  # one row for each group of POINTS points
+        left = indexed.join(cuts, "g").withColumn("pc", F.pmod(F.xxhash64("vec_id"), "np")).withColumn("qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nq") - 1)))
+        right = visits.join(cuts, "g").withColumn("qc", F.pmod(F.xxhash64("query_id"), "nq")).withColumn("pc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("np") - 1)))
+        found = left.select(*keys, "key", "vec_id", "vector").groupBy(*keys).cogroup(right.select(*keys, "keys", "query_id", "vector").groupBy(*keys)).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return merged.withColumn("rank", rank).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+
+    done = []
+    for probes in rounds:
+        top = ranked(asked, probes)
+        if probes is None:
+            done.append(top)
+            break
+        top = written(top, "ranked")
+        whole = top.where(F.col("rank") == count).select(F.col("query_id").alias("id"))
+        short = written(asked.join(whole, "id", "left_anti"), "short")
+        done.append(top.join(whole, F.col("query_id") == F.col("id"), "left_semi"))
+        if short.isEmpty():
+            break
+        asked = short
+    return reduce(DataFrame.unionByName, done)
