@@ -2,13 +2,16 @@
 
 A text is folded to lower case, loses its copyright lines and punctuation, and has equivalent spellings unified;
 the SHA-256 of what remains is hash-joined to the digests of the known licences and notices. The known texts are a
-parameter; they are few (at most KNOWN_ROWS, which is checked) and so can be sent to every executor.
+parameter; they are few (at most KNOWN_ROWS, which is checked) and so can be sent to every executor. By default they
+are the whole texts in the folder ``texts``, MIT and ISC, with usual titles and with and without the appendix, and
+the notices and SPDX lines made for each licence id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,67 @@ Copyright (c) <year> <owner>
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"],
+}
+# How BSD texts name the holder: in the third clause, where the software is provided, where liability is excluded.
+HOLDERS = [
+    ("University", "REGENTS AND CONTRIBUTORS", "REGENTS OR CONTRIBUTORS"), ("copyright holder", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"),
+    ("copyright holder", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT OWNER OR CONTRIBUTORS"), ("author", "AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"),
+]
+NAMES = {
+    "MIT": ["MIT License"], "ISC": ["ISC License"], **{k: [t.removeprefix("The ") for t in TITLES[k]] for k in ("BSD-2-Clause", "BSD-3-Clause")},
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    **{f"MPL-{v}": [f"Mozilla Public License, Version {v}", f"Mozilla Public License {v}", f"Mozilla Public License, v. {v}", f"MPL {v}"] for v in ("1.1", "2.0")},
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero 1.0 Universal"],
+}
+for _code, _name in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    NAMES[f"CC-{_code}-4.0"] = [f"CC {_code} 4.0", *[f"Creative Commons {_name} 4.0{end}" for end in ("", " License", " International", " International License")]]
+GNU = {"GPL": ("General Public License", ("1.0", "2.0", "3.0")), "LGPL": ("Lesser General Public License", ("2.1", "3.0")), "AGPL": ("Affero General Public License", ("3.0",)), "GFDL": ("Free Documentation License", ("1.2", "1.3"))}
+for _code, (_name, _versions) in GNU.items():
+    for _v in _versions:
+        _all = [w for w in dict.fromkeys((_v, _v.removesuffix(".0")))]
+        NAMES[f"{_code}-{_v}"] = [form for w in _all for form in (f"GNU {_name}, version {w}", f"GNU {_name} v{w}", f"GNU {_code} v{w}", f"GNU {_code}v{w}", f"{_code} version {w}", f"{_code}v{w}")]
+NAMES["LGPL-2.0"] = ["GNU Library General Public License, version 2", "GNU Library General Public License, version 2.0"]
+LATER = ["or later", "or (at your option) any later version"]
+OPENINGS = [f"{a} under {b}" for a in ("Licensed", "Released", "Distributed", "Published", "Available", *(f"This {x} is licensed" for x in ("work", "project", "software", "program"))) for b in ("", "the ", "the terms of the ")]
+SPDX = ["0BSD", "AFL-3.0", "Artistic-1.0-Perl", "Artistic-2.0", "BSL-1.0", "CDDL-1.0", "CECILL-2.1", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "MS-PL", "MIT-0", "NCSA", "OFL-1.1", "PostgreSQL", "Unlicense", "WTFPL", "Zlib"]
+END = "END OF TERMS AND CONDITIONS"  # what follows in whole texts may be left out
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of whole licences, in their usual forms."""
+    out = []
+    for path in sorted((Path(__file__).parent / "texts").glob("*.txt")):
+        text, name = path.read_text(encoding="utf-8"), path.name.removesuffix(".txt")
+        if name != "BSD-3-Clause":
+            head = text.partition(END)[0]
+            out += [(name, t) for t in dict.fromkeys((text, head, head + END if head != text else text))]
+            continue
+        for third, by, event in HOLDERS:
+            three = text.replace("name of the University", f"name of the {third}").replace("REGENTS AND CONTRIBUTORS", by).replace("REGENTS OR CONTRIBUTORS", event)
+            two = re.sub(r"(?s)\n3\. .*?\n\n", "\n\n", three)
+            for own, body in (("BSD-3-Clause", three), ("BSD-2-Clause", two)):
+                out += [(own, f"{title}\n{b}") for b in (body, re.sub(r"(?m)^[123]\. ", "* ", body)) for title in ("", *TITLES[own])]
+    for name, text in (("MIT", MIT), ("ISC", ISC)):
+        out += [(name, f"{title}\n{text.partition(chr(10))[2]}") for title in ("", *TITLES[name])]
+    return out
+
+
+def notices() -> list[tuple[str, str]]:
+    """(license, line) of the customary notices and SPDX lines for each licence id."""
+    out = []
+    for name, forms in NAMES.items():
+        gnu = name.split("-")[0] in GNU
+        out += [(name, f"{opening}{form}") for opening in OPENINGS for form in forms]
+        out += [(f"{name}-or-later", f"{opening}{form} {later}") for opening in OPENINGS for form in forms for later in LATER if gnu]
+        out += [(own, f"SPDX-License-Identifier: {code}") for own, code in ((name, name), (name, f"{name}-only"), (f"{name}-or-later", f"{name}-or-later"))[: 3 if gnu else 1]]
+    return out + [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+
+
 KNOWN = [
     ("MIT", MIT),
     ("ISC", ISC),
@@ -47,6 +111,8 @@ KNOWN = [
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    *whole_texts(),
+    *notices(),
 ]
 # Equivalent spellings, as words after folding.
 SPELLINGS = {
