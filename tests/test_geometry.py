@@ -1,5 +1,8 @@
 """Distances and regressions against closed forms and NumPy."""
 
+import inspect
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -115,3 +118,12 @@ def test_mass_univariate_matches_numpy(spark):
         b, sse, *_ = np.linalg.lstsq(x, y[:, r.dim], rcond=None)
         se = np.sqrt(sse[0] / (n - 2) * np.linalg.inv(x.T @ x)[1, 1])
         assert r.estimate == pytest.approx(b[1]) and r.t == pytest.approx(b[1] / se) and r.dof == n - 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables are not here")
+def test_omnibus_rsa_returns_its_null(spark):
+    from trialweave.plans import geometry
+
+    got = geometry.omnibus_rsa(spark, "/root/testdata/sf0.001", perms=30).toPandas()
+    assert len(got) and (got.n_perm == 30).all() and got.p.between(1 / 31 - 1e-6, 1).all() and got.null_sd.notna().all()
+    assert inspect.signature(geometry.omnibus_rsa).parameters["perms"].default == 5_000

@@ -259,25 +259,26 @@ def ols_factor(spark, sf):
 
 
 RSA_PERMS = 20
+OMNIBUS_PERMS = 5_000  # of the original work
 
 
-def mapping(neural):
+def mapping(neural, perms=RSA_PERMS):
     conditions = neural.select("subject", F.col("i").alias("index")).union(neural.select("subject", F.col("j").alias("index"))).distinct()
-    return sampling.permute_conditions(conditions, ["subject"], "index", RSA_PERMS)
+    return sampling.permute_conditions(conditions, ["subject"], "index", perms)
 
 
-def omnibus(spark, sf):
+def omnibus(spark, sf, perms=RSA_PERMS):
     neural = durable(rdm(spark, sf))
     item, context = distances.same_identity("i", "j", ITEMS)
     design = durable(behaviour(spark, sf).withColumns({"same_item": item, "same_context": context}))
     predictors = ["same_item", "same_context", "m1", "m2"]
-    return regression.rsa(neural, design, mapping(neural), ["subject"], ["region"], predictors, [])
+    return regression.rsa(neural, design, mapping(neural, perms), ["subject"], ["region"], predictors, [])
 
 
 @query("omnibus_rsa")
-def omnibus_rsa(spark, sf):
-    observed, _ = omnibus(spark, sf)
-    return observed.withColumn("beta", r6("beta"))
+def omnibus_rsa(spark, sf, perms=OMNIBUS_PERMS):
+    observed, null = omnibus(spark, sf, perms)
+    return subject_statistics(durable(observed), durable(null))
 
 
 @query("displacement_rsa")
