@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, licenses, linededup, neardup, pii, toxicity, warc
+from . import ann, bpe, decontaminate, language, licenses, linededup, merkle, neardup, pii, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -115,3 +115,40 @@ def op10_sentencepiece_codec(spark, sf, model: str | None = None):
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+MANIFEST_SQL = """WITH RECURSIVE coded AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+texts AS (SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS tail, xor(crc, 4294967295) % 7 = 0 AS hit FROM coded),
+leaves AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, leaf, sent, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+  CASE WHEN hit THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS sent FROM texts)),
+nodes AS (SELECT 0 AS lvl, lang, rank, n, leaf AS digest FROM leaves
+  UNION ALL SELECT lvl + 1, lang, rank // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY rank)) FROM nodes WHERE n > 1 GROUP BY lvl, lang, rank // 2, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, place AS rank, n, subroot AS digest FROM subroots
+  UNION ALL SELECT lvl + 1, rank // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY rank)) FROM tops WHERE n > 1 GROUP BY lvl, rank // 2, n),
+lower AS (SELECT l.lang, l.rank, list(CASE WHEN s.digest IS NULL THEN 'n' WHEN s.rank < a.rank THEN 'l' || s.digest ELSE 'r' || s.digest END ORDER BY a.lvl) AS path
+  FROM leaves l JOIN nodes a ON a.n > 1 AND a.lang IS NOT DISTINCT FROM l.lang AND a.rank = l.rank >> a.lvl
+  LEFT JOIN nodes s ON s.lvl = a.lvl AND s.lang IS NOT DISTINCT FROM a.lang AND s.rank = xor(a.rank, 1) GROUP BY l.lang, l.rank),
+upper AS (SELECT l.lang, list(CASE WHEN s.digest IS NULL THEN 'n' WHEN s.rank < a.rank THEN 'l' || s.digest ELSE 'r' || s.digest END ORDER BY a.lvl) AS path
+  FROM subroots l JOIN tops a ON a.n > 1 AND a.rank = l.place >> a.lvl LEFT JOIN tops s ON s.lvl = a.lvl AND s.rank = xor(a.rank, 1) GROUP BY l.lang),
+paths AS (SELECT doc_id, leaf, sent, subroot, (SELECT digest FROM tops WHERE n = 1) AS root, list_concat(coalesce(o.path, []), coalesce(u.path, [])) AS path
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang LEFT JOIN lower o ON o.lang IS NOT DISTINCT FROM l.lang AND o.rank = l.rank LEFT JOIN upper u ON u.lang IS NOT DISTINCT FROM l.lang),
+folds AS (SELECT *, list_reduce(list_prepend(coalesce(sent, leaf), path), lambda own, s: sha256(CASE s[1] WHEN 'l' THEN s[2:] || own WHEN 'r' THEN own || s[2:] ELSE own END)) AS folded_root FROM paths)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folds"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def op11_merkle_manifest(spark, sf):
+    """Every document's proof, descended from the root, and the root that it folds to after some rows were tampered with."""
+    docs = table(spark, sf, "documents")
+    fields = {c: F.col(c) for c in merkle.DOCUMENT}
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    tampered = merkle.leaf_digest(*(fields | {"n_chars": F.col("n_chars") + 1}).values())
+    made = merkle.manifest(docs, merkle.leaf_digest(*fields.values()), "lang", "doc_id", {"doc_id": F.col("doc_id"), "sent": F.when(hit, tampered)})
+    found = merkle.proofs(made, made.leaves)
+    end = merkle.folded(F.coalesce("sent", "leaf"), F.col("proof"))
+    found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), end.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
