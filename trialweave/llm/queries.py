@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, licenses, linededup, merkle, neardup, pii, toxicity, warc
+from . import ann, bpe, decontaminate, language, licenses, linededup, merkle, neardup, periodic, pii, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -152,3 +152,22 @@ def op11_merkle_manifest(spark, sf):
     end = merkle.folded(F.coalesce("sent", "leaf"), F.col("proof"))
     found = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), end.alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf):
+    """Periodic runs of every document, a tenth of them made periodic first, and the collapsed texts."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text")), keep=["doc_id"])
+    runs = F.col("periodic.runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r.length.alias("length"), (-r.start).alias("before"), (-r.period).alias("shorter"))))
+    listed = F.array_join(F.transform(runs, lambda r: F.format_string("%d,%d,%d\n", r.start, r.length, r.period)), "")
+    found = found.select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), longest.alias("longest"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+    best, period = F.col("longest"), -F.col("longest.shorter")
+    return found.select(
+        "doc_id", "n_runs", (-best.before).alias("start"), best.length.alias("length"), period.alias("period"),
+        F.floor(1000 * best.length / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
