@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, licenses, linededup, merkle, neardup, periodic, pii, toxicity, warc
+from . import ann, bpe, decontaminate, language, licenses, linededup, merkle, neardup, periodic, pii, preference, toxicity, warc
 from .common import QUERIES, SQL, query, table  # noqa: F401
 
 
@@ -154,6 +154,14 @@ def op11_merkle_manifest(spark, sf):
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@query("op12_pairwise_quality")
+def op12_pairwise_quality(spark, sf):
+    """Quality of every document, ranked from preference pairs of three quarters of the labels."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = preference.score(docs, preference.trained(docs, table(spark, sf, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", preference.held_out(F.col("doc_id")).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= preference.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark, sf):
     """Periodic runs of every document, a tenth of them made periodic first, and the collapsed texts."""
