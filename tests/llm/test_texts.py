@@ -184,3 +184,11 @@ def test_expectation_maximisation_finds_reliable_labelers():
     rows = [Row(kind="ip", n=n, **dict(zip(pii.VOTES, v)), **{f: 0 for f in pii.FEATURES}) for v, n in counts.items()]
     prior, rate, _ = pii.estimated(rows)
     assert abs(prior - 0.4) < 0.06 and rate["shape"][0] > 0.9 and rate["shape"][1] < 0.1 and rate["gazetteer"][0] < 0.7
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than one block of positions holds, at and around its size."""
+    for count in (pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 5 * pii.BLOCK + 3):
+        text = " é ".join(f"u{k}@x{k}.com 10.0.{k % 300}.1" for k in range(count))
+        found = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()["pii"]
+        assert sorted((s["start"], pii.KINDS.index(s["kind"]), s["kind"], s["end"]) for s in found["base"]) == X.base_spans(text)

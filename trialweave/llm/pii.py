@@ -44,6 +44,7 @@ RESERVED = r"^(?:0|10|127|169\.254|192\.168|22[4-9]|2[3-5][0-9])\."
 YES_WORDS = r"(?i)(?:mail|contact|call|phone|tel|fax|mobile|card|visa|account|iban|ssn|passport|host|server|address|login|token|key|secret|password)\W*(?:is|=|:|no|number)?\W*$"
 NO_WORDS = r"(?i)(?:version|isbn|issn|order|page|fig|figure|table|section|item|v)\W*$"
 BEFORE = 32  # characters before a span that labelers read
+BLOCK = 128  # matches whose positions are summed at once
 
 VOTES = ["shape", "checksum", "gazetteer", "context", "counter"]
 FEATURES = ["long", "parted", "mixed", "named"]
@@ -51,12 +52,18 @@ ROUNDS, STEPS, RATE = 60, 400, 0.5
 
 
 def matches(text: Column, kind: str) -> Column:
-    """(start, end, hit, before) of the matches of one pattern, in code points; empty without the guard."""
+    """(start, end, hit, before) of the matches of one pattern, in code points; empty without the guard.
+
+    Positions are running sums of the lengths of gaps and hits. A fold that appends to an array copies it each time,
+    so the sums run inside blocks of BLOCK matches and then over the blocks. ``before`` reaches back to the match
+    before at most: a word that stands before two spans of one kind speaks for the first.
+    """
     pattern, guard = PATTERNS[kind], GUARDS[kind]
     there = F.instr(text, guard) > 0 if len(guard) == 1 else F.regexp_like(text, F.lit(guard))
     both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    kept = F.filter(both, lambda z: z.hit.isNotNull())
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string,before:string>>")
+    match = "struct<start:bigint,end:bigint,hit:string,before:string>"
+    none = F.array().cast(f"array<{match}>")
+    zero = F.lit(0).cast("bigint").alias("at")
 
     def step(state: Column, z: Column) -> Column:
         start = state.at + F.length(z.gap)
@@ -64,8 +71,20 @@ def matches(text: Column, kind: str) -> Column:
         one = F.struct(start.alias("start"), end.alias("end"), z.hit.alias("hit"), F.substring(z.gap, -BEFORE, BEFORE).alias("before"))
         return F.struct(end.alias("at"), F.concat(state.out, F.array(one)).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-    return F.when(there, F.aggregate(kept, begin, step, lambda state: state.out)).otherwise(none)
+    def moved(m: Column, by: Column) -> Column:
+        return F.struct((m.start + by).alias("start"), (m.end + by).alias("end"), m.hit.alias("hit"), m.before.alias("before"))
+
+    def join(state: Column, block: Column) -> Column:
+        here = F.transform(block.out, lambda m: moved(m, state.at))
+        return F.struct((state.at + block.at).alias("at"), F.concat(state.out, F.array(here)).alias("out"))
+
+    def placed(kept: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(1), F.size(kept) + 1, F.lit(BLOCK)), lambda k: k <= F.size(kept))
+        blocks = F.transform(firsts, lambda k: F.aggregate(F.slice(kept, k, F.lit(BLOCK)), F.struct(zero, none.alias("out")), step))
+        return F.flatten(F.aggregate(blocks, F.struct(zero, F.array().cast(f"array<array<{match}>>").alias("out")), join, lambda state: state.out))
+
+    kept = F.filter(both, lambda z: z.hit.isNotNull())
+    return F.when(there, F.get(F.transform(F.array(kept), placed), F.lit(0))).otherwise(none)  # the matches are bound once
 
 
 def luhn(digits: Column) -> Column:
