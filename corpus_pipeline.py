@@ -39,10 +39,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays; rows without an id stay."""
-    fate = neardup.near_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    lost = neardup.small(written(fate.where("NOT kept").select("doc_id"), "lost"))
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate component stays, also of copies that repeat an id or have none."""
+    return neardup.one_of_each(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,8 +33,29 @@ def test_near_components_equal_brute_force(spark):
     assert have == want and len(got) == len(rows)
 
 
+def test_many_rows_share_an_id_or_have_none(spark):
+    rng = random.Random(6)
+    bodies = [X.sentence(rng, 20).split() for _ in range(60)]
+    rows = []
+    for k in range(240):  # four loose copies of each body, under one id or none
+        words = list(bodies[k % 60])
+        words[k // 60] = "other" if k >= 60 else words[0]
+        rows.append(((None, 7)[k % 2], " ".join(words), "en", "s"))
+    rows += [(None, "  ", "en", "s"), (None, "  ", "en", "s"), (7, rows[1][1], "fr", "t"), (None, rows[0][1], "fr", "t")]
+    docs = X.documents(spark, rows)
+    sets = [X.shingles(t) for _, t, _, _ in rows]
+    reach = X.components(sets, list(range(len(rows))))
+    got = neardup.near_components(docs).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, got), key=str) == [(7, 7, 121), (None, None, 123)]
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    texts = [r["text"] for r in kept.collect()]
+    assert texts.count("  ") == 2 and len(texts) == 2 + len({reach[k] for k, s in enumerate(sets) if s})
+    assert len({reach[[t for _, t, _, _ in rows].index(t)] for t in texts if t.strip()}) == len(texts) - 2
+
+
 def test_near_components_of_nothing(spark):
-    assert neardup.near_components(X.documents(spark, [])).count() == 0
+    assert neardup.near_components(X.documents(spark, [])).count() == neardup.one_of_each(X.documents(spark, [])).count() == 0
     assert [r["kept"] for r in neardup.near_components(X.documents(spark, [(None, None, None, None)])).collect()] == [True]
 
 

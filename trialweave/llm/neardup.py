@@ -87,10 +87,16 @@ class Sketch:
         return mix((least.reshape(BANDS, ROWS) * self.weight).sum(axis=1) + self.band).view(np.int64)
 
 
+def named_texts(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """(doc_id, at, text): ``at``, a hash of the text, tells rows of one id, or without an id, apart."""
+    whole = F.col(text).cast("string")
+    return docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.xxhash64(whole).alias("at"), whole.alias("text"))
+
+
 def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, n_shingles, node, keys) per row; a text without words has no node and no keys."""
+    """(doc_id, at, n_shingles, node, keys) per row; a text without words has no node and no keys."""
     bounded(docs.sparkSession)
-    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = named_texts(docs, ident, text)
 
     def run(batches):
         hasher, sketch = Hasher(), Sketch()
@@ -98,6 +104,7 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
             sets = shingle_sets(part.column("text"), hasher)
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"),
+                "at": part.column("at"),
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([set_digest(s) for s in sets], pa.binary()),
                 "keys": pa.array([sketch.keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
@@ -105,7 +112,7 @@ def sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
         hasher = sketch = None
         trim()
 
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, at bigint, n_shingles bigint, node binary, keys array<bigint>")
 
 
 def levels(one: np.ndarray) -> np.ndarray:
@@ -132,12 +139,12 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
 
     ``items`` are the shingle hashes; ``cells`` says how they spread over their low bits, see ``levels``.
 
-    ``wanted`` (node, doc_id) names a row that has the set. Rows of one id may hold other texts:
-    only those whose set is the wanted one count.
+    ``wanted`` (node, row: the id and the text's hash) names a row that has the set; other rows of that id, or rows
+    without an id, are not met. Should two texts share both, only the one whose set is the wanted one counts.
     """
-    rows = docs.select(F.col(ident).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    named = wanted.select(F.col("doc_id").alias("_id"), "node")
-    rows = rows.join(small(named), F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    named = wanted.select(F.col("row.doc_id").alias("_id"), F.col("row.at").alias("_at"), "node")
+    same = (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    rows = named_texts(docs, ident, text).join(small(named), same).select("node", "text")
 
     def run(batches):
         hasher = Hasher()
@@ -179,22 +186,17 @@ def enough(most: Column, percent: int) -> Column:
     return 100 * most >= percent * (F.col("n") + F.col("an") - most)
 
 
-def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    ``component_id`` is the smallest id that links reach. Ties cannot arise; repeated rows share a set and so a
-    component. Rows without an id take part under their text; a component that has no id at all is named null and
-    its rows are kept. Null and blank texts have an empty set and stand alone. Other columns are not read.
-    """
+def grouped(docs: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
+    """(doc_id, at, n_shingles, label, component_id) for every row: ``label`` names its component, null without words."""
     rows = written(sketches(docs, ident, text), "sketches")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "at")).alias("row"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     exploded = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(exploded.join(shared, "key"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("rank"))
     left = written(members.join(central, "node").select("key", "node", "n", "rank", F.col("n").alias("m"), F.lit(None).cast("array<bigint>").alias("cells")), "central")
-    wanted = written(nodes.select("node", "doc_id").join(left.select("node").distinct(), "node", "left_semi"), "wanted")
+    wanted = written(nodes.select("node", "row").join(left.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = written(full_sets(docs, ident, text, wanted), "sets")
     links = labels = tested = None
     hubs = 1
@@ -230,9 +232,40 @@ def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     if labels is not None:
         named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         ids = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = named.join(ids, "label").select("node", "component_id")
+        named = named.join(ids, "label").select("node", "label", "component_id")
     else:
-        named = named.select("node", F.col("doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    reached = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", reached.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        named = named.select("node", F.col("node").alias("label"), F.col("doc_id").alias("component_id"))
+    return rows.select("doc_id", "at", "n_shingles", "node").join(named, "node", "left").drop("node")
+
+
+def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    ``component_id`` is the smallest id that links reach. Ties cannot arise; repeated rows share a set and so a
+    component. Rows without an id take part under their text; a component that has no id at all is named null and
+    its rows are kept. Null and blank texts have an empty set and stand alone. Other columns are not read.
+    """
+    reached = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = grouped(docs, ident, text, percent).select("doc_id", "n_shingles", reached.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, rows without an id last, then the text's hash.
+
+    Rows that share id and text, or have no id, are copies like any others: one of them stays. Texts without words
+    belong to no component and stay.
+    """
+    rows = written(grouped(docs, ident, text, percent).where("label IS NOT NULL").select("label", "doc_id", "at"), "grouped")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    member = rows.join(first.where("n > 1").select("label", "first"), "label")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
+    fate = written(member.groupBy(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "fate")
+    name, whole = F.col(ident).cast("bigint"), F.xxhash64(F.col(text).cast("string"))
+    same = whole.eqNullSafe(F.col("_at")) & name.eqNullSafe(F.col("_id"))
+    left = docs.join(small(written(fate.where("NOT stays").select("_id", "_at"), "lost")), same, "left_anti")
+    again = written(fate.where("stays AND n > 1").select("_id", "_at"), "again")
+    if again.isEmpty():
+        return left
+    again = small(again)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same).dropDuplicates(["_id", "_at"]).select(*docs.columns))
