@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.stats import pearson, r6
-from ..operators import distances, matching, patterns, regression, sampling, summaries
+from ..operators import distances, gather, inference, matching, patterns, regression, summaries
 from ..session import durable
 from ..sources import views as V
 from . import sqlparts as S
@@ -258,64 +258,73 @@ def ols_factor(spark, sf):
     )
 
 
-RSA_PERMS = 20
-OMNIBUS_PERMS = 5_000  # of the original work
+RSA_PERMS = 5_000  # of the original work
 
 
-def mapping(neural, perms=RSA_PERMS):
-    conditions = neural.select("subject", F.col("i").alias("index")).union(neural.select("subject", F.col("j").alias("index"))).distinct()
-    return sampling.permute_conditions(conditions, ["subject"], "index", perms)
-
-
-def omnibus(spark, sf, perms=RSA_PERMS):
+def omnibus_fits(spark, sf, perms):
+    """Fits of all pairs on identity and rating differences."""
     neural = durable(rdm(spark, sf))
     item, context = distances.same_identity("i", "j", ITEMS)
     design = durable(behaviour(spark, sf).withColumns({"same_item": item, "same_context": context}))
-    predictors = ["same_item", "same_context", "m1", "m2"]
-    return regression.rsa(neural, design, mapping(neural, perms), ["subject"], ["region"], predictors, [])
+    return durable(gather.fits(neural, design, ["subject"], ["region"], PRED, [], perms))
+
+
+def statistics(done, names):
+    """Subject and group rows of the coefficients: two-sided p, q within a subject or the group, and the null."""
+    keys = ["subject", "region", "predictor"]
+    beta = durable(gather.coefficients(done, ["subject", "region"], names))
+    observed, null = beta.where("perm = 0").drop("perm"), beta.where("perm > 0")
+    subject = inference.bh_fdr(inference.p_two_sided(observed, null, keys, "beta"), ["subject"], "p")
+    top = observed.groupBy("region", "predictor").agg(F.avg("beta").alias("beta"))
+    pooled = inference.group_null_mean(null, ["region", "predictor"], "beta").withColumnRenamed("mean", "beta")
+    group = inference.bh_fdr(inference.p_two_sided(top, pooled, ["region", "predictor"], "beta"), [], "p")
+    shown = [*[r6(c).alias(c) for c in ("beta", "p", "q", "null_mean", "null_sd")], "n_perm"]
+    rows = subject.select(F.lit("subject").alias("level"), *keys, *shown)
+    return rows.unionByName(group.select(F.lit("group").alias("level"), F.lit(None).cast("int").alias("subject"), "region", "predictor", *shown))
 
 
 @query("omnibus_rsa")
-def omnibus_rsa(spark, sf, perms=OMNIBUS_PERMS):
-    observed, null = omnibus(spark, sf, perms)
-    return subject_statistics(durable(observed), durable(null))
+def omnibus_rsa(spark, sf, perms=RSA_PERMS):
+    done = statistics(omnibus_fits(spark, sf, perms), PRED)
+    return done.where("level = 'subject'").drop("level")
 
 
-@query("displacement_rsa")
-def displacement_rsa(spark, sf):
+def displacement_fits(spark, sf, perms):
+    """{model: fits} of same-item pairs on the rating differences, with two sets of nuisance columns."""
     neural = durable(rdm(spark, sf))
     design = behaviour(spark, sf).where("i % 10 = j % 10")
     design = design.withColumns({"item": (F.col("i") % 10).cast("int"), "pair": F.concat_ws("_vs_", F.expr("i div 10"), F.expr("j div 10"))})
     design, pair_names, item_names = factor_columns(durable(design))
-    maps, out = durable(mapping(neural)), None
-    for model, nuisance in (("pair_and_item", [*pair_names, *item_names]), ("pair", pair_names)):
-        o, n = regression.rsa(neural, design, maps, ["subject"], ["region"], ["m1", "m2"], nuisance)
-        p = subject_statistics(o, n).withColumn("model", F.lit(model))
-        out = p if out is None else out.unionByName(p)
-    return out
-
+    models = {"pair_and_item": [*pair_names, *item_names], "pair": pair_names}
+    return {m: (durable(gather.fits(neural, design, ["subject"], ["region"], ["m1", "m2"], extra, perms)), extra) for m, extra in models.items()}
 
-def subject_statistics(observed, null):
-    from ..operators import inference
 
-    keys = ["subject", "region", "predictor"]
-    p = inference.p_two_sided(observed, null, keys, "beta")
-    q = inference.bh_fdr(p, ["subject"], "p")
-    return q.select(*keys, *[r6(c).alias(c) for c in ("beta", "p", "q", "null_mean", "null_sd")], "n_perm")
+@query("displacement_rsa")
+def displacement_rsa(spark, sf, perms=RSA_PERMS):
+    out = None
+    for model, (done, _) in displacement_fits(spark, sf, perms).items():
+        rows = statistics(done, ["m1", "m2"]).withColumn("model", F.lit(model))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("rsa_statistics")
-def rsa_statistics(spark, sf):
-    from ..operators import inference
-
-    observed, null = omnibus(spark, sf)
-    observed, null = durable(observed), durable(null)
-    subject = subject_statistics(observed, null).select(F.lit("subject").alias("level"), "subject", "region", "predictor", "beta", "p", "q")
-    group = observed.groupBy("region", "predictor").agg(F.avg("beta").alias("beta"))
-    group_null = inference.group_null_mean(null, ["region", "predictor"], "beta").withColumnRenamed("mean", "beta")
-    p = inference.bh_fdr(inference.p_two_sided(group, group_null, ["region", "predictor"], "beta"), [], "p")
-    top = p.select(F.lit("group").alias("level"), F.lit(None).cast("int").alias("subject"), "region", "predictor", *[r6(c).alias(c) for c in ("beta", "p", "q")])
-    return subject.unionByName(top)
+def rsa_statistics(spark, sf, perms=RSA_PERMS):
+    """Subject and group coefficients with their nulls; nuisance coefficients and fits of the observed order as rows of their own."""
+    models = {"omnibus": (omnibus_fits(spark, sf, perms), [], PRED)}
+    models |= {m: (done, extra, ["m1", "m2"]) for m, (done, extra) in displacement_fits(spark, sf, perms).items()}
+    none, out = F.lit(None).cast("double"), None
+    for model, (done, extra, names) in models.items():
+        rows = statistics(done, names)
+        observed = done.where("perm = 0")
+        side = gather.coefficients(observed, ["subject", "region"], extra, len(names)).withColumn("level", F.lit("nuisance")) if extra else None
+        fit = observed.select("subject", "region", F.explode(F.create_map(F.lit("r2"), F.col("r2"), F.lit("adjusted_r2"), F.col("adjusted_r2"))).alias("predictor", "beta"))
+        for part in (side, fit.withColumn("level", F.lit("fit"))):
+            if part is not None:
+                rows = rows.unionByName(part.select("level", "subject", "region", "predictor", r6("beta").alias("beta"), *[none.alias(c) for c in ("p", "q", "null_mean", "null_sd")], F.lit(None).cast("bigint").alias("n_perm")))
+        rows = rows.withColumn("model", F.lit(model))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 PRED = ["same_item", "same_context", "m1", "m2"]
