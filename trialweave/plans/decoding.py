@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.stats import r6
-from ..operators import inference, learners, patterns, responses, sampling, selection, spatial, splithalf, summaries, transfer
+from ..operators import blocked, inference, learners, patterns, responses, sampling, selection, spatial, splithalf, summaries, transfer
 from ..session import durable
 from ..sources import views as V
 from . import sqlparts as S
 from .registry import query, rnd
 
 PERMS = 5
+DECODE_PERMS = 1_000  # of the original work
+SCAN_PERMS = 100  # the SQL twin's; a parameter of the queries
 
 
 REGIONS = patterns.slices(V.WIDTH // V.REGION_WIDTH, V.REGION_WIDTH)
@@ -177,16 +179,16 @@ fw AS (SELECT o.region, (1.0 + count(*) FILTER (WHERE m >= o.v)) / (1 + count(*)
 
 @query(
     "decode_with_permutations",
-    f"""WITH {S.CENTRED}, {perm_cte('cent', 'item', ['run'], PERMS)}, pc AS (SELECT l.perm, region, c.unit, run, l.permuted AS item, dim, v FROM cent c JOIN labs l ON l.unit = c.unit),
-{S.decode('pc', ['perm', 'region'], 'item')}, sc AS (SELECT perm, region, round(avg(CASE WHEN predicted = item THEN 1.0 ELSE 0.0 END), 12) AS v FROM dec GROUP BY 1, 2), {INFER}, {S.bh('inf', [])}
+    f"""WITH {S.CENTRED}, {perm_cte('cent', 'item', ['run'], DECODE_PERMS)}, pc AS (SELECT l.perm, region, c.unit, run, l.permuted AS item, dim, v FROM cent c JOIN labs l ON l.unit = c.unit),
+{S.decode_lists('cent', ['perm'], 'region', 'item')}, sc AS (SELECT perm, region, round(avg(CASE WHEN predicted = item THEN 1.0 ELSE 0.0 END), 12) AS v FROM dec GROUP BY 1, 2), {INFER}, {S.bh('inf', [])}
 SELECT region, {rnd('v', 'accuracy')}, n_perm, {rnd('null_mean', 'null_mean')}, {rnd('null_sd', 'null_sd')}, {rnd('p', 'p')}, {rnd('q', 'q')}, {rnd('p_fwe', 'p_fwe')} FROM adj JOIN fw USING (region)""",
 )
-def decode_with_permutations(spark, sf):
-    labels = labels_with_observed(V.units(spark, sf), "item", ["run"], PERMS)
-    d = decoded(spark, sf, "item", labels=labels)
-    hit = (F.col("predicted") == F.col("item")).cast("double")
-    scores = durable(d.groupBy("perm", "region").agg(F.round(F.avg(hit), 12).alias("accuracy")))  # one row per permutation and region
-    return region_inference(scores, "accuracy")
+def decode_with_permutations(spark, sf, perms=DECODE_PERMS):
+    u = V.units(spark, sf)
+    labels = labels_with_observed(u, "item", ["run"], perms)
+    regions = blocked.even_places(V.WIDTH // V.REGION_WIDTH, V.REGION_WIDTH, spark)
+    scores = blocked.permuted_scores(u, "unit", "run", "item", "x", regions, "region", labels, V.WIDTH)
+    return region_inference(durable(scores.select("perm", "region", F.round("accuracy", 12).alias("accuracy"))), "accuracy")
 
 
 def region_inference(scores, value):
@@ -378,14 +380,17 @@ def membership(spark, sf):
     return near.select(at("i", "j", "k").alias("centre"), at("ni", "nj", "nk").alias("dim"))
 
 
-LIGHT = f"""WITH {S.CENTRED}, {NB}, {perm_cte('cent', 'context', ['run'], 2)}, pc AS (SELECT l.perm, n.centre, c.unit, run, l.permuted AS context, c.dim, v FROM cent c JOIN labs l ON l.unit = c.unit JOIN nbs n ON n.dim = c.dim),
+LIGHT = f"""WITH {S.CENTRED}, {NB}, {perm_cte('cent', 'context', ['run'], SCAN_PERMS)}, pc AS (SELECT l.perm, n.centre, c.unit, run, l.permuted AS context, c.dim, v FROM cent c JOIN labs l ON l.unit = c.unit JOIN nbs n ON n.dim = c.dim),
 {S.decode('pc', ['perm', 'centre'], 'context')}"""
 
 
-def scan_decode(spark, sf):
+def scan_scores(spark, sf, value, perms):
+    """``value`` of every centre and permutation, rounded so that ties between permutations are ties on any engine."""
     u = V.units(spark, sf)
-    labels = labels_with_observed(u, "context", ["run"], 2)
-    return patterns.decode(u, "unit", "run", "context", "x", patterns.neighbourhoods(membership(spark, sf)), V.WIDTH, labels)
+    labels = labels_with_observed(u, "context", ["run"], perms)
+    near = blocked.near_places(membership(spark, sf))
+    scores = blocked.permuted_scores(u, "unit", "run", "context", "x", near, "centre", labels, V.WIDTH)
+    return durable(scores.select("perm", F.col("centre").alias("region"), F.round(value, 12).alias(value)))
 
 
 @query(
@@ -393,10 +398,8 @@ def scan_decode(spark, sf):
     f"""{LIGHT}, sc AS (SELECT perm, centre AS region, round(avg(CASE WHEN predicted = context THEN 1.0 ELSE 0.0 END), 12) AS v FROM dec GROUP BY ALL), {INFER}, {S.bh('inf', [])}
 SELECT CAST(region AS INT) AS region, {rnd('v', 'accuracy')}, n_perm, {rnd('null_mean', 'null_mean')}, {rnd('null_sd', 'null_sd')}, {rnd('p', 'p')}, {rnd('q', 'q')}, {rnd('p_fwe', 'p_fwe')} FROM adj JOIN fw USING (region)""",
 )
-def searchlight_template(spark, sf):
-    hit = (F.col("predicted") == F.col("context")).cast("double")
-    scores = scan_decode(spark, sf).groupBy("perm", F.col("centre").alias("region")).agg(F.round(F.avg(hit), 12).alias("accuracy"))
-    return region_inference(durable(scores), "accuracy")
+def searchlight_template(spark, sf, perms=SCAN_PERMS):
+    return region_inference(scan_scores(spark, sf, "accuracy", perms), "accuracy")
 
 
 @query(
@@ -404,9 +407,8 @@ def searchlight_template(spark, sf):
     f"""{LIGHT}, sc AS (SELECT perm, centre AS region, round(avg(evidence), 12) AS v FROM dec GROUP BY ALL), {INFER}, {S.bh('inf', [])}
 SELECT CAST(region AS INT) AS region, {rnd('v', 'evidence')}, n_perm, {rnd('null_mean', 'null_mean')}, {rnd('null_sd', 'null_sd')}, {rnd('p', 'p')}, {rnd('q', 'q')}, {rnd('p_fwe', 'p_fwe')} FROM adj JOIN fw USING (region)""",
 )
-def searchlight_score(spark, sf):
-    scores = scan_decode(spark, sf).groupBy("perm", F.col("centre").alias("region")).agg(F.round(F.avg("evidence"), 12).alias("evidence"))
-    return region_inference(durable(scores), "evidence")
+def searchlight_score(spark, sf, perms=SCAN_PERMS):
+    return region_inference(scan_scores(spark, sf, "evidence", perms), "evidence")
 
 
 @query(

@@ -44,6 +44,18 @@ def decode(src: str, keys: list[str], label: str, p: str = "") -> str:
 {decide(f'{p}sims', [*keys, 'unit', 'run'], label, f'{p}dec')}"""
 
 
+def decode_lists(src: str, keys: list[str], region: str, label: str) -> str:
+    """``decode`` for many permutations: vectors as lists, one product for each unit and template."""
+    k = "".join(f"{c}, " for c in keys)
+    return templates("pc", [*keys, region], label) + f""",
+cu AS (SELECT unit, run, {region}, list(v ORDER BY dim) AS x FROM {src} GROUP BY ALL),
+cx AS (SELECT unit, run, {region}, list_transform(x, lambda e: e - list_avg(x)) AS x FROM cu),
+tl AS (SELECT {k}run, {region}, cand, list(v ORDER BY dim) AS t, sqrt(sum(v * v) - count(*) * avg(v) * avg(v)) AS size FROM tmpl GROUP BY ALL),
+sims AS (SELECT {_cols('l', keys)}c.{region}, c.unit, c.run, l.{label}, t.cand, list_dot_product(c.x, t.t) / (sqrt(list_dot_product(c.x, c.x)) * t.size) AS s FROM cx c
+ JOIN (SELECT {k}unit, permuted AS {label} FROM labs) l ON l.unit = c.unit JOIN tl t ON {_on('l', 't', keys)} AND t.run = c.run AND t.{region} = c.{region}),
+{decide('sims', [*keys, region, 'unit', 'run'], label, 'dec')}"""
+
+
 def permuted(src: str, blocks: list[str], unit: str, label: str, count: int, out: str = "perms", seed: int = 1) -> str:
     """(perm, unit, permuted)."""
     b = ", ".join(blocks)
