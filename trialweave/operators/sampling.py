@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +38,46 @@ def permute_within(
     return placed.join(drawn, [*blocks, "_place"]).select("perm", *blocks, unit, out)
 
 
+def permute_until_valid(
+    df: DataFrame, blocks: list[str], unit: str, label: str, count: int, valid: Callable[[DataFrame], DataFrame], seed: int = 1,
+    most: int = 200, chunk_width: int = 65536,
+) -> DataFrame:
+    """(perm, attempt, unit, permuted): labels shuffled inside each block, redrawn until ``valid`` accepts them.
+
+    ``valid`` maps drawn rows (perm, attempt, unit, permuted) to the accepted ``perm`` values. Only permutations that
+    still fail are drawn again, with the attempt's number in the seed, so a permutation's labels do not depend on how
+    many others there are. Each round is written. A permutation that fails ``most`` times is an error.
+    """
+    base = df.select(*blocks, unit, label)
+    placed = durable(number_rows(base.select(*blocks, unit), blocks, F.expr(f"{unit} div {chunk_width}"), [unit], "_place"))
+    pending = df.sparkSession.range(1, count + 1).select(F.col("id").cast("int").alias("perm"))
+    kept = None
+    for attempt in range(1, most + 1):
+        tries = base.join(pending, F.lit(True)).withColumn("attempt", F.lit(attempt))  # labels x open permutations: the rows to draw
+        drawn = seeded_rank(tries, [*blocks, "perm"], seed, ["perm", "attempt", unit], [unit], "_place")
+        drawn = drawn.select("perm", "attempt", *blocks, "_place", F.col(label).alias("permuted"))
+        drawn = durable(placed.join(drawn, [*blocks, "_place"]).select("perm", "attempt", unit, "permuted"))
+        good = durable(valid(drawn).select("perm").distinct())
+        fine = drawn.join(good, "perm", "left_semi")
+        kept = fine if kept is None else kept.unionByName(fine)
+        pending = durable(pending.join(good, "perm", "left_anti"))
+        if pending.isEmpty():
+            return kept
+    raise ValueError(f"{pending.count()} of {count} permutations found no valid labels in {most} attempts")
+
+
+def covering(drawn: DataFrame, units: DataFrame, unit: str, cell: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(perm) of the draws in which every combination of ``cell`` values and labels occurs, within each of ``keys``.
+
+    Values and labels are those of the data: the required cells are products of distinct counts, not a number given.
+    """
+    keys = keys or []
+    found = drawn.join(units.select(unit, *keys, *cell), unit).groupBy("perm", *keys, *cell, "permuted").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = [units.agg(F.count_distinct(*keys)).first()[0]] if keys else []
+    sizes += [units.agg(F.count_distinct(c)).first()[0] for c in cell] + [drawn.agg(F.count_distinct("permuted")).first()[0]]
+    return found.groupBy("perm").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") == math.prod(sizes)).select("perm")
+
+
 def permute_conditions(conditions: DataFrame, keys: list[str], index: str, count: int, seed: int = 1) -> DataFrame:
     """(perm, keys, index, mapped): one bijection of the conditions per key and permutation."""
     drawn = per_permutation(conditions.select(*keys, index), count)

@@ -316,8 +316,15 @@ def split_half_similarity(spark, sf):
     return _sh_round(splithalf.split_half(semantic(spark, sf), run_splits(spark, sf), [], "x", width=V.WIDTH))
 
 
+# A permutation stays only if every item has every context in both halves of every split.
+COVERED = S.permuted_until(
+    "sem", ["run"], "unit", "context", PERMS, 60, "JOIN (SELECT DISTINCT unit, run, item FROM sem) USING (unit) JOIN splits USING (run)", ["split", "in_a", "item"],
+    "SELECT (SELECT count(DISTINCT split) * 2 FROM splits) * count(DISTINCT item) * count(DISTINCT context) FROM sem",
+)
+
+
 def _perm_sem(keys: str = "") -> str:
-    return f"""{S.permuted('sem', ['run'], 'unit', 'context', PERMS)}, labs AS (SELECT * FROM perms UNION ALL SELECT DISTINCT 0, unit, context FROM sem),
+    return f"""{COVERED}, labs AS (SELECT perm, unit, permuted FROM perms UNION ALL SELECT DISTINCT 0, unit, context FROM sem),
 pc AS (SELECT l.perm, {keys}region, s.unit, run, item, l.permuted AS context, dim, v FROM sem s JOIN labs l ON l.unit = s.unit)"""
 
 
@@ -339,12 +346,21 @@ def split_half_roi(spark, sf):
     )
 
 
+def covered_labels(u, splits, count):
+    """Observed labels as permutation 0, and shuffled ones redrawn until both halves of all splits hold all cells."""
+    cells = u.select("unit", "run", "item").join(splits, "run").select("unit", "split", "in_a", "item")
+    valid = lambda drawn: sampling.covering(drawn, cells, "unit", ["in_a", "item"], ["split"])
+    drawn = sampling.permute_until_valid(u.drop("x"), ["run"], "unit", "context", count, valid)
+    own = u.select(F.lit(0).alias("perm"), "unit", F.col("context").alias("permuted"))
+    return durable(drawn.select("perm", "unit", "permuted").unionByName(own))
+
+
 def split_half_null(spark, sf, places):
     """Scores per permutation and place; the overall contrast has ctx -1 so that keys join."""
-    u = semantic(spark, sf)
-    labels = labels_with_observed(u, "context", ["run"], PERMS)
+    u, splits = semantic(spark, sf), run_splits(spark, sf)
+    labels = covered_labels(u, splits, PERMS)
     pu = patterns.permuted_units(u, labels, "unit", "context")
-    sh = splithalf.split_half(pu, run_splits(spark, sf), ["perm"], "x", places, V.WIDTH)
+    sh = splithalf.split_half(pu, splits, ["perm"], "x", places, V.WIDTH)
     return durable(sh.select(
         "perm", places.key, F.coalesce("context", F.lit(-1)).alias("ctx"), F.round("mean_delta", 12).alias("mean_delta"), F.round("max_delta", 12).alias("max_delta")
     ))
@@ -413,7 +429,7 @@ def searchlight_score(spark, sf, perms=SCAN_PERMS):
 
 @query(
     "searchlight_split_half",
-    f"""WITH {S.SEMANTIC}, {NB}, {S.splits(SPLITS, ATTEMPTS)}, {S.permuted('sem', ['run'], 'unit', 'context', PERMS)}, labs AS (SELECT * FROM perms UNION ALL SELECT DISTINCT 0, unit, context FROM sem),
+    f"""WITH {S.SEMANTIC}, {NB}, {S.splits(SPLITS, ATTEMPTS)}, {COVERED}, labs AS (SELECT perm, unit, permuted FROM perms UNION ALL SELECT DISTINCT 0, unit, context FROM sem),
 pc AS (SELECT l.perm, n.centre, s.unit, run, item, l.permuted AS context, s.dim, v FROM sem s JOIN labs l ON l.unit = s.unit JOIN nbs n ON n.dim = s.dim), {S.split_half('pc', ['perm', 'centre'])},
 r AS (SELECT perm, centre, context, round(mean_delta, 12) AS v FROM sh WHERE context IS NOT NULL), st AS (SELECT centre, context, avg(v) AS m, stddev_samp(v) AS s FROM r GROUP BY ALL),
 z AS (SELECT perm, centre, context, v, m, s, round((v - m) / s, 10) AS z FROM r JOIN st USING (centre, context)), mx AS (SELECT perm, max(z) AS mz FROM z WHERE perm > 0 GROUP BY perm),

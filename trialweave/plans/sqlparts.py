@@ -65,6 +65,21 @@ def permuted(src: str, blocks: list[str], unit: str, label: str, count: int, out
 {out} AS (SELECT perm, {unit}, {label} AS permuted FROM {out}_p JOIN {out}_d USING ({b}, pl))"""
 
 
+def permuted_until(src: str, blocks: list[str], unit: str, label: str, count: int, attempts: int, cover: str, cell: list[str], need: str, out: str = "perms", seed: int = 1) -> str:
+    """(perm, attempt, unit, permuted) of each permutation's first attempt that has ``need`` cells.
+
+    ``cover`` joins the drawn rows {out}_a to what ``cell`` names.
+    """
+    b = ", ".join(blocks)
+    return f"""{out}_u AS (SELECT DISTINCT {b}, {unit}, {label} FROM {src}),
+{out}_p AS (SELECT {b}, {unit}, row_number() OVER (PARTITION BY {b} ORDER BY {unit}) AS pl FROM {out}_u),
+{out}_d AS (SELECT CAST(p.range AS INT) AS perm, CAST(a.range AS INT) AS attempt, {b}, {label}, row_number() OVER (PARTITION BY {b}, p.range, a.range ORDER BY md5(concat_ws('|', '{seed}', p.range, a.range, {unit})), {unit}) AS pl FROM {out}_u, range(1, {count + 1}) p, range(1, {attempts + 1}) a),
+{out}_a AS (SELECT perm, attempt, {unit}, {label} AS permuted FROM {out}_p JOIN {out}_d USING ({b}, pl)),
+{out}_c AS (SELECT DISTINCT perm, attempt, {', '.join(cell)}, permuted FROM {out}_a {cover}),
+{out}_b AS (SELECT perm, min(attempt) AS attempt FROM (SELECT perm, attempt FROM {out}_c GROUP BY ALL HAVING count(*) = ({need})) GROUP BY perm),
+{out} AS (SELECT perm, attempt, {unit}, permuted FROM {out}_a JOIN {out}_b USING (perm, attempt))"""
+
+
 def splits(count: int, attempts: int, seed: int = 1) -> str:
     """(split, run, in_a) of the stratified halves of the semantic units."""
     return f"""ruz AS (SELECT DISTINCT run, session FROM units WHERE context <> 3),
