@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import cdf_sql, quantile_sql
 from ..functions.stats import fisher_z, only_finite, pearson, r6
-from ..operators import inference, ordered, sampling, selection
+from ..operators import inference, ordered, sampling, selection, splits
 from ..session import durable
 from ..sources import views as V
 from . import sqlparts as S
@@ -24,22 +24,15 @@ def permute_within_two_keys(spark, sf):
     return sampling.permute_within(V.units(spark, sf).drop("x"), ["context", "run"], "unit", "item", 5).select("perm", "unit", "permuted")
 
 
-@query(
-    "permute_until_valid",
-    f"""WITH {V.UNITS}, sem AS (SELECT unit, item, context, run FROM units WHERE context <> 3), {S.permuted('sem', ['run'], 'unit', 'context', 12)},
-a AS (SELECT CAST((perm - 1) // 3 + 1 AS INT) AS draw, CAST((perm - 1) % 3 + 1 AS INT) AS attempt, unit, permuted FROM perms),
-c AS (SELECT draw, attempt, run % 2 AS half, item, permuted, count(*) AS n FROM a JOIN sem USING (unit) GROUP BY ALL), ok AS (SELECT draw, attempt FROM c GROUP BY ALL HAVING count(*) = 60),
-best AS (SELECT draw, min(attempt) AS attempt FROM ok GROUP BY draw) SELECT draw, attempt, unit, permuted FROM a JOIN best USING (draw, attempt)""",
-)
-def permute_until_valid(spark, sf):
-    sem = selection.drop_control(V.units(spark, sf).drop("x"), "context", V.CONTROL)
-    drawn = sampling.permute_within(sem, ["run"], "unit", "context", 12)
-    drawn = durable(drawn.select(
-        F.expr("CAST((perm - 1) div 3 + 1 AS INT)").alias("draw"), ((F.col("perm") - 1) % 3 + 1).cast("int").alias("attempt"), "unit", "permuted"
-    ))
-    cells = drawn.join(sem.select("unit", "item", "run"), "unit").groupBy("draw", "attempt", F.col("run") % 2, "item", "permuted").agg(F.count(F.lit(1)).alias("n"))
-    valid = cells.groupBy("draw", "attempt").agg(F.count(F.lit(1)).alias("k")).where("k = 60").select("draw", "attempt")
-    return sampling.first_valid(drawn, valid, ["draw"]).select("draw", "attempt", "unit", "permuted")
+REDRAWN = S.permuted_until("sem", ["run"], "unit", "context", 20, 40, "JOIN sem USING (unit)", ["run % 2 AS half", "item"], "SELECT count(DISTINCT run % 2) * count(DISTINCT item) * count(DISTINCT context) FROM sem")
+
+
+@query("permute_until_valid", f"WITH {V.UNITS}, sem AS (SELECT unit, item, context, run FROM units WHERE context <> 3), {REDRAWN} SELECT perm, attempt, unit, permuted FROM perms")
+def permute_until_valid(spark, sf, perms=20):
+    """Contexts shuffled within runs until every item has every context in odd and in even runs."""
+    sem = selection.drop_control(V.units(spark, sf).drop("x"), "context", V.CONTROL).withColumn("half", F.col("run") % 2)
+    valid = lambda drawn: sampling.covering(drawn, sem, "unit", ["half", "item"])
+    return sampling.permute_until_valid(sem, ["run"], "unit", "context", perms, valid).select("perm", "attempt", "unit", "permuted")
 
 
 @query(
@@ -59,17 +52,17 @@ def split_half_stratified(spark, sf):
 
 @query(
     "split_half_balanced",
-    f"""WITH {V.UNITS}, {S.splits(1000, 120)}, c AS (SELECT run, item, context, count(*) AS c FROM units WHERE context <> 3 GROUP BY ALL),
+    f"""WITH {V.UNITS}, {S.splits(100_000, 100_000)}, c AS (SELECT run, item, context, count(*) AS c FROM units WHERE context <> 3 GROUP BY ALL),
 n AS (SELECT split, item, context, sum(CASE WHEN in_a THEN c ELSE 0 END) AS a, sum(CASE WHEN in_a THEN 0 ELSE c END) AS b FROM c JOIN splits USING (run) GROUP BY ALL),
-r AS (SELECT split, max(abs(a - (a + b) / 2.0)) AS md, sum(pow(a - (a + b) / 2.0, 2)) AS ss FROM n GROUP BY split ORDER BY md, ss, split LIMIT 8)
-SELECT split, run, in_a, CAST(md AS DOUBLE) AS max_deviation, CAST(ss AS DOUBLE) AS sum_squared FROM splits JOIN r USING (split)""",
+r AS (SELECT split, max(abs(a - (a + b) / 2.0)) AS md, sum(pow(a - (a + b) / 2.0, 2)) AS ss FROM n GROUP BY split ORDER BY md, ss, split LIMIT 200),
+k AS (SELECT *, row_number() OVER (ORDER BY md, ss, split) AS place FROM r)
+SELECT CAST(place AS INT) AS split, run, in_a, CAST(md AS DOUBLE) AS max_deviation, CAST(ss AS DOUBLE) AS sum_squared FROM splits JOIN k USING (split)""",
 )
 def split_half_balanced(spark, sf):
+    """The 200 most balanced of 100,000 candidate partitions (all, if fewer are distinct)."""
     u = selection.drop_control(V.units(spark, sf).drop("x"), "context", V.CONTROL)
-    splits = durable(sampling.split_halves(u, "run", "session", ["item", "context"], None, 120))
-    counts = sampling.half_counts(u, splits.withColumnRenamed("split", "attempt"), "run", ["item", "context"])
-    best = sampling.rank_splits(counts, 8).withColumnRenamed("attempt", "split")
-    return splits.join(best, "split")
+    found, runs = splits.candidates(u, "run", "session", ["item", "context"])
+    return splits.members(splits.best(found), runs, "run")
 
 
 # The fixture holds tests whose observed value is missing or no number, and null values that are neither.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import cdf_sql, normal_cdf, normal_quantile, quantile_sql
 from ..functions.stats import r6
-from ..operators import sampling, selection
+from ..operators import sampling, selection, splits
 from ..sources import views as V
 from .registry import query, rnd
 
@@ -289,7 +289,7 @@ def fn_bits(spark, sf):
     """WITH runs AS (SELECT DISTINCT vec_id % 10 AS run, (vec_id % 10) // 5 AS session FROM embeddings),
 sizes AS (SELECT session, count(*) AS sz FROM runs GROUP BY session),
 plan AS (SELECT sum(sz) // 2 - sum(sz // 2) AS extra FROM sizes),
-att AS (SELECT range AS attempt FROM range(1, 201)),
+att AS (SELECT range AS attempt FROM range(1, 100001)),
 odd AS (SELECT attempt, session, sz, row_number() OVER (PARTITION BY attempt, sz % 2 ORDER BY md5(concat_ws('|', '1', attempt, session)), session) AS r FROM sizes, att),
 take AS (SELECT attempt, session, sz // 2 + CASE WHEN sz % 2 = 1 AND r <= extra THEN 1 ELSE 0 END AS t FROM odd, plan),
 dr AS (SELECT attempt, run, session, row_number() OVER (PARTITION BY attempt, session ORDER BY md5(concat_ws('|', '1', attempt, session, run)), run) AS r FROM runs, att),
@@ -300,14 +300,12 @@ uniq AS (SELECT min(attempt) AS attempt FROM sig GROUP BY members),
 cell AS (SELECT vec_id % 10 AS run, label, (vec_id // 10) % 4 AS ctx, count(*) AS c FROM embeddings WHERE (vec_id // 10) % 4 <> 3 GROUP BY 1, 2, 3),
 cnt AS (SELECT attempt, label, ctx, sum(CASE WHEN in_a THEN c ELSE 0 END) AS na, sum(CASE WHEN in_a THEN 0 ELSE c END) AS nb FROM cell JOIN can USING (run) JOIN uniq USING (attempt) GROUP BY 1, 2, 3)
 SELECT CAST(attempt AS BIGINT) AS attempt, CAST(max(abs(na - (na + nb) / 2.0)) AS DOUBLE) AS max_deviation, CAST(sum(pow(na - (na + nb) / 2.0, 2)) AS DOUBLE) AS sum_squared
-FROM cnt GROUP BY attempt HAVING min(least(na, nb)) > 0 ORDER BY 2, 3, 1 LIMIT 20""",
+FROM cnt GROUP BY attempt HAVING min(least(na, nb)) > 0 ORDER BY 2, 3, 1 LIMIT 200""",
 )
 def rank_splits(spark, sf):
     units = selection.drop_control(V.units(spark, sf).drop("x"), "context", V.CONTROL)
-    halves = sampling.propose_halves(units, "run", "session", 200)
-    fresh = halves.join(sampling.distinct_halves(halves, "run"), "attempt", "left_semi")
-    counts = sampling.half_counts(units, fresh, "run", ["item", "context"])
-    return sampling.rank_splits(counts, 20).withColumn("attempt", F.col("attempt").cast("bigint"))
+    found, _ = splits.candidates(units, "run", "session", ["item", "context"])
+    return splits.best(found).select("attempt", "max_deviation", "sum_squared")
 
 
 @query(
