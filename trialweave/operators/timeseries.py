@@ -159,18 +159,49 @@ def fir_weights(taps: int, cutoff: float, rate: float) -> list[float]:
     return [float(v) for v in w / w.sum()]
 
 
-def lowpass_fir(df: DataFrame, keys: list[str], frame: str, value: str, weights: list[float], out: str) -> DataFrame:
-    """Weighted moving sum; at the ends the available weights are rescaled to one.
+FIR_CHUNK = 1 << 15  # frames filtered by one task at a time
 
-    Each sample is sent to the outputs it touches and summed per (key, frame): an
-    aggregate on a spread key, so a long run needs no halo and no single task.
+
+def lowpass_fir(df: DataFrame, keys: list[str], frame: str, value: str, weights: list[float], out: str, chunk: int = FIR_CHUNK) -> DataFrame:
+    """Weighted moving sum; at the ends and at gaps the available weights are rescaled to one.
+
+    A key is cut into chunks of frames. Only the border samples of a chunk are copied to its neighbours, so the shuffle
+    is about the input whatever the number of taps, and a task holds one chunk and its borders. A missing value has its
+    weight but adds nothing; where all values in reach are missing the result is missing too.
     """
-    half = (len(weights) - 1) // 2
-    taps = F.array(*[F.struct(F.lit(n - half).alias("o"), F.lit(w).alias("w")) for n, w in enumerate(weights)])
-    spread = df.select(*keys, F.col(frame), F.col(value).alias("_v"), F.explode(taps).alias("_t"))
-    spread = spread.select(*keys, (F.col(frame) + F.col("_t.o")).alias(frame), (F.col("_v") * F.col("_t.w")).alias("_p"), F.col("_t.w").alias("_w"))
-    smooth = spread.groupBy(*keys, frame).agg((F.sum("_p") / F.sum("_w")).alias(out))
-    return df.join(smooth, [*keys, frame])
+    import numpy as np
+    import pyarrow as pa
+
+    w = np.asarray(weights, float)
+    before = (len(w) - 1) // 2
+    reach = max(1, len(w) - 1 - before)
+    size = max(chunk, 2 * reach)
+    place = lambda f: F.floor(f / size)
+    own, names = place(F.col(frame)), df.columns
+    touched = F.array_distinct(F.array(place(F.col(frame) - reach), own, place(F.col(frame) + reach)))
+    sent = df.withColumn("_chunk", F.explode(touched)).withColumn("_own", F.col("_chunk") == own)
+    schema = df.select("*", F.lit(0.0).alias(out)).schema
+    schema[out].nullable = True
+
+    def smooth(table: pa.Table) -> pa.Table:
+        at = table[frame].to_numpy().astype(np.int64)
+        at = at - at.min()
+        v = table[value].cast(pa.float64())
+        known = ~np.asarray(v.is_null())
+        length = int(at.max()) + 1
+
+        def spread(x, by):
+            dense = np.bincount(at, x, length)
+            return np.convolve(dense, by)[before : before + length]
+
+        total = spread(np.where(known, v.fill_null(0.0).to_numpy(), 0.0), w)
+        share, near = spread(np.ones(len(at)), w), spread(known.astype(float), np.ones(len(w)))
+        mine = np.flatnonzero(table["_own"].to_numpy())
+        got = total[at[mine]] / share[at[mine]]
+        kept = table.select(names).take(pa.array(mine))
+        return kept.append_column(out, pa.array(got, pa.float64(), mask=near[at[mine]] < 0.5))
+
+    return sent.groupBy(*keys, "_chunk").applyInArrow(smooth, schema)
 
 
 def spike_columns(df: DataFrame, keys: list[str], frame: str, bad: Column, chunk) -> DataFrame:
