@@ -446,15 +446,23 @@ def searchlight_split_half(spark, sf):
 # Tables around the decoders.
 
 
+SHIFT = 8  # the second alignment reads every feature this many places later
+
+
 @query(
     "decode_alignment_change",
-    f"""{DEC}, a AS (SELECT region, item, avg(CASE WHEN predicted = item THEN 1.0 ELSE 0.0 END) AS r FROM dec GROUP BY ALL),
-b AS (SELECT d.region, d.item, avg(CASE WHEN d.predicted = d.item THEN 1.0 ELSE 0.0 END) AS r FROM dec d WHERE unit % 2 = 0 GROUP BY ALL)
+    f"""{DEC}, cent2 AS (SELECT unit, item, run, CAST(d // 16 AS INT) AS region, CAST(d AS INT) AS dim, v - avg(v) OVER (PARTITION BY run, d) AS v
+ FROM (SELECT unit, item, run, d, CAST(x[(d + {SHIFT}) % {V.WIDTH} + 1] AS DOUBLE) AS v FROM units, range({V.WIDTH}) t(d))), {S.decode('cent2', ['region'], 'item', 'b_')},
+a AS (SELECT region, item, avg(CASE WHEN predicted = item THEN 1.0 ELSE 0.0 END) AS r FROM dec GROUP BY ALL),
+b AS (SELECT region, item, avg(CASE WHEN predicted = item THEN 1.0 ELSE 0.0 END) AS r FROM b_dec GROUP BY ALL)
 SELECT region, item, {rnd('b.r - a.r', 'recall_change')}, b.r - a.r > 0.05 AS improved FROM a JOIN b USING (region, item)""",
 )
 def decode_alignment_change(spark, sf):
-    d = durable(decoded(spark, sf))
-    out = responses.metric_change(_recall(d), _recall(d.where("unit % 2 = 0")), ["region", "item"], "recall")
+    """Recall per class with the features of a second alignment, all units, less that of the first."""
+    u = V.units(spark, sf)
+    moved = u.withColumn("x", F.concat(F.slice("x", SHIFT + 1, V.WIDTH - SHIFT), F.slice("x", 1, SHIFT)))
+    first, second = (patterns.decode(one, "unit", "run", "item", "x", REGIONS, V.WIDTH) for one in (u, moved))
+    out = responses.metric_change(_recall(first), _recall(second), ["region", "item"], "recall")
     return out.select("region", "item", r6("recall_change").alias("recall_change"), (F.col("recall_change") > 0.05).alias("improved"))
 
 
@@ -494,11 +502,11 @@ def event_design(spark, sf):
 
 @query(
     "contrast_weights_by_run",
-    f"""WITH {V.RATINGS}, c AS (SELECT DISTINCT subject, context, trial % 8 AS run FROM ratings WHERE trial % 3 = 0), n AS (SELECT subject, context, count(*) AS k FROM c GROUP BY ALL)
+    f"""WITH {V.RATINGS}, c AS (SELECT DISTINCT subject, context, trial % 8 AS run FROM ratings), n AS (SELECT subject, context, count(*) AS k FROM c GROUP BY ALL)
 SELECT subject, run, context, {rnd("CASE WHEN context = 'AF' THEN 1.0 ELSE -0.2 END / k", 'weight')} FROM c JOIN n USING (subject, context)""",
 )
 def contrast_weights_by_run(spark, sf):
-    c = V.ratings(spark, sf).where("trial % 3 = 0").select("subject", "context", (F.col("trial") % 8).alias("run"))
+    c = V.ratings(spark, sf).select("subject", "context", (F.col("trial") % 8).alias("run"))
     weight = F.when(F.col("context") == "AF", 1.0).otherwise(-0.2)
     return responses.weights_by_run(c, ["subject"], "run", "context", weight).select("subject", "run", "context", r6("weight").alias("weight"))
 
