@@ -133,6 +133,32 @@ def test_language_labels_switched_words(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_fit_covers_all_rows(spark, monkeypatch):
+    from collections import Counter
+
+    rng = random.Random(4)
+    stems = {"xx": ("ka", "ri", "mo"), "yy": ("blen", "ough", "sth")}
+    rows = [(k, X.sentence(rng, rng.randrange(1, 60), stems[lang]), lang, "s") for k, lang in enumerate(list(stems) * 50)]
+    rows += [(7, X.sentence(rng, 9, stems["yy"]), "yy", "s") for _ in range(800)]  # one id holds most rows
+    docs = X.documents(spark, rows)
+    monkeypatch.setattr(language, "LEXICON", 5)
+    listed = {int(h) for h in language.frequent(docs.select("lang", "text"))}
+    hasher, want = Hasher(fold=False), set()
+    for lang in stems:
+        count = Counter(w for _, t, own, _ in rows if own == lang for w in t.split())
+        code = {w: int(hasher.load(np.frombuffer(w.encode(), np.uint8))(np.array([0]), np.array([len(w)]))[0]) for w in count}
+        ranked = sorted(count, key=lambda w: (-count[w], code[w] - (1 << 64 if code[w] >> 63 else 0)))
+        want |= {code[w] for w in ranked[:5]}
+    assert listed == want
+    one, two = language.trained(docs), language.trained(docs.repartition(7, "n_chars"))
+    assert np.array_equal(one.weight, two.weight) and np.array_equal(one.move, two.move) and one.langs == ["xx", "yy"]
+    long = X.sentence(rng, 3000, stems["xx"]).split()
+    drawn = language.stretches(" 1, ".join(long), hasher)
+    assert language.ROW_WORDS <= len(drawn.split()) < language.ROW_WORDS + 40 and all(" " + line + " " in " " + " ".join(long) + " " for line in drawn.split("\n"))
+    short = " ".join(long[:50])
+    assert Counter(language.stretches(short, hasher).split()) == Counter(short.split()) and language.stretches("1 2", hasher) == ""
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

@@ -3,28 +3,31 @@
 Words are letter runs. A word's potentials are the summed weights of its prefixes, suffixes, inner n-grams and its
 entry in a lexicon of frequent words; transitions between the languages of neighbouring words are learned too.
 The chain is trained on spliced sequences, cut from labelled texts of different languages, so that switches are
-seen, and words are labelled by forward-backward marginals. A chain is a line; longer lines are cut every CHAIN
-words, and every word of the whole text is labelled.
+seen, and words are labelled by forward-backward marginals. A chain is a whole line, however long, and every word
+of the whole text is labelled.
 
-The fit uses at most PER_LANGUAGE (twice that in bad luck) labelled rows of each language, chosen by a hash.
+The lexicon is counted over all rows that may be learned from. The weights are fitted on a bounded sample of them: the
+PER_LANGUAGE ids of each language that come first by a hash, one text of each id, and of a text of more than ROW_WORDS
+words so many of its stretches, drawn from all over it, as reach that number.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hasher, with_column
+from .common import Hasher, bounded, slices, trim, with_column
 from .wordstats import Words
 
-PER_LANGUAGE = 250  # labelled rows of each language used for the fit
-ROW_WORDS = 200  # words of each such row that enter the spliced sequences
-CHAIN = 128
+PER_LANGUAGE = 250  # labelled ids of each language used for the fit
+ROW_WORDS = 200  # words of each such row, at least, that enter the spliced sequences
+SPLICED = 64  # words of a spliced sequence, at least
 BITS = 16  # hashed feature space
 LEXICON = 300  # frequent words of each language with a feature of their own
 STEPS, RATE, RIDGE = 60, 0.1, 1e-4
@@ -112,50 +115,56 @@ class Model:
 
 
 def chains(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and number of words of each chain: the words of a line, at most CHAIN of them."""
+    """First word and number of words of each chain: the words of a line."""
     line = np.cumsum(words.data == 10)[words.start]
     if not len(line):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.concatenate(([True], line[1:] != line[:-1]))
-    within = np.arange(len(line)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    first = np.flatnonzero(within % CHAIN == 0)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     return first, np.diff(np.concatenate((first, [len(line)])))
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
-    """Penalised likelihood of spliced sequences by full-batch adaptive gradient steps; deterministic."""
+def stretches(text: str, hasher: Hasher) -> str:
+    """Stretches of 4 to 40 words of a text, one on each line: in random order, until ROW_WORDS words are reached.
+
+    The draw depends on the text alone.
+    """
+    words = Words(pa.array([text], pa.string()), hasher)
+    raw, total = words.raw.tobytes(), len(words.start)
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    cut = np.cumsum(rng.integers(4, 41, total // 4 + 1))
+    cut = np.concatenate(([0], cut[cut < total], [total]))
+    lines, taken = [], 0
+    for k in rng.permutation(len(cut) - 1):
+        if taken >= ROW_WORDS:
+            break
+        lines.append(b" ".join(raw[s:e] for s, e in zip(words.start[cut[k] : cut[k + 1]], words.end[cut[k] : cut[k + 1]])))
+        taken += cut[k + 1] - cut[k]
+    return b"\n".join(lines).decode()
+
+
+def fit(texts: list[str], langs: list[str], lexicon: np.ndarray, seed: int = 5) -> Model:
+    """Penalised likelihood of spliced lines of ``texts`` by full-batch adaptive gradient steps; deterministic.
+
+    ``lexicon`` holds the hashes of the frequent words in rising order.
+    """
     names = sorted(set(langs))
-    rng = np.random.default_rng(seed)
     words = Words(pa.array(texts, pa.string()), Hasher(fold=False))
-    label_of = {name: j for j, name in enumerate(names)}
-    pool: list[list[np.ndarray]] = [[] for _ in names]
-    counts = np.zeros((len(names), len(words.distinct)))
-    for k, lang in enumerate(langs):
-        own = words.form[words.bound[k] : words.bound[k + 1]]
-        low = int(rng.integers(0, max(1, len(own) - ROW_WORDS + 1)))
-        own = own[low : low + ROW_WORDS]
-        np.add.at(counts[label_of[lang]], own, 1)
-        at = 0
-        while at < len(own):  # stretches of 4 to 40 words
-            step = int(rng.integers(4, 41))
-            pool[label_of[lang]].append(own[at : at + step])
-            at += step
-    lexicon = np.unique(np.concatenate([words.distinct[np.argsort(-c, kind="stable")[:LEXICON]] for c in counts]) if names else words.distinct[:0])
-    stretches = [(j, s) for j, own in enumerate(pool) for s in own]
-    rng.shuffle(stretches)
+    label_of = np.array([names.index(lang) for lang in langs], np.int64)
+    first, size = chains(words)
+    label = label_of[np.searchsorted(words.bound, first, side="right") - 1]
     rows, labels = [], []
     have: list[np.ndarray] = []
     tags: list[np.ndarray] = []
-    for j, s in stretches:
-        have.append(s)
-        tags.append(np.full(len(s), j))
-        if sum(map(len, have)) >= CHAIN // 2:
-            rows.append(np.concatenate(have)[:CHAIN])
-            labels.append(np.concatenate(tags)[:CHAIN])
-            have, tags = [], []
-    if have:
-        rows.append(np.concatenate(have)[:CHAIN])
-        labels.append(np.concatenate(tags)[:CHAIN])
+    held = 0
+    order = np.random.default_rng(seed).permutation(len(first))
+    for k in order:
+        have.append(words.form[first[k] : first[k] + size[k]])
+        tags.append(np.full(size[k], label[k]))
+        held += size[k]
+        if held >= SPLICED or k == order[-1]:
+            rows.append(np.concatenate(have))
+            labels.append(np.concatenate(tags))
+            have, tags, held = [], [], 0
     order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
     size = np.array([len(rows[k]) for k in order], np.int64)
     model = Model(names, np.zeros(((1 << BITS) + len(lexicon), len(names))), np.zeros((len(names), len(names))), lexicon)
@@ -198,16 +207,50 @@ def held_out(ident: Column) -> Column:
     return F.coalesce(F.crc32(ident.cast("string")) % 4 == 2, F.lit(False))
 
 
+def frequent(rows: DataFrame) -> np.ndarray:
+    """Hashes of the LEXICON most frequent words of each language of (lang, text), ties to the smaller; counted over all rows."""
+
+    def count(batches):
+        hasher = Hasher(fold=False)
+        for part in slices(batches, "text"):
+            words = Words(part.column("text"), hasher)
+            langs = part.column("lang").dictionary_encode()
+            own = np.repeat(np.asarray(langs.indices), np.diff(words.bound)).astype(np.int64)
+            pair, n = np.unique(own * len(words.distinct) + words.form, return_counts=True)
+            at = pair % max(1, len(words.distinct))
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(pair // max(1, len(words.distinct)))), pa.array(words.distinct[at].view(np.int64)), pa.array(n.astype(np.int64))],
+                names=["lang", "word", "n"])
+        trim()
+
+    counts = rows.mapInArrow(count, "lang string, word bigint, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.withColumn("place", place).where(F.col("place") <= LEXICON).select("word").distinct().collect()
+    return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+
+
 def trained(docs: DataFrame) -> Model:
-    """Fit on a bounded number of rows of each language; languages are few by nature, and so are their counts."""
+    """Fit on a bounded sample of the labelled rows, with a lexicon of all of them.
+
+    Languages are few by nature: LEXICON hashes and PER_LANGUAGE x ROW_WORDS words of each reach the driver. The result
+    depends neither on the order nor on the partitions of the rows; of rows that repeat an id, the smallest text counts.
+    """
+    bounded(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(place * F.col("n") < PER_LANGUAGE)
-    langs = counts.count()
-    rows = drawn.select("doc_id", "lang", "text").limit(2 * PER_LANGUAGE * max(1, langs)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    usable = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("language sample")), "doc_id"))
+    ids = usable.select("lang", "doc_id").distinct().withColumn("place", place).where(F.col("place") <= PER_LANGUAGE).select("lang", "doc_id")
+    drawn = usable.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def draw(batches):
+        hasher = Hasher(fold=False)
+        for part in slices(batches, "text"):
+            cut = [stretches(t, hasher) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id").cast(pa.string()), pa.array(cut, pa.string())], names=["lang", "doc_id", "text"])
+        trim()
+
+    rows = sorted(drawn.mapInArrow(draw, "lang string, doc_id string, text string").collect())
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows], frequent(usable.select("lang", "text")))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language", keep: list[str] | None = None) -> DataFrame:
