@@ -134,8 +134,14 @@ def whitened_crossnobis(spark, sf):
     return distances.crossnobis(a.join(b, ["region", "split", "condition"]), ["region"], "condition")
 
 
-TWO = """r2 AS (SELECT {k}, count(*) AS n, corr(d, m1) AS r1, corr(d, m2) AS r2, corr(m1, m2) AS r12 FROM {src} GROUP BY {k}),
-fit AS (SELECT {k}, n, (r1 - r12 * r2) / (1 - r12 * r12) AS b1, (r2 - r12 * r1) / (1 - r12 * r12) AS b2, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS rsq, r1, r2 FROM r2)"""
+TWO = """{p}r2 AS (SELECT {k}, count(*) AS n, corr(d, m1) AS r1, corr(d, m2) AS r2, corr(m1, m2) AS r12 FROM {src} GROUP BY {k}),
+{p}fit AS (SELECT {k}, n, (r1 - r12 * r2) / (1 - r12 * r12) AS b1, (r2 - r12 * r1) / (1 - r12 * r12) AS b2, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS rsq, r1, r2 FROM {p}r2)"""
+
+
+def two(k, src, p=""):
+    return TWO.format(k=k, src=src, p=p)
+
+
 FIT = f"n AS n_valid, {rnd('b1', 'beta_1')}, {rnd('b2', 'beta_2')}, {rnd('rsq', 'r2')}, {rnd('1 - (1 - rsq) * (n - 1) / (n - 3)', 'adjusted_r2')}, {rnd('greatest(0, rsq - r2 * r2)', 'delta_1')}, {rnd('greatest(0, rsq - r1 * r1)', 'delta_2')}, 'ok' AS status"
 
 
@@ -148,17 +154,18 @@ def _fit(df, keys):
     )
 
 
-@query("ols_standardised", f"WITH {RDM}, {BEH}, both_ AS (SELECT * FROM rdm JOIN beh USING (subject, i, j)), {TWO.format(k='subject, region', src='both_')} SELECT subject, region, {FIT} FROM fit")
+@query("ols_standardised", f"WITH {RDM}, {BEH}, both_ AS (SELECT * FROM rdm JOIN beh USING (subject, i, j)), {two(k='subject, region', src='both_')} SELECT subject, region, {FIT} FROM fit")
 def ols_standardised(spark, sf):
     return _fit(durable(rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"])), ["subject", "region"])
 
 
-@query("context_regression", f"WITH {BLOCKS}, {TWO.format(k='subject, region, context', src='blk')} SELECT subject, region, context, {FIT} FROM fit")
+@query("context_regression", f"WITH {BLOCKS}, {two(k='subject, region, context', src='blk')} SELECT subject, region, context, {FIT} FROM fit")
 def context_regression(spark, sf):
     return _fit(blocks(spark, sf), ["subject", "region", "context"])
 
 
-WARP = f"{BLOCKS}, wp AS (SELECT a.subject, a.region, a.context AS c1, b.context AS c2, a.d - b.d AS d, a.m1 - b.m1 AS m1, a.m2 - b.m2 AS m2 FROM blk a JOIN blk b ON a.subject = b.subject AND a.region = b.region AND a.ii = b.ii AND a.jj = b.jj AND a.context < b.context)"
+WP = "wp AS (SELECT a.subject, a.region, a.context AS c1, b.context AS c2, a.d - b.d AS d, a.m1 - b.m1 AS m1, a.m2 - b.m2 AS m2 FROM blk a JOIN blk b ON a.subject = b.subject AND a.region = b.region AND a.ii = b.ii AND a.jj = b.jj AND a.context < b.context)"
+WARP = f"{BLOCKS}, {WP}"
 
 
 def block_pairs(spark, sf):
@@ -169,13 +176,10 @@ def block_pairs(spark, sf):
 
 @query(
     "geometry_warping",
-    f"WITH {WARP}, {TWO.format(k='subject, region, c1, c2', src='wp')} SELECT subject, region, {rnd('avg(b1)', 'mean_beta_1')}, {rnd('median(b1)', 'median_beta_1')}, {rnd('avg(b2)', 'mean_beta_2')}, {rnd('median(b2)', 'median_beta_2')}, {rnd('avg(rsq)', 'mean_r2')}, count(*) AS n_context_pairs FROM fit GROUP BY 1, 2",
+    f"WITH {WARP}, {two(k='subject, region, c1, c2', src='wp')} SELECT subject, region, {rnd('avg(b1)', 'mean_beta_1')}, {rnd('median(b1)', 'median_beta_1')}, {rnd('avg(b2)', 'mean_beta_2')}, {rnd('median(b2)', 'median_beta_2')}, {rnd('avg(rsq)', 'mean_r2')}, count(*) AS n_context_pairs FROM fit GROUP BY 1, 2",
 )
 def geometry_warping(spark, sf):
-    p = block_pairs(spark, sf)
-    moved = p.select("subject", "region", "c1", "c2", *[(F.col(f"{c}_i") - F.col(f"{c}_j")).alias(c) for c in ("d", "m1", "m2")])
-    fit = regression.ols(moved, ["subject", "region", "c1", "c2"], "d", ["m1", "m2"], parts=False)
-    flat = fit.select("subject", "region", F.get("beta", F.lit(0)).alias("b1"), F.get("beta", F.lit(1)).alias("b2"), "r2")
+    flat = warping_fits(spark, sf)
     # Six context pairs per group: the built-in median holds a handful of values.
     return flat.groupBy("subject", "region").agg(
         r6(F.avg("b1")).alias("mean_beta_1"), r6(F.median("b1")).alias("median_beta_1"), r6(F.avg("b2")).alias("mean_beta_2"),
@@ -183,6 +187,14 @@ def geometry_warping(spark, sf):
     )
 
 
+def warping_fits(spark, sf):
+    """Change of distances between two contexts on the change of ratings, per pair of contexts."""
+    p = block_pairs(spark, sf)
+    moved = p.select("subject", "region", "c1", "c2", *[(F.col(f"{c}_i") - F.col(f"{c}_j")).alias(c) for c in ("d", "m1", "m2")])
+    fit = regression.ols(moved, ["subject", "region", "c1", "c2"], "d", ["m1", "m2"], parts=False)
+    return fit.select("subject", "region", "status", F.get("beta", F.lit(0)).alias("b1"), F.get("beta", F.lit(1)).alias("b2"), "r2")
+
+
 GEO = f"""{BLOCKS}, rk AS (SELECT *, rank() OVER (PARTITION BY subject, region, context ORDER BY round(d, 12)) + (count(*) OVER (PARTITION BY subject, region, context, round(d, 12)) - 1) / 2.0 AS rd FROM blk),
 geo AS (SELECT a.subject, a.region, a.context AS c1, b.context AS c2, count(*) AS n, corr(a.d, b.d) AS pr, corr(a.rd, b.rd) AS sr FROM rk a JOIN rk b ON a.subject = b.subject AND a.region = b.region AND a.ii = b.ii AND a.jj = b.jj AND a.context < b.context GROUP BY ALL)"""
 
@@ -369,15 +381,21 @@ def metric_concordance(spark, sf):
 
 @query(
     "master_summary",
-    f"""WITH {GEO}, {TWO.format(k='subject, region, context', src='blk')}, res AS (SELECT subject, region, 'context_geometry' AS analysis, avg(pr) AS value, count(*) AS n_valid FROM geo WHERE region < 3 GROUP BY ALL UNION ALL SELECT subject, region, 'context_regression', avg(rsq), count(*) FROM fit GROUP BY ALL),
+    f"""WITH {GEO}, {two(k='subject, region, context', src='blk')}, {WP}, {two(k='subject, region, c1, c2', src='wp', p='w')},
+res AS (SELECT subject, region, 'context_geometry' AS analysis, avg(pr) AS value, count(*) AS n_valid FROM geo GROUP BY ALL UNION ALL SELECT subject, region, 'context_regression', avg(rsq), count(*) FROM fit GROUP BY ALL
+ UNION ALL SELECT subject, region, 'warping', avg(rsq), count(*) FROM wfit GROUP BY ALL),
 grid_ AS (SELECT DISTINCT subject, region, a AS analysis, e AS expected FROM rdm, (VALUES ('context_geometry', 6), ('context_regression', 4), ('warping', 6)) x(a, e))
 SELECT subject, region, analysis, coalesce(n_valid, 0) AS n_valid, {rnd('value', 'value')}, CASE WHEN n_valid IS NULL THEN 'missing' WHEN n_valid < expected THEN 'partial' ELSE 'ok' END AS status FROM grid_ LEFT JOIN res USING (subject, region, analysis)""",
 )
 def master_summary(spark, sf):
-    geometry = geometry_table(spark, sf).where("region < 3").groupBy("subject", "region").agg(F.avg("pr").alias("value"), F.count(F.lit(1)).alias("n_valid"))
+    def summed(rows, value, analysis):
+        out = rows.groupBy("subject", "region").agg(F.avg(value).alias("value"), F.count(F.lit(1)).alias("n_valid"))
+        return out.withColumn("analysis", F.lit(analysis))
+
     fits = regression.ols(blocks(spark, sf), ["subject", "region", "context"], "d", ["m1", "m2"], parts=False)
-    fits = fits.where("status = 'ok'").groupBy("subject", "region").agg(F.avg("r2").alias("value"), F.count(F.lit(1)).alias("n_valid"))
-    results = geometry.withColumn("analysis", F.lit("context_geometry")).unionByName(fits.withColumn("analysis", F.lit("context_regression")))
+    results = summed(geometry_table(spark, sf), "pr", "context_geometry")
+    results = results.unionByName(summed(fits.where("status = 'ok'"), "r2", "context_regression"))
+    results = results.unionByName(summed(warping_fits(spark, sf).where("status = 'ok'"), "r2", "warping"))
     grid = V.units(spark, sf).select((F.col("run") % 2).cast("int").alias("subject")).distinct()
     grid = grid.withColumn("region", F.explode(F.sequence(F.lit(0), F.lit(3))))
     expected = {"context_geometry": 6, "context_regression": 4, "warping": 6}

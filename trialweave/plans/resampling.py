@@ -167,7 +167,7 @@ def stouffer(spark, sf):
     return inference.stouffer(p, ["item"], "p", 5).select("item", *[r6(c).alias(c) for c in ("z", "p", "q")])
 
 
-DRAWS = 12
+DRAWS = 100
 
 
 @query(
@@ -178,12 +178,12 @@ mx AS (SELECT draw, cell, 'mixed' AS context, m2 AS v FROM d QUALIFY row_number(
 c AS (SELECT a.context AS box, a.draw AS i, b.draw AS j, corr(a.v, b.v) AS r FROM p a JOIN p b ON a.context = b.context AND a.cell = b.cell AND a.draw < b.draw GROUP BY ALL
  UNION ALL SELECT 'cross', a.draw, b.draw, corr(a.v, b.v) FROM p a JOIN p b ON a.context < b.context AND a.cell = b.cell AND a.draw < b.draw GROUP BY a.context, b.context, a.draw, b.draw
  UNION ALL SELECT 'mixed', a.draw, b.draw, corr(a.v, b.v) FROM mx a JOIN mx b ON a.cell = b.cell AND a.draw < b.draw GROUP BY ALL),
-z AS (SELECT box, atanh(least(greatest(r, -1 + 1e-12), 1 - 1e-12)) AS z FROM c) SELECT box, count(*) AS n, {rnd('avg(z)', 'mean_z')}, {rnd('stddev_samp(z)', 'sd_z')}, {rnd('median(z)', 'median_z')} FROM z GROUP BY box""",
+z AS (SELECT box, atanh(least(greatest(r, -1 + 1e-12), 1 - 1e-12)) AS z FROM c) SELECT box, count(*) AS n, {rnd('avg(z)', 'mean_z')}, {rnd('stddev_samp(z)', 'sd_z')}, {rnd('median(z)', 'median_z')}, {rnd('quantile_cont(z, 0.25)', 'q25_z')}, {rnd('quantile_cont(z, 0.75)', 'q75_z')} FROM z GROUP BY box""",
 )
-def resample_consistency(spark, sf):
+def resample_consistency(spark, sf, draws=DRAWS):
     r = selection.drop_control(V.ratings(spark, sf), "context", V.CONTROL_TEXT)
     r = r.withColumns({"cell": F.col("item") * 5 + F.col("subject"), "text": F.format_string("%.1f", "m2")})
-    keyed = sampling.per_permutation(r, DRAWS, "draw").withColumn("_key", sampling.seeded_key(5, "draw", "trial", "text"))
+    keyed = sampling.per_permutation(r, draws, "draw").withColumn("_key", sampling.seeded_key(5, "draw", "trial", "text"))
     pick = F.min_by("m2", F.struct("_key", "trial", "m2")).alias("v")
     # A profile has one value per cell; there are (draws x contexts) profiles however many ratings.
     p = durable(keyed.groupBy("draw", "cell", "context").agg(pick))
@@ -199,24 +199,41 @@ def resample_consistency(spark, sf):
     r = pairs(p, p, same, F.col("ca")).unionByName(pairs(p, p, ordered_, F.lit("cross"))).unionByName(pairs(mixed, mixed, same, F.lit("mixed")))
     z = durable(r.select("box", fisher_z("r").alias("z")))
     out = z.groupBy("box").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("z")).alias("mean_z"), r6(F.stddev_samp("z")).alias("sd_z"))
-    return out.join(ordered.percentiles(z, ["box"], "z", {"median_z": 0.5}).withColumn("median_z", r6("median_z")), "box")
+    at = {"median_z": 0.5, "q25_z": 0.25, "q75_z": 0.75}
+    return out.join(ordered.percentiles(z, ["box"], "z", at).select("box", *[r6(c).alias(c) for c in at]), "box")
+
+
+REPEATS, SUBSET = 100, 100
+CLAMPED = "least(greatest(r, -1 + 1e-12), 1 - 1e-12)"
 
 
 @query(
     "subset_reliability",
-    f"""WITH {V.FEATURES}, u AS (SELECT unit, context FROM units), dr AS (SELECT range AS rep, unit, context, row_number() OVER (PARTITION BY range, context ORDER BY md5(concat_ws('|', '11', range, unit)), unit) AS ra, row_number() OVER (PARTITION BY range, context ORDER BY md5(concat_ws('|', '12', range, unit)), unit) AS rb FROM u, range(1, 4)),
-pr AS (SELECT a.rep, a.context, a.unit AS ua, b.unit AS ub FROM dr a JOIN dr b ON a.rep = b.rep AND a.context = b.context AND a.ra = b.rb AND a.ra <= 40),
-r AS (SELECT rep, pr.context, fa.dim, corr(fa.v, fb.v) AS r FROM pr JOIN feats fa ON fa.unit = ua JOIN feats fb ON fb.unit = ub AND fb.dim = fa.dim GROUP BY ALL)
-SELECT context, dim, {rnd('avg(atanh(least(greatest(r, -1 + 1e-12), 1 - 1e-12)))', 'mean_z')} FROM r GROUP BY ALL""",
+    f"""WITH {V.FEATURES}, u AS (SELECT unit, CAST(context AS INT) AS box FROM units UNION ALL SELECT unit, -1 FROM units),
+dr AS (SELECT range AS rep, unit, box, row_number() OVER (PARTITION BY range, box ORDER BY md5(concat_ws('|', '11', range, box, unit)), unit) AS ra, row_number() OVER (PARTITION BY range, box ORDER BY md5(concat_ws('|', '12', range, box, unit)), unit) AS rb FROM u, range(1, {REPEATS + 1})),
+pr AS (SELECT a.rep, a.box, a.unit AS ua, b.unit AS ub FROM (SELECT * FROM dr WHERE ra <= {SUBSET}) a JOIN (SELECT * FROM dr WHERE rb <= {SUBSET}) b ON a.rep = b.rep AND a.box = b.box AND a.ra = b.rb),
+r AS (SELECT rep, box, fa.dim, corr(fa.v, fb.v) AS r FROM pr JOIN feats fa ON fa.unit = ua JOIN feats fb ON fb.unit = ub AND fb.dim = fa.dim GROUP BY ALL),
+m AS (SELECT box, dim, avg(atanh({CLAMPED})) AS z FROM r GROUP BY ALL), b AS (SELECT dim, z FROM m WHERE box = -1),
+t AS (SELECT list_sort(list(z))[CAST(floor(count(*) * 0.95) AS INT)] AS threshold FROM b)
+SELECT m.box AS context, m.dim, {rnd('m.z', 'mean_z')}, {rnd('b.z', 'baseline_z')}, {rnd('m.z - b.z', 'difference')}, {rnd('threshold', 'threshold')}, m.z > threshold AS reliable FROM m JOIN b USING (dim), t WHERE m.box >= 0""",
 )
-def subset_reliability(spark, sf):
-    u = V.units(spark, sf).select("unit", "context")
-    reps = sampling.per_permutation(u, 3, "rep")
-    a = sampling.sample_rank(reps, ["rep", "context"], 11, ["rep", "unit"], ["unit"], 40)
-    b = sampling.sample_rank(reps, ["rep", "context"], 12, ["rep", "unit"], ["unit"], 40)
-    pairs = a.withColumnRenamed("unit", "ua").join(b.withColumnRenamed("unit", "ub"), ["rep", "context", "rank"])
-    x = V.units(spark, sf).select("unit", "x")
+def subset_reliability(spark, sf, repeats=REPEATS, count=SUBSET):
+    """Agreement of two random subsets of a context's units, against subsets of all units and their 95th percentile."""
+    x = V.units(spark, sf)
+    u = x.select("unit", F.explode(F.array(F.col("context").cast("int"), F.lit(-1))).alias("box"))  # -1: all units
+    reps = sampling.per_permutation(u, repeats, "rep")
+    a, b = (sampling.sample_rank(reps, ["rep", "box"], seed, ["rep", "box", "unit"], ["unit"], count) for seed in (11, 12))
+    pairs = durable(a.withColumnRenamed("unit", "ua").join(b.withColumnRenamed("unit", "ub"), ["rep", "box", "rank"]))
     both = pairs.join(x.select(F.col("unit").alias("ua"), F.col("x").alias("xa")), "ua").join(x.select(F.col("unit").alias("ub"), F.col("x").alias("xb")), "ub")
-    long = both.select("rep", "context", F.posexplode(F.arrays_zip("xa", "xb")).alias("dim", "_v"))
-    r = long.groupBy("rep", "context", "dim").agg(pearson("_v.xa", "_v.xb").alias("r"))
-    return r.groupBy("context", "dim").agg(r6(F.avg(fisher_z("r"))).alias("mean_z"))
+    long = both.select("rep", "box", F.posexplode(F.arrays_zip("xa", "xb")).alias("dim", "_v"))
+    r = long.groupBy("rep", "box", "dim").agg(pearson("_v.xa", "_v.xb").alias("r"))
+    m = durable(r.groupBy("box", "dim").agg(F.avg(fisher_z("r")).alias("z")))
+    base = m.where("box = -1").select("dim", F.col("z").alias("base"))
+    # One number for each feature of a vector, so the list is as long as a row of the input is wide.
+    ranked = base.agg(F.array_sort(F.collect_list("base")).alias("_b"))
+    limit = ranked.select(F.get("_b", F.floor(F.size("_b") * 0.95).cast("int") - 1).alias("threshold"))
+    out = m.where("box >= 0").join(base, "dim").join(limit, F.lit(True))  # one row
+    return out.select(
+        F.col("box").alias("context"), "dim", r6("z").alias("mean_z"), r6("base").alias("baseline_z"), r6(F.col("z") - F.col("base")).alias("difference"),
+        r6("threshold").alias("threshold"), (F.col("z") > F.col("threshold")).alias("reliable"),
+    )
