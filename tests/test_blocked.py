@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from trialweave.operators import blocked, patterns, sampling
+from trialweave.operators import blocked, patterns, sampling, transfer
 
 
 def trials(spark, width, units=60, runs=5, signal=1.0):
@@ -77,3 +77,22 @@ def test_bad_vectors_are_refused_and_nothing_gives_nothing(spark):
     with pytest.raises(Exception, match="width 6|misses an element"):
         blocked.permuted_scores(units.withColumn("x", F.slice("x", 1, 5)), "unit", "run", "item", "x", places, "region", labels, 6).count()
     assert blocked.permuted_scores(units.limit(0), "unit", "run", "item", "x", places, "region", labels.limit(0), 6).count() == 0
+
+
+@pytest.mark.parametrize("chunk,perms,context", [(1_024, 128, "unit div 6 % 4 + 2"), (5, 2, "unit div 3 % 4 + 2")])  # the second: two contexts a subject
+def test_sources_and_subjects_equal_the_plain_transfer(spark, monkeypatch, chunk, perms, context):
+    monkeypatch.setattr(blocked, "UNITS", chunk)
+    monkeypatch.setattr(blocked, "PERMS", perms)
+    units = trials(spark, 8, 90, 3).withColumns({"subject": (F.col("unit") % 2).cast("int"), "context": F.expr(f"cast({context} as int)")})
+    drawn = sampling.permute_within(units, ["subject", "context", "run"], "unit", "item", 4).select("perm", "unit", "permuted")
+    labels = drawn.unionByName(units.select(F.lit(0).alias("perm"), "unit", F.col("item").alias("permuted"))).persist()
+    keys = ["perm", "subject", "region"]
+    decoded = transfer.context_transfer(units, 5, "x", patterns.slices(2, 4), 8, ["subject"], labels)
+    want = {tuple(r[c] for c in (*keys, "source", "target")): r for r in transfer.transfer_cells(decoded, keys).collect()}
+    got = transfer.permuted_cells(units, 5, "x", blocked.even_places(2, 4, spark), "region", 8, ["subject"], labels).collect()
+    assert {tuple(r[c] for c in (*keys, "source", "target")) for r in got} == set(want) and len(got) == len(want) == 5 * 2 * (2 * 13 if perms > 2 else 4 + 3)
+    for r in got:
+        other = want[tuple(r[c] for c in (*keys, "source", "target"))]
+        assert r["n"] == other["n"] and r["accuracy"] == pytest.approx(other["accuracy"], abs=1e-12) and r["evidence"] == pytest.approx(other["evidence"], abs=1e-9, nan_ok=True)
+    empty = transfer.permuted_cells(units, 5, "x", blocked.even_places(2, 4, spark), "region", 8, ["subject"], labels.limit(0))
+    assert empty.count() == 0 and empty.columns == [*keys, "source", "target", "n", "accuracy", "evidence"]

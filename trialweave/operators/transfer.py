@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from . import patterns
+from . import blocked, patterns
 from .patterns import Places
 
 
@@ -37,6 +37,18 @@ def context_transfer(
     return patterns.decide(sims, [*perm, *keys, places.key, "source", "target", "unit"], "item")
 
 
+def permuted_cells(
+    units: DataFrame, control: int, vec: str, places: DataFrame, key: str, width: int, keys: list[str], labels: DataFrame
+) -> DataFrame:
+    """(perm, keys, place, source, target, n, accuracy, evidence) of ``context_transfer`` for all permutations of the items.
+
+    ``places`` are (key, dims) rows; permutations go through the tasks in blocks.
+    """
+    cells = blocked.permuted_scores(units, "unit", "run", "item", vec, places, key, labels, width, keys=keys, source="context")
+    cells = cells.where((F.col("source") == control) | (F.col("target") != control))
+    return cells.select("perm", *keys, key, "source", "target", "n", "accuracy", "evidence")
+
+
 def transfer_cells(decoded: DataFrame, keys: list[str]) -> DataFrame:
     hit = (F.col("predicted") == F.col("item")).cast("double")
     return decoded.groupBy(*keys, "source", "target").agg(

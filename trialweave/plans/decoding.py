@@ -259,7 +259,7 @@ def cross_item_transfer(spark, sf):
     return out.select("region", r6("accuracy").alias("accuracy"), r6("evidence").alias("evidence"), "n_items")
 
 
-TRANSFER_PERMS = 3
+TRANSFER_PERMS = 100
 
 
 @query(
@@ -267,28 +267,45 @@ TRANSFER_PERMS = 3
     f"""WITH {S.CENTRED}, sub AS (SELECT unit, CAST(unit % 2 AS INT) AS subject, item, context, run, region, dim, v - avg(v) OVER (PARTITION BY unit % 2, run, dim) AS v FROM feats),
 {S.permuted('sub', ['subject', 'context', 'run'], 'unit', 'item', TRANSFER_PERMS)}, labs AS (SELECT * FROM perms UNION ALL SELECT DISTINCT 0, unit, item FROM sub),
 pc AS (SELECT l.perm, subject, region, s.unit, run, context, l.permuted AS item, dim, v FROM sub s JOIN labs l ON l.unit = s.unit),
-{_transfer_sql('pc', ['perm', 'subject', 'region'])}, f AS (SELECT perm, subject, region, 'primary' AS family, within_evidence - cross_evidence AS v FROM tsum UNION ALL SELECT perm, subject, region, 'control_mean', control_evidence FROM tsum),
-nm AS (SELECT subject, region, family, avg(v) AS m FROM f WHERE perm > 0 GROUP BY ALL), e AS (SELECT subject, region, family, v - m AS v FROM f JOIN nm USING (subject, region, family) WHERE perm = 0),
-fl AS (SELECT region, family, range AS pat, round(avg(CASE WHEN (range >> subject) & 1 = 1 THEN v ELSE -v END), 12) AS x FROM e, range(4) GROUP BY ALL),
-ob AS (SELECT region, family, round(avg(v), 12) AS observed FROM e GROUP BY ALL), mx AS (SELECT family, pat, max(x) AS m FROM fl GROUP BY ALL),
-pl AS (SELECT region, family, observed, avg(CASE WHEN x >= observed THEN 1.0 ELSE 0.0 END) AS p FROM fl JOIN ob USING (region, family) GROUP BY ALL),
-fw AS (SELECT region, family, avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END) AS p_fwe FROM ob JOIN mx USING (family) GROUP BY ALL), {S.bh('pl', ['family'])}
-SELECT family, region, {rnd('observed', 'observed')}, {rnd('p', 'p')}, {rnd('p_fwe', 'p_fwe')}, {rnd('q', 'q')} FROM adj JOIN fw USING (region, family)""",
+{_transfer_sql('pc', ['perm', 'subject', 'region'])},
+fr AS ({" UNION ALL ".join(f"SELECT perm, subject, region, 'primary_{m}' AS family, -1 AS target, within_{m} - cross_{m} AS v FROM tsum UNION ALL SELECT perm, subject, region, 'control_mean_{m}', -1, control_{m} FROM tsum UNION ALL SELECT perm, subject, region, 'control_target_{m}', target, {m} FROM tc WHERE source = 3 AND target < 3" for m in ('evidence', 'accuracy'))}),
+f AS (SELECT perm, subject, region, family, target, round(v, 12) AS v FROM fr), o AS (SELECT * FROM f WHERE perm = 0), n AS (SELECT * FROM f WHERE perm > 0),
+sp AS (SELECT subject, region, family, target, o.v AS observed, avg(n.v) AS null_mean, (1.0 + count(*) FILTER (WHERE n.v >= o.v)) / (1 + count(*)) AS p FROM o JOIN n USING (subject, region, family, target) GROUP BY ALL),
+e AS (SELECT subject, region, family, target, observed - null_mean AS v FROM sp),
+fl AS (SELECT region, family, target, range AS pat, round(avg(CASE WHEN (range >> subject) & 1 = 1 THEN v ELSE -v END), 12) AS x FROM e, range(4) GROUP BY ALL),
+ob AS (SELECT region, family, target, round(avg(v), 12) AS observed FROM e GROUP BY ALL), mx AS (SELECT family, pat, max(x) AS m FROM fl GROUP BY ALL),
+pl AS (SELECT region, family, target, observed, avg(CASE WHEN x >= observed THEN 1.0 ELSE 0.0 END) AS p FROM fl JOIN ob USING (region, family, target) GROUP BY ALL),
+fw AS (SELECT region, family, target, avg(CASE WHEN m >= observed THEN 1.0 ELSE 0.0 END) AS p_fwe FROM ob JOIN mx USING (family) GROUP BY ALL), {S.bh('pl', ['family'])}
+SELECT 'group' AS level, NULL AS subject, family, region, nullif(target, -1) AS target, {rnd('observed', 'observed')}, NULL AS null_mean, {rnd('p', 'p')}, {rnd('p_fwe', 'p_fwe')}, {rnd('q', 'q')} FROM adj JOIN fw USING (region, family, target)
+UNION ALL SELECT 'subject', subject, family, region, nullif(target, -1), {rnd('observed', 'observed')}, {rnd('null_mean', 'null_mean')}, {rnd('p', 'p')}, NULL, NULL FROM sp""",
 )
-def transfer_null_and_group(spark, sf):
+def transfer_null_and_group(spark, sf, perms=TRANSFER_PERMS):
+    """p of every subject and region, and sign flips over subjects of the values less their null means.
+
+    Each measure has three families: within less across contexts, control to all contexts, and control to each of them.
+    """
     u = V.units(spark, sf).withColumn("subject", (F.col("unit") % 2).cast("int"))
-    labels = labels_with_observed(u, "item", ["subject", "context", "run"], TRANSFER_PERMS)
+    labels = labels_with_observed(u, "item", ["subject", "context", "run"], perms)
+    regions = blocked.even_places(V.WIDTH // V.REGION_WIDTH, V.REGION_WIDTH, spark)
+    cells = durable(transfer.permuted_cells(u, V.CONTROL, "x", regions, "region", V.WIDTH, ["subject"], labels))
     keys = ["perm", "subject", "region"]
-    d = transfer.context_transfer(u, V.CONTROL, "x", REGIONS, V.WIDTH, ["subject"], labels)
-    s = durable(transfer.transfer_summary(transfer.transfer_cells(d, keys), keys, V.CONTROL))
-    fam = F.array(
-        F.struct(F.lit("primary").alias("family"), F.col("evidence_effect").alias("v")),
-        F.struct(F.lit("control_mean").alias("family"), F.col("control_evidence").alias("v")),
-    )
-    f = s.select(*keys, F.explode(fam).alias("_f")).select(*keys, "_f.family", "_f.v")
-    effects = inference.null_centre(f.where("perm = 0").drop("perm"), f.where("perm > 0"), ["subject", "region", "family"], "v")
-    out = inference.sign_flip_exact(effects, ["family"], ["region"], "subject", "centred")
-    return out.select("family", "region", *[r6(c).alias(c) for c in ("observed", "p", "p_fwe", "q")])
+    s = transfer.transfer_summary(cells, keys, V.CONTROL)
+    none, measures = F.lit(-1).cast("bigint"), ("evidence", "accuracy")  # -1: no single target
+    row = lambda family, target, v: F.struct(F.lit(family).alias("family"), target.alias("target"), F.round(v, 12).alias("v"))
+    overall = [r for m in measures for r in (row(f"primary_{m}", none, F.col(f"{m}_effect")), row(f"control_mean_{m}", none, F.col(f"control_{m}")))]
+    single = [row(f"control_target_{m}", F.col("target"), F.col(m)) for m in measures]
+    by_target = cells.where((F.col("source") == V.CONTROL) & (F.col("target") != V.CONTROL))
+    f = durable(s.select(*keys, F.inline(F.array(*overall))).unionByName(by_target.select(*keys, F.inline(F.array(*single)))))
+    tests = ["region", "target"]
+    observed, null = f.where("perm = 0").drop("perm"), f.where("perm > 0")
+    own = inference.p_upper(observed, null, ["subject", "family", *tests], "v")
+    effects = inference.null_centre(observed, null, ["subject", "family", *tests], "v")
+    group = inference.sign_flip_exact(effects, ["family"], tests, "subject", "centred")
+    missing = F.lit(None).cast("double")
+    target = F.nullif(F.col("target"), none).alias("target")
+    group = group.select(F.lit("group").alias("level"), F.lit(None).cast("int").alias("subject"), "family", "region", target, r6("observed").alias("observed"), missing.alias("null_mean"), *[r6(c).alias(c) for c in ("p", "p_fwe", "q")])
+    own = own.select(F.lit("subject").alias("level"), "subject", "family", "region", target, r6("v").alias("observed"), r6("null_mean").alias("null_mean"), r6("p").alias("p"), missing.alias("p_fwe"), missing.alias("q"))
+    return group.unionByName(own)
 
 
 # Cross-half similarity.
