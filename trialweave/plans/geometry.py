@@ -142,7 +142,7 @@ def two(k, src, p=""):
     return TWO.format(k=k, src=src, p=p)
 
 
-FIT = f"n AS n_valid, {rnd('b1', 'beta_1')}, {rnd('b2', 'beta_2')}, {rnd('rsq', 'r2')}, {rnd('1 - (1 - rsq) * (n - 1) / (n - 3)', 'adjusted_r2')}, {rnd('greatest(0, rsq - r2 * r2)', 'delta_1')}, {rnd('greatest(0, rsq - r1 * r1)', 'delta_2')}, 'ok' AS status"
+FIT = f"n AS n_valid, {rnd('b1', 'beta_1')}, {rnd('b2', 'beta_2')}, {rnd('rsq', 'r2')}, {rnd('1 - (1 - rsq) * (n - 1) / (n - 3)', 'adjusted_r2')}, {rnd('greatest(0, rsq - r2 * r2)', 'delta_1')}, {rnd('greatest(0, rsq - r1 * r1)', 'delta_2')}, {rnd('greatest(0, rsq - r2 * r2) / (1 - r2 * r2)', 'partial_1')}, {rnd('greatest(0, rsq - r1 * r1) / (1 - r1 * r1)', 'partial_2')}, 'ok' AS status"
 
 
 def _fit(df, keys):
@@ -150,7 +150,8 @@ def _fit(df, keys):
     get = lambda c, n: r6(F.get(F.col(c), F.lit(n)))
     return fit.select(
         *keys, "n_valid", get("beta", 0).alias("beta_1"), get("beta", 1).alias("beta_2"), r6("r2").alias("r2"), r6("adjusted_r2").alias("adjusted_r2"),
-        get("delta_r2", 0).alias("delta_1"), get("delta_r2", 1).alias("delta_2"), "status",
+        get("delta_r2", 0).alias("delta_1"), get("delta_r2", 1).alias("delta_2"),
+        get("partial_r2", 0).alias("partial_1"), get("partial_r2", 1).alias("partial_2"), "status",
     )
 
 
@@ -159,6 +160,21 @@ def ols_standardised(spark, sf):
     return _fit(durable(rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"])), ["subject", "region"])
 
 
+def _rank_sql(c):
+    return f"rank() OVER (PARTITION BY subject, region ORDER BY round({c}, 10)) + (count(*) OVER (PARTITION BY subject, region, round({c}, 10)) - 1) / 2.0 AS {c}"
+
+
+@query(
+    "ols_ranked",
+    f"WITH {RDM}, {BEH}, both_ AS (SELECT subject, region, {', '.join(map(_rank_sql, ('d', 'm1', 'm2')))} FROM rdm JOIN beh USING (subject, i, j) WHERE d IS NOT NULL AND m1 IS NOT NULL AND m2 IS NOT NULL), {two(k='subject, region', src='both_')} SELECT subject, region, {FIT} FROM fit",
+)
+def ols_ranked(spark, sf):
+    """The fit on tied ranks, taken inside each key among the rows without a missing value."""
+    both = rdm(spark, sf).join(behaviour(spark, sf), ["subject", "i", "j"])
+    both = durable(both.select("subject", "region", *[F.round(c, 10).alias(c) for c in ("d", "m1", "m2")]).dropna())
+    return _fit(durable(regression.ranked(both, ["subject", "region"], ["d", "m1", "m2"])), ["subject", "region"])
+
+
 @query("context_regression", f"WITH {BLOCKS}, {two(k='subject, region, context', src='blk')} SELECT subject, region, context, {FIT} FROM fit")
 def context_regression(spark, sf):
     return _fit(blocks(spark, sf), ["subject", "region", "context"])
