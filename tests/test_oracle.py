@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 QUICK = [
     "template_decode", "template_decode_scaled", "context_transfer", "split_half_similarity", "bh_fdr_by_family", "describe_cells", "rising_edges", "join_interval_frames",
     "join_radius_mm", "frame_edges", "rdm_correlation", "sign_flip_exact", "scan_trial_metadata", "sink_nested_json", "tied_rank",
+    "ols_ranked", "subset_reliability",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TRIALWEAVE_ALL") else QUICK
 
@@ -33,4 +34,4 @@ def test_entry_runs(spark):
 
 
 def test_registry_is_whole():
-    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(set(entry.queries()) - set(entry.EXTRA)) == 193
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and len(set(entry.queries()) - set(entry.EXTRA)) == 194
