@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType, _parse_dataty
 from ..session import scratch_path
 
 ARROW_ROWS = 1_000  # rows sent to a Python worker at once, where the session has Spark's default of 10,000
+BROADCAST_ROWS = 200_000  # a table of ids up to this long (about 5 MB) is sent to every executor
+FILES, FILE_ROWS = 12, 20_000  # files of a short written table, and rows for each further one
 SLICE_BYTES = 1 << 20  # text bytes handled at once in a Python worker; one longer text is a slice of its own
 
 QUERIES: dict[str, Callable] = {}
@@ -39,14 +41,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet below the shared folder and read it back."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet below the shared folder and read it back.
+
+    ``rows``, an upper bound of its rows where the caller knows one, keeps a short table to a few files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(FILES + rows // FILE_ROWS)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a table of ids or labels that is known to hold at most ``rows`` rows, if these are few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def trim() -> None:
     """Give back what a finished task no longer uses: its worker goes on to serve later stages."""
     gc.collect()

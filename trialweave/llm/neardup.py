@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, bounded, byte_set, mix, packed, per_text, slices, spans, trim, written
-from .components import components
+from .common import Hasher, bounded, byte_set, mix, packed, per_text, slices, small, spans, trim, written
+from .components import merged
 
 SHINGLE = 5
 PERCENT = 75
 BINS, BANDS, ROWS = 128, 32, 4
 CELLS, LEVELS = 256, 3  # classes of shingles by their low bits; class sizes told apart
-BROADCAST_ROWS = 200_000  # a table of ids up to this long (about 5 MB) is sent to every executor
+WIDE_ROWS = 50_000  # the same bound for members with their class maps (some 200 bytes each)
 
 NOT_SPACE = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 
@@ -129,11 +129,6 @@ def overlap_bound(x: str, y: str) -> Column:
     return sum(bits[1:], bits[0]) + F.least(F.col(x)[words], F.col(y)[words])
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast hint, given only after counting the rows of a written table of ids."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> DataFrame:
     """(node, items, cells) of the wanted nodes, read again from the texts of their first rows.
 
@@ -144,7 +139,7 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
     """
     named = wanted.select(F.col("row.doc_id").alias("_id"), F.col("row.at").alias("_at"), "node")
     same = (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    rows = named_texts(docs, ident, text).join(small(named), same).select("node", "text")
+    rows = named_texts(docs, ident, text).join(small(named, wanted.count()), same).select("node", "text")
 
     def run(batches):
         hasher = Hasher()
@@ -165,11 +160,11 @@ def full_sets(docs: DataFrame, ident: str, text: str, wanted: DataFrame) -> Data
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) whose full sets overlap in at least ``percent`` of their union."""
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
+    """The rows of ``edges`` whose full sets, of a and b, overlap in at least ``percent`` of their union."""
+    both = small(edges, edges.count()).join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("bigint")
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select(*edges.columns)
 
 
 def shareable(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,36 +191,42 @@ def grouped(docs: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
     members = written(exploded.join(shared, "key"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("rank"))
     left = written(members.join(central, "node").select("key", "node", "n", "rank", F.col("n").alias("m"), F.lit(None).cast("array<bigint>").alias("cells")), "central")
+    n_left = left.count()
     wanted = written(nodes.select("node", "row").join(left.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = written(full_sets(docs, ident, text, wanted), "sets")
-    links = labels = tested = None
+    labels = tested = None
     hubs = 1
     while True:
         # stars for the buckets that still span components; later rounds take about four times as many hubs each
         left = left.withColumn("label", F.col("node")) if labels is None else (
-            left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        stars = left.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-        drawn = F.pmod(F.xxhash64("node", F.lit(hubs)), F.col("size")) < (hubs if hubs > 1 else 0)
-        pending = left.join(stars.where("low <> high"), "key").withColumn("hub", (F.col("node") == F.col("top.node")) | drawn)
-        pending = written(pending.select("key", "node", "n", "rank", "m", "cells", "label", "hub"), "pending")
-        if pending.isEmpty():
+            left.join(small(labels, labels.count()), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        open_ = left.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+        stars = written(open_.where("low <> high").select("key", "top", "size"), "stars", n_left)
+        buckets = stars.count()
+        if not buckets:
             break
+        drawn = F.pmod(F.xxhash64("node", F.lit(hubs)), F.col("size")) < (hubs if hubs > 1 else 0)
+        pending = left.join(small(stars, buckets), "key").withColumn("hub", (F.col("node") == F.col("top.node")) | drawn)
+        pending = written(pending.select("key", "node", "n", "rank", "m", "cells", "label", "hub"), "pending", n_left)
+        n_left = pending.count()
         if hubs == 4:
-            pending = written(pending.drop("m", "cells").join(shareable(pending.select("node", "n").distinct(), sets), "node"), "pending")
+            pending = written(pending.drop("m", "cells").join(shareable(pending.select("node", "n").distinct(), sets), "node"), "pending", n_left)
         centre = pending.where("hub").select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("cells").alias("ac"), F.col("label").alias("al"))
+        centre = F.broadcast(centre) if centre.count() <= WIDE_ROWS else centre
         once = ~F.col("hub") | (F.col("a") < F.col("node"))
         fits = (F.col("label") != F.col("al")) & enough(F.least("m", "am"), percent)
         if hubs > 1:
             fits = fits & enough(overlap_bound("cells", "ac"), percent)
-        edges = centre.join(pending, "key").where(once & fits).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        edges = pending.join(centre, "key").where(once & fits)
+        edges = edges.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("al", "label").alias("la"), F.greatest("al", "label").alias("lb")).distinct()
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "edges")
         fresh = written(confirm(edges, sets, percent), "links")
+        edges = edges.select("a", "b")
         tested = edges if tested is None else tested.unionByName(edges)
         if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            labels = components(links)
+            labels = merged(labels, fresh.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         left = pending.where("NOT hub").select("key", "node", "n", "rank", "m", "cells")
         hubs *= 4
     named = nodes.select("node", "doc_id")
@@ -263,9 +264,11 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", perc
     fate = written(member.groupBy(F.col("doc_id").alias("_id"), F.col("at").alias("_at")).agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n")), "fate")
     name, whole = F.col(ident).cast("bigint"), F.xxhash64(F.col(text).cast("string"))
     same = whole.eqNullSafe(F.col("_at")) & name.eqNullSafe(F.col("_id"))
-    left = docs.join(small(written(fate.where("NOT stays").select("_id", "_at"), "lost")), same, "left_anti")
+    lost = written(fate.where("NOT stays").select("_id", "_at"), "lost")
+    left = docs.join(small(lost, lost.count()), same, "left_anti")
     again = written(fate.where("stays AND n > 1").select("_id", "_at"), "again")
-    if again.isEmpty():
+    repeated = again.count()
+    if not repeated:
         return left
-    again = small(again)
+    again = small(again, repeated)
     return left.join(again, same, "left_anti").unionByName(left.join(again, same).dropDuplicates(["_id", "_at"]).select(*docs.columns))
