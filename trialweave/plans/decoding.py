@@ -12,7 +12,7 @@ from ..sources import views as V
 from . import sqlparts as S
 from .registry import query, rnd
 
-PERMS = 5
+PERMS = 100  # of the cross-half nulls, as in their SQL twins
 DECODE_PERMS = 1_000  # of the original work
 SCAN_PERMS = 100  # the SQL twin's; a parameter of the queries
 
