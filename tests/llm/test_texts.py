@@ -116,6 +116,37 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.score(docs.limit(0), toxicity.trained(docs.limit(0), labels)).count() == 0
 
 
+def test_toxicity_equals_a_plain_noisy_or():
+    """Scores and listed sentences, sentence by sentence and word by word in plain Python, from the fitted weights."""
+    rows = toxic_set(400)
+    model = toxicity.fit([t for _, t, _ in rows], np.array([int(y) for _, _, y in rows]), np.ones(len(rows)))
+    weight = dict(zip(model.code.tolist(), model.weight.tolist()))
+    known = {}
+
+    def word_logit(word):
+        if word not in known:
+            _, slots = toxicity.features(toxicity.Words(pa.array([word]), Hasher(fold=False)))
+            known[word] = sum(weight.get(c, 0.0) for c in slots.tolist())
+        return known[word]
+
+    texts = [t for _, t, _ in rows[:120]] + [None, "", " .!?\n", "é Villain!? ok\nvermin", "a villain. " * 50, "scoundrels " * 300]
+    got = model.score(pa.array(texts, pa.string()), Hasher(fold=False)).to_pylist()
+    listed = 0
+    for text, have in zip(texts, got):
+        clean, offending = 1.0, []
+        for part in re.finditer(r"[^.!?\n]+", text or ""):
+            words = list(re.finditer(r"[A-Za-z\x80-\U0010ffff]+", part.group()))
+            if words:
+                p = 1 / (1 + np.exp(-(model.bias + sum(word_logit(w.group()) for w in words))))
+                clean *= 1 - p
+                if p >= toxicity.OFFENDING:
+                    offending.append((part.start() + words[0].start(), part.start() + words[-1].end()))
+        assert abs(have["score"] - (1 - clean)) < 1e-9
+        assert [(o["start"], o["end"]) for o in have["offending"]] == offending
+        listed += len(offending)
+    assert len(weight) and listed > 20
+
+
 def test_language_labels_switched_words(spark):
     rng = random.Random(8)
     stems = {"xx": ("ka", "ri", "mo", "shi", "to"), "yy": ("blen", "ough", "sth", "wr", "ick"), "zz": ("çã", "lho", "nhé", "õe", "qua")}
