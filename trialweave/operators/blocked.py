@@ -136,7 +136,8 @@ def permuted_scores(
     members = usable.agg(F.sum("n_features")).first()[0] or 0
     parts = max(1, -(-int(members) // PART))
     part = usable.groupBy(F.pmod(F.xxhash64(key), F.lit(parts)).alias("_part")).agg(F.collect_list(F.struct(F.col(key).alias("place"), "dims")).alias("places"))
-    rows = met.join(templates, [*by, "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))).join(part, "_part")
+    # Both sides are arrays that grow with units and permutations, and Spark takes a written table for as small as its source.
+    rows = met.join(templates.hint("merge"), [*by, "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))).join(part, "_part")
 
     def unit_length(m):
         m = m - m.mean(-1, keepdims=True)
