@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import col, finite, pearson
+from ..session import durable
 
 # The ten censoring rules (id, kind, displacement mm, robust z).
 RULES = [
@@ -22,19 +23,27 @@ RULES = [
 ]
 
 
+DVARS_CHUNK = 4096  # frames of a run that one task handles at a time
+
+
 def dvars(df: DataFrame, run: str, frame: str, voxel: str, value: str) -> DataFrame:
     """Root mean squared change per frame over the voxels finite in every frame of the run.
 
-    One shuffle: both windows run over (run, voxel), a group as long as a recording run however
-    many voxels or runs there are. A frame without the one before it changes by nothing.
+    One shuffle by run and chunk of frames, however many voxels or runs there are and however long a run is: the last
+    frame of a chunk is copied to the next one. A frame without the one before it changes by nothing.
     """
-    series = Window.partitionBy(run, voxel)
-    order = series.orderBy(frame)
+    flawed = durable(df.where(~finite(value)).select(F.col(run).alias("_run"), F.col(voxel).alias("_voxel")).distinct())
+    if not flawed.isEmpty():
+        df = df.join(flawed, F.col(run).eqNullSafe(F.col("_run")) & F.col(voxel).eqNullSafe(F.col("_voxel")), "left_anti")
+    rows = df.select(run, voxel, frame, value)
+    own = F.floor(F.col(frame) / DVARS_CHUNK)
+    border = rows.where(F.pmod(F.col(frame) + 1, F.lit(DVARS_CHUNK)) == 0)
+    sent = rows.withColumns({"_chunk": own, "_own": F.lit(True)}).unionByName(border.withColumns({"_chunk": own + 1, "_own": F.lit(False)}))
+    order = Window.partitionBy(run, "_chunk", voxel).orderBy(frame)
     before = F.when(F.lag(frame).over(order) == F.col(frame) - 1, F.lag(value).over(order))
-    change = df.select(
-        run, frame, F.min(finite(value).cast("int")).over(series).alias("_ok"), F.coalesce(F.col(value) - before, F.lit(0.0)).alias("_d")
-    ).where("_ok = 1")
-    return change.groupBy(run, frame).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("dvars"))
+    change = sent.repartition(run, "_chunk").select(run, "_chunk", frame, "_own", F.coalesce(F.col(value) - before, F.lit(0.0)).alias("_d")).where("_own")
+    mean = change.groupBy(run, "_chunk", frame).agg(F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("dvars"))
+    return mean.drop("_chunk")
 
 
 def rule_condition(kind: str, fd_limit, z_limit, fd: str, z: str) -> Column:

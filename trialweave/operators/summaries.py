@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, col, pearson
 from ..session import durable
-from .ordered import percentiles
+from .ordered import join_few, percentiles
 
 
 def centre_within(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -20,14 +20,14 @@ def zscore_within(df: DataFrame, keys: list[str], value: str, out: str, tiny: fl
     """Sample-sd z score inside each key; NULL where the key has no spread."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     z = F.when(F.col("_s") > tiny, (F.col(value) - F.col("_m")) / F.col("_s"))
-    return df.join(stats, keys).withColumn(out, z).drop("_m", "_s")
+    return join_few(df, stats, keys).withColumn(out, z).drop("_m", "_s")
 
 
 def zscore_from_train(df: DataFrame, keys: list[str], is_train: Column, value: str, out: str, tiny: float = 1e-12) -> DataFrame:
     """z score with mean and sd of the training rows only."""
     stats = df.where(is_train).groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     z = F.when(F.col("_s") > tiny, (F.col(value) - F.col("_m")) / F.col("_s"))
-    return df.join(stats, keys).withColumn(out, z).drop("_m", "_s")
+    return join_few(df, stats, keys).withColumn(out, z).drop("_m", "_s")
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -50,10 +50,10 @@ def robust_z(df: DataFrame, run: str, frame: str, value: str, out: str) -> DataF
     """(x - median) / (1.4826 MAD) per run from frame 2 on; frame 1 is zero; a run without spread is an error."""
     df = durable(df)  # read four times below
     later = df.where(F.col(frame) > 1)
-    med = percentiles(later, [run], value, {"_med": 0.5})
-    dev = later.join(med, run).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
+    med = durable(percentiles(later, [run], value, {"_med": 0.5}))
+    dev = join_few(later, med, [run]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))
     mad = percentiles(dev, [run], "_dev", {"_mad": 0.5})
-    scaled = df.join(med.join(mad, run), run, "left")
+    scaled = join_few(df, med.join(mad, run), [run], "left")
     scale = F.col("_mad") * 1.4826
     flat = F.raise_error(F.lit(f"{value} has no spread in a run")).cast("double")
     z = F.when(F.col(frame) == 1, F.lit(0.0)).when(scale > 0, (F.col(value) - F.col("_med")) / scale).otherwise(flat)

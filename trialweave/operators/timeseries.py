@@ -17,8 +17,8 @@ from .ordered import following, number_rows, percentiles, previous, running_sum,
 
 def differences(df: DataFrame, keys: list[str], frame: str, columns: list[str], chunk, prefix: str = "d_") -> DataFrame:
     """Change from the previous frame; the first frame of a run gets zero."""
-    out = scan(df, keys, chunk, [frame], _prev=previous(F.struct(*columns)))
-    return out.withColumns({f"{prefix}{c}": F.coalesce(F.col(c) - F.col(f"_prev.{c}"), F.lit(0.0)) for c in columns}).drop("_prev")
+    out = scan(df, keys, chunk, [frame], **{f"_prev_{c}": previous(c) for c in columns})
+    return out.select(*df.columns, *[F.coalesce(F.col(c) - F.col(f"_prev_{c}"), F.lit(0.0)).alias(f"{prefix}{c}") for c in columns])
 
 
 def framewise_displacement(df: DataFrame, keys: list[str], frame: str, motion: list[str], chunk, radius: float = 50.0) -> DataFrame:

@@ -211,9 +211,9 @@ SELECT run, frame, CASE WHEN frame = last AND run % 3 = 0 THEN 'incomplete_last_
 FROM qc JOIN l USING (run) WHERE (frame = last AND run % 3 = 0) OR fd > 0.5 OR z > 5""",
 )
 def bad_frame_reason(spark, sf):
-    q = motion_qc(spark, sf)
+    q = durable(motion_qc(spark, sf).drop("dvars"))  # read twice
     last = q.groupBy("run").agg(F.max("frame").alias("last"))
-    q = q.join(last, "run").withColumn("incomplete", (F.col("frame") == F.col("last")) & (F.col("run") % 3 == 0))
+    q = ordered.join_few(q, last, ["run"]).withColumn("incomplete", (F.col("frame") == F.col("last")) & (F.col("run") % 3 == 0))
     out = q.withColumn("reason", quality.bad_frame_reason("fd", "z", "incomplete", 0.5, 5.0))
     return out.where("reason IS NOT NULL").select("run", "frame", "reason")
 

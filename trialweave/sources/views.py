@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import to_long
 from ..operators.ordered import number_rows
-from ..session import durable
+from ..session import compiled, durable
 
 WIDTH = 64          # embedding width
 REGION_WIDTH = 16   # features per region
 CONTROL = 3         # context code of the control class
 CONTROL_TEXT = "AO"  # control context among the ratings
-ORDER_CHUNK = 4096  # order keys per chunk of an ordered scan
+ORDER_CHUNK = 1 << 18  # order keys per chunk of an ordered scan; about a million lines at most
 CHUNK_US = 60_000_000  # one minute of event time per chunk
 
 FRAME_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return compiled(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def micros(c: str) -> Column:
