@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import seeded_chunk, seeded_key
 from ..session import durable
-from .ordered import number_rows
+from .ordered import FEW_ROWS, number_rows
 
 
 def per_permutation(df: DataFrame, count: int, out: str = "perm", first: int = 1) -> DataFrame:
@@ -84,11 +84,33 @@ def permute_conditions(conditions: DataFrame, keys: list[str], index: str, count
     return seeded_rank(drawn, [*keys, "perm"], seed, [*keys, "perm", index], [index], "mapped")
 
 
+SPREAD = 16  # draws from which on the rows are dealt evenly to all tasks before they are keyed
+
+
+def first_by_key(df: DataFrame, cell: list[str], seed: int, parts: list[str], order: list[str], draws: int) -> DataFrame:
+    """(draw, cell, first): the least (_key, *order) of each cell and draw, ``_key`` being the seeded key of ``parts``.
+
+    The least leading 60 bits of the keys are found first, one number for each cell and draw, so that tasks add up rows
+    in place and neither sort nor send them; only rows that share those bits are compared whole.
+    """
+    if draws >= SPREAD:  # the keys cost far more than one shuffle of the rows, which may lie in a single file
+        slim = df.select(*dict.fromkeys([*cell, *parts, *order]))
+        df = slim.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    keyed = per_permutation(df, draws, "draw").withColumn("_key", seeded_key(seed, "draw", *parts))
+    keyed = keyed.withColumn("_head", F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"))
+    by = ["draw", *cell]
+    least = durable(keyed.groupBy(*by).agg(F.min("_head").alias("_least")).select("_least", *[F.col(c).alias(f"_of_{c}") for c in by]))
+    on = F.col("_head") == F.col("_least")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    near = keyed.join(F.broadcast(least) if least.count() <= FEW_ROWS else least, on)
+    return near.groupBy(*by).agg(F.min(F.struct("_key", *order)).alias("first"))
+
+
 def sample_one(df: DataFrame, cell: list[str], seed: int, parts: list[str], value: str, draws: int) -> DataFrame:
     """One seeded row per cell and draw; an aggregate, so no cell is ever gathered."""
-    keyed = per_permutation(df, draws, "draw").withColumn("_key", seeded_key(seed, "draw", *parts))
-    order = F.struct("_key", *parts, value)
-    return keyed.groupBy("draw", *cell).agg(F.min_by(value, order).alias(value))
+    first = first_by_key(df, cell, seed, parts, [*dict.fromkeys([*parts, value])], draws)
+    return first.select("draw", *cell, F.col(f"first.{value}").alias(value))
 
 
 def sample_rows(df: DataFrame, keys: list[str], seed: int, parts: list[str], ids: list[str], count: int) -> DataFrame:

@@ -183,11 +183,10 @@ z AS (SELECT box, atanh(least(greatest(r, -1 + 1e-12), 1 - 1e-12)) AS z FROM c)
 def resample_consistency(spark, sf, draws=DRAWS):
     r = selection.drop_control(V.ratings(spark, sf), "context", V.CONTROL_TEXT)
     r = r.withColumns({"cell": F.col("item") * 5 + F.col("subject"), "text": F.format_string("%.1f", "m2")})
-    keyed = sampling.per_permutation(r, draws, "draw").withColumn("_key", sampling.seeded_key(5, "draw", "trial", "text"))
-    pick = F.min_by("m2", F.struct("_key", "trial", "m2")).alias("v")
-    # A profile has one value per cell; there are (draws x contexts) profiles however many ratings.
-    p = durable(keyed.groupBy("draw", "cell", "context").agg(pick))
-    mixed = keyed.groupBy("draw", "cell").agg(pick).withColumn("context", F.lit("mixed"))
+    # A profile has one value per cell; there are (draws x contexts) profiles however many ratings. The first of a cell
+    # in all contexts is the least of its firsts in each.
+    p = durable(sampling.first_by_key(r, ["cell", "context"], 5, ["trial", "text"], ["trial", "m2"], draws).withColumn("v", F.col("first.m2")))
+    mixed = durable(p.groupBy("draw", "cell").agg(F.min("first").alias("first")).select("draw", "cell", F.lit("mixed").alias("context"), F.col("first.m2").alias("v")))
 
     def pairs(left, right, on, box):
         a = left.select("cell", F.col("draw").alias("i"), F.col("context").alias("ca"), F.col("v").alias("va"))

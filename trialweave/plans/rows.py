@@ -336,11 +336,8 @@ QUALIFY row_number() OVER (PARTITION BY draw, subject, item, context ORDER BY ke
 )
 def sample_one_per_cell(spark, sf):
     rated = V.ratings(spark, sf).withColumn("text", F.format_string("%.1f", "m2"))
-    keyed = sampling.per_permutation(rated, 5, "draw")
-    keyed = keyed.withColumn("_key", sampling.seeded_key(7, "draw", "trial", "text"))
-    return keyed.groupBy("draw", "subject", "item", "context").agg(
-        r6(F.min_by("m2", F.struct("_key", "trial", "m2"))).alias("value")
-    )
+    first = sampling.first_by_key(rated, ["subject", "item", "context"], 7, ["trial", "text"], ["trial", "m2"], 5)
+    return first.select("draw", "subject", "item", "context", r6("first.m2").alias("value"))
 
 
 @query(
