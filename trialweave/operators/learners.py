@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from .ordered import join_few
 
 
 def mixture_threshold(df: DataFrame, value: str, seed: int = 1, steps: int = 500) -> DataFrame:
@@ -121,7 +122,7 @@ def train_moments(moments: DataFrame, keys: list[str], block: str) -> DataFrame:
 
 def linear_predict(tests: DataFrame, weights: DataFrame, on: list[str], by: list[str], unit: str, truth: str, vec: str) -> DataFrame:
     """Class with the largest linear score; ties to the smallest class."""
-    scored = tests.join(weights, on).withColumn("_s", F.round(vectors.dot(vec, "w") + F.col("b"), 10))
+    scored = join_few(tests, weights, on).withColumn("_s", F.round(vectors.dot(vec, "w") + F.col("b"), 10))
     return scored.groupBy(*dict.fromkeys([*on, *by]), unit, truth).agg(
         F.max_by("candidate", F.struct("_s", (-F.col("candidate")).alias("c"))).alias("predicted")
     )
@@ -134,6 +135,9 @@ def lda_cross_validate(units: DataFrame, keys: list[str], unit: str, block: str,
     return linear_predict(units.select(*keys, block, unit, label, vec), w, [*keys, block], ["gamma"], unit, label, vec)
 
 
+CELLS = 1 << 20  # numbers of the largest matrix of a task, about 8 MB
+
+
 def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, held: dict[str, list], models: list[dict], rounds: int = 50) -> DataFrame:
     """Linear support vector machines for many training sets at once.
 
@@ -164,8 +168,9 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
         def partial(batches):
             sums: dict = {}
             for batch in batches:
-                for key, part in batch.groupby(keys, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
+                at_once = np.arange(len(batch)) // max(1, CELLS // len(models))  # bounds rows x models
+                for (*key, _), part in batch.groupby([*keys, at_once], sort=False):
+                    key = tuple(key)
                     x = np.column_stack([np.stack(part[vec].to_numpy()), np.ones(len(part))])
                     y = part[label].to_numpy()[:, None]
                     use = (y == first) | (y == second)
@@ -225,7 +230,7 @@ def fit_linear_svms(units: DataFrame, keys: list[str], vec: str, label: str, hel
 
 def vote(tests: DataFrame, machines: DataFrame, on: list[str], by: list[str], unit: str, truth: str, vec: str) -> DataFrame:
     """One vote per class pair; the most votes win, ties to the smallest class."""
-    scored = tests.join(machines, on).withColumn("candidate", F.when(vectors.dot(vec, "w") + F.col("b") > 0, F.col("first")).otherwise(F.col("second")))
+    scored = join_few(tests, machines, on).withColumn("candidate", F.when(vectors.dot(vec, "w") + F.col("b") > 0, F.col("first")).otherwise(F.col("second")))
     group = list(dict.fromkeys([*on, *by]))
     votes = scored.groupBy(*group, unit, truth, "candidate").agg(F.count(F.lit(1)).alias("_v"))
     return votes.groupBy(*group, unit, truth).agg(F.max_by("candidate", F.struct("_v", (-F.col("candidate")).alias("c"))).alias("predicted"))
