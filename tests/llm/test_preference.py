@@ -111,3 +111,29 @@ def test_no_labels_and_no_rows(spark):
     assert P.score(docs, model).count() == 1 and P.score(docs.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert P.score(docs, P.trained(docs, one)).first()["quality"] > 0.7
+
+
+def test_every_labelled_row_takes_part_in_the_fit(spark, monkeypatch):
+    """The distributed fit equals the plain one over all rows, whatever the driver may look at."""
+    monkeypatch.setattr(P, "CUT_ROWS", 5)
+    rng = np.random.default_rng(3)
+    for good, bad in ((300, 40), (30, 200)):
+        y = np.array([True] * good + [False] * bad)
+        x = rng.normal(0, 1, (len(y), len(P.NAMES))) + 0.3 * y[:, None]
+        monkeypatch.setattr(P, "PAIRS", good * bad)  # all pairs, so that their choice is no matter
+        rows = spark.createDataFrame([(k, bool(b), v.tolist()) for k, (b, v) in enumerate(zip(y, x))], "doc_id long, y boolean, features array<double>")
+        got = P.fitted(rows, (bad, good))
+        assert P.paired(rows, good, bad).count() == good * bad
+        monkeypatch.setattr(P, "PAIRS", 1)
+        met = P.paired(rows, good, bad)
+        assert met.count() == max(good, bad)
+        assert met.select("better").distinct().count() == good and met.select("worse").distinct().count() == bad
+        monkeypatch.undo()
+        monkeypatch.setattr(P, "CUT_ROWS", 5)
+        want = P.fit(x, y.astype(int), (bad, good))
+        z = np.clip((x - want.centre) / want.scale, -8, 8)
+        a, b = np.divmod(np.arange(good * bad), bad)
+        want.weight = P.newton(lambda w: P.loss(w, z[y][a] - z[~y][b]), np.zeros(len(P.NAMES)))
+        want.cut = P.quantile(want.raw(x), y.astype(int), (bad, good))
+        assert np.allclose(got.centre, want.centre) and np.allclose(got.scale, want.scale)
+        assert np.allclose(got.weight, want.weight, atol=1e-6) and got.cut == pytest.approx(want.cut, abs=1e-5)

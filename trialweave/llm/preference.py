@@ -6,13 +6,15 @@ word pairs, five-word passages and lines repeat, how sentences end. A document l
 difference cancels any common offset, so a document's score w . x has no natural zero: the threshold is the score
 quantile at the share of worse documents among the labels, and is mapped to THRESHOLD on the 0 to 1 scale.
 
-The fit uses at most EACH labelled rows of either label, chosen by a hash of the id, and at most PAIRS pairs of them;
-only their numbers reach the driver, never texts. The label counts, from which the quantile's level and the weights of
-the sampled scores come, are those of the whole table. Every whole text is scored.
+The fit uses every labelled row that is not held out: its text is measured, and it takes part in at least one pair. All
+pairs are formed where there are at most PAIRS; else each row of the more frequent label meets equally many of the other
+label, in hash order, so that the pairs grow like the rows. Tasks add up moments, gradients and Hessians of their rows
+and pairs, and the quantile is narrowed down by counts; only such sums reach the driver. Every whole text is scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import number_rows
+from ..session import durable
 from .common import Hasher, byte_set, lists, mix, packed, per_text, spans, with_column
 from .wordstats import LETTER, folded
 
-EACH = 4_000  # bound of the labelled rows of either label used for the fit
-PAIRS = 40_000  # bound of the preference pairs
+PAIRS = 40_000  # preference pairs, or one for each row of the more frequent label where that is more
+SHORT = 16_384  # numbers of at most this many rows are sent to all tasks
+KNOWN = 2_000_000  # ids with labels that are sent to all tasks, at most
+CUT_ROWS = 10_000  # scores the driver looks at to place the quantile
 RIDGE, STEPS = 1e-3, 30  # of a pair's mean loss; Newton steps
 THRESHOLD = 0.7  # score to which the quantile is mapped
 WORD = byte_set((0x00, 0x08), (0x0E, 0x1F), (0x21, 0xFF))
@@ -148,24 +154,29 @@ def fit(x: np.ndarray, y: np.ndarray, counts: tuple[int, int]) -> Model:
     good, bad = z[y > 0], z[y == 0]
     if len(good) and len(bad):
         a, b = pairs(len(good), len(bad))
-        difference, w = good[a] - bad[b], model.weight
-        value, gradient, hessian = loss(w, difference)
-        for _ in range(STEPS):
-            step, size = np.linalg.solve(hessian, gradient), 1.0
-            while True:
-                tried = loss(w - size * step, difference)
-                if tried[0] <= value or size < 1e-6:
-                    break
-                size /= 2
-            done = value - tried[0] < 1e-12
-            w, (value, gradient, hessian) = w - size * step, tried
-            if done:
-                break
-        model.weight = w
+        difference = good[a] - bad[b]
+        model.weight = newton(lambda w: loss(w, difference), model.weight)
     model.cut = quantile(model.raw(x), y, counts)
     return model
 
 
+def newton(loss_at: Callable, w: np.ndarray) -> np.ndarray:
+    """Minimum by damped Newton steps; ``loss_at`` gives value, gradient and Hessian."""
+    value, gradient, hessian = loss_at(w)
+    for _ in range(STEPS):
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while True:
+            tried = loss_at(w - size * step)
+            if tried[0] <= value or size < 1e-6:
+                break
+            size /= 2
+        done = value - tried[0] < 1e-12
+        w, (value, gradient, hessian) = w - size * step, tried
+        if done:
+            break
+    return w
+
+
 def quantile(raw: np.ndarray, y: np.ndarray, counts: tuple[int, int]) -> float:
     """The raw score below which the share of worse documents lies: midway between the scores on its two sides."""
     weight = np.where(y > 0, counts[1] / max(1, (y > 0).sum()), counts[0] / max(1, (y == 0).sum()))
@@ -205,15 +216,110 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("quality") > 0).alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = None
-    for y in (True, False):
-        one = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EACH)
-        drawn = one if drawn is None else drawn.unionByName(one)
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    rows = measured(texts, keep=["doc_id", "y"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(NAMES))
-    return fit(x, np.array([r["y"] for r in rows], np.int64), (counts.get(False, 0), counts.get(True, 0)))
+    found = F.broadcast(known) if sum(counts.values()) <= KNOWN else known
+    texts = docs.select("doc_id", "text").join(found, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return fitted(durable(measured(texts, keep=["doc_id", "y"])), (counts.get(False, 0), counts.get(True, 0)))
+
+
+def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return np.asarray(batch.column(column).flatten(), float).reshape(batch.num_rows, len(NAMES))
+
+
+def summed(df: DataFrame, one: Callable, size: int) -> np.ndarray:
+    """Sum over all batches of the ``size`` numbers that ``one`` makes of a batch; a task sends one row."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            total += one(batch)
+        yield pa.RecordBatch.from_arrays([lists(pa.array(total), np.array([size]))], ["sums"])
+
+    return np.sum([r["sums"] for r in df.mapInArrow(run, "sums array<double>").collect()] or [np.zeros(size)], axis=0)
+
+
+def paired(rows: DataFrame, better: int, worse: int) -> DataFrame:
+    """(better, worse): the numbers of both sides of the preference pairs, by the rule of ``pairs``."""
+    key = F.xxhash64("doc_id")
+    placed = number_rows(rows.withColumn("_key", key), ["y"], F.shiftright("_key", 56), ["_key", "doc_id"], "_row")
+    placed = durable(placed.select("y", (F.col("_row") - 1).alias("_row"), "features"))
+    long, short = max(better, worse), min(better, worse)
+    rounds = short if better * worse <= PAIRS else min(short, max(1, PAIRS // long))
+    more = better >= worse
+    a = placed.where(F.col("y") == more).select("_row", F.col("features").alias("better" if more else "worse"))
+    a = a.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    a = a.withColumn("_other", (F.col("_row") + F.col("_round") * max(1, short // rounds)) % short)
+    b = placed.where(F.col("y") != more).select(F.col("_row").alias("_other"), F.col("features").alias("worse" if more else "better"))
+    met = a.join(F.broadcast(b) if short <= SHORT else b, "_other")
+    return durable(met.repartition("_row").sortWithinPartitions("_row", "_round").select("better", "worse"))
+
+
+def fitted(rows: DataFrame, counts: tuple[int, int]) -> Model:
+    """``fit`` of all rows (doc_id, y, features), whose sums tasks add up."""
+    size = len(NAMES)
+    model = Model(np.zeros(size), np.ones(size), np.zeros(size))
+    own = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad, good = own.get(False, 0), own.get(True, 0)
+    if not bad + good:
+        return model
+    model.centre = summed(rows, lambda batch: matrix(batch, "features").sum(0), size) / (bad + good)
+    centre = model.centre
+    spread = np.sqrt(summed(rows, lambda batch: ((matrix(batch, "features") - centre) ** 2).sum(0), size) / (bad + good))
+    model.scale = scale = np.where(spread > 1e-9, spread, 1.0)
+    if good and bad:
+        met = paired(rows, good, bad)
+
+        def whole(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            """``loss`` of all pairs."""
+
+            def one(batch):
+                better, worse = (np.clip((matrix(batch, side) - centre) / scale, -8, 8) for side in ("better", "worse"))
+                value, gradient, hessian = loss(w, better - worse, 0.0)
+                return batch.num_rows * np.concatenate([[1.0, value], gradient, hessian.ravel()]) if batch.num_rows else 0.0
+
+            total = summed(met, one, 2 + size + size * size)
+            value, gradient, hessian = total[1] / total[0], total[2 : 2 + size] / total[0], total[2 + size :].reshape(size, size) / total[0]
+            return value + RIDGE / 2 * w @ w, gradient + RIDGE * w, hessian + RIDGE * np.eye(size)
+
+        model.weight = newton(whole, model.weight)
+    model.cut = quantile_of(rows, model, (bad, good), counts)
+    return model
+
+
+def quantile_of(rows: DataFrame, model: Model, own: tuple[int, int], counts: tuple[int, int]) -> float:
+    """``quantile`` of the raw scores of all rows; the range that holds it is cut until it has at most CUT_ROWS scores."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(matrix(batch, "features"))), batch.column("y")], ["raw", "y"])
+
+    weight = F.when(F.col("y"), counts[1] / max(1, own[1])).otherwise(counts[0] / max(1, own[0]))
+    scores = rows.select("features", "y").mapInArrow(run, "raw double, y boolean")
+    part = durable(scores.groupBy("raw").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("n")))
+    ends = part.agg(F.min("raw"), F.max("raw")).first()
+    if counts[0] == 0:
+        return float(ends[0] - 1)
+    if counts[1] == 0:
+        return float(ends[1] + 1)
+    target, below, above = counts[0] - 0.5, 0.0, None  # weight below the range, least score above it
+    while part.count() > CUT_ROWS:
+        edges = sorted(set(part.agg(F.percentile_approx("raw", [k / 64 for k in range(1, 64)], 2_000)).first()[0]))
+        place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("raw")))
+        sums = part.groupBy(place.alias("place")).agg(F.sum("weight").alias("weight"), F.min("raw").alias("least")).orderBy("place").collect()
+        at = 0
+        while at < len(sums) - 1 and below + sums[at]["weight"] < target:
+            below, at = below + sums[at]["weight"], at + 1
+        if at < len(sums) - 1:
+            above = sums[at + 1]["least"]
+        part = part.where(place == sums[at]["place"])
+    last = sorted(part.collect(), key=lambda r: r["raw"])
+    for k, r in enumerate(last):
+        below += r["weight"]
+        if below >= target:
+            if r["n"] > 1 and below - r["weight"] / r["n"] >= target:
+                return float(r["raw"])  # the next score is the same
+            after = last[k + 1]["raw"] if k + 1 < len(last) else above
+            return float(ends[1] + 1 if after is None else (r["raw"] + after) / 2)
+    return float(ends[1] + 1)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality", keep: list[str] | None = None) -> DataFrame:
