@@ -1,12 +1,13 @@
 """Plans whose memory, shuffles and time must grow no faster than the rows."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialweave.functions import stats
+from trialweave.functions import digests, stats
 from trialweave.operators import blocked, learners, ordered, quality, sampling, summaries, timeseries
 from trialweave.session import compiled
 
@@ -81,6 +82,29 @@ def test_draws_add_up_rows_without_sorting_them(spark):
     assert sorted(map(str, sampling.sample_one(df, ["cell"], 7, ["trial"], "v", 4).collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("chunk", [7, 1 << 17])
+def test_many_draws_read_the_rows_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(sampling, "CHUNK", chunk, raising=False)
+    rows = [(n % 3 or None, "ab"[n % 2], n % 50 if n % 9 else None, float(n % 5) if n % 7 else None) for n in range(300)]
+    df = spark.createDataFrame(rows, "cell int, side string, trial int, v double").withColumn("text", F.format_string("%.1f", "v"))
+    df = df.withColumn("text", F.when(F.col("trial") % 4 > 0, F.concat("text", F.repeat(F.lit("-"), 60))).otherwise(F.col("text")))
+    got = sampling.first_by_key(df, ["cell", "side"], 5, ["trial", "text"], ["trial", "v"], 20)
+    assert "Generate" not in plan(got) and plan(got).count("Scan") == 1  # no row for each draw
+    want = sampling.per_permutation(df, 20, "draw").withColumn("_key", sampling.seeded_key(5, "draw", "trial", "text"))
+    want = want.groupBy("draw", "cell", "side").agg(F.min(F.struct("_key", "trial", "v")).alias("first"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() == 120
+    assert sampling.first_by_key(df.limit(0), ["cell"], 5, ["trial"], ["trial"], 20).count() == 0
+
+
+def test_heads_are_those_of_the_library():
+    texts = [bytes((n * k) % 251 for k in range(n)) for n in [*range(140), 3, 3, 900]]
+    prefixes = [b"5|1", b"5|10", b"5|100", b"", b"x" * 71]
+    sizes = np.array([len(t) for t in texts])
+    found = digests.md5_heads(prefixes, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    got = {(p, int(r)): int(h) for p, rows, heads in found for r, h in zip(rows, heads)}
+    assert got == {(p, r): int(hashlib.md5(a + t).hexdigest()[:8], 16) for p, a in enumerate(prefixes) for r, t in enumerate(texts)}
+
+
 def test_rounding_equals_decimal_rounding(spark):
     rng = np.random.default_rng(2)
     values = [0.0, -0.0, 0.5e-6, -0.5e-6, 1.5e-6, 2.0000005, -2.0000005, 1e11 + 0.3, 3.7e15, 1e300, float("inf"), float("nan"), None, *map(float, rng.normal(0, 100, 500))]

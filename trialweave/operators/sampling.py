@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import md5_heads
 from ..functions.stats import seeded_chunk, seeded_key
 from ..session import durable
-from .ordered import FEW_ROWS, number_rows
+from .ordered import number_rows
 
 
 def per_permutation(df: DataFrame, count: int, out: str = "perm", first: int = 1) -> DataFrame:
@@ -85,26 +86,86 @@ def permute_conditions(conditions: DataFrame, keys: list[str], index: str, count
 
 
 SPREAD = 16  # draws from which on the rows are dealt evenly to all tasks before they are keyed
+CHUNK = 1 << 17  # rows whose draws a task decides together, at most
+CHUNK_BYTES = 1 << 25
+FOUND = 1 << 18  # rows found before they leave the task
 
 
 def first_by_key(df: DataFrame, cell: list[str], seed: int, parts: list[str], order: list[str], draws: int) -> DataFrame:
     """(draw, cell, first): the least (_key, *order) of each cell and draw, ``_key`` being the seeded key of ``parts``.
 
-    The least leading 60 bits of the keys are found first, one number for each cell and draw, so that tasks add up rows
-    in place and neither sort nor send them; only rows that share those bits are compared whole.
+    Tasks read the rows once: the leading 32 bits of all their keys are computed in numpy, and of a chunk of rows only
+    those that hold the least bits of a cell and draw leave it. Whole keys are computed and compared for these alone.
     """
+    slim = df.select(*dict.fromkeys([*cell, *parts, *order]))
     if draws >= SPREAD:  # the keys cost far more than one shuffle of the rows, which may lie in a single file
-        slim = df.select(*dict.fromkeys([*cell, *parts, *order]))
-        df = slim.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
-    keyed = per_permutation(df, draws, "draw").withColumn("_key", seeded_key(seed, "draw", *parts))
-    keyed = keyed.withColumn("_head", F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"))
-    by = ["draw", *cell]
-    least = durable(keyed.groupBy(*by).agg(F.min("_head").alias("_least")).select("_least", *[F.col(c).alias(f"_of_{c}") for c in by]))
-    on = F.col("_head") == F.col("_least")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    near = keyed.join(F.broadcast(least) if least.count() <= FEW_ROWS else least, on)
-    return near.groupBy(*by).agg(F.min(F.struct("_key", *order)).alias("first"))
+        slim = slim.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    tail = F.concat(F.lit(""), *[F.coalesce(F.concat(F.lit("|"), F.col(p).cast("string")), F.lit("")) for p in parts])
+    slim = slim.select(*dict.fromkeys([*cell, *order]), tail.alias("_tail"))
+    prefixes = [f"{seed}|{draw}".encode() for draw in range(1, draws + 1)]
+
+    def least(batches):
+        import pyarrow as pa
+
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held, rows, size = [*held, batch], rows + batch.num_rows, size + batch.nbytes
+            if rows >= CHUNK or size >= CHUNK_BYTES:
+                yield from _least_heads(pa.Table.from_batches(held), cell, prefixes)
+                held, rows, size = [], 0, 0
+        if rows:
+            yield from _least_heads(pa.Table.from_batches(held), cell, prefixes)
+
+    schema = df.sparkSession.createDataFrame([], "draw int").join(slim.limit(0), F.lit(True)).schema
+    near = slim.mapInArrow(least, schema)
+    near = near.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string"), "_tail")))
+    return near.groupBy("draw", *cell).agg(F.min(F.struct("_key", *order)).alias("first"))
+
+
+def _least_heads(table, cell: list[str], prefixes: list[bytes]):
+    """Rows of ``table`` with the numbers of the draws in which no row of their cell has a lesser head, and a few more."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = table.combine_chunks()
+    codes = np.zeros(table.num_rows, np.int64)
+    for c in cell:
+        own = pa.chunked_array(table[c].chunks, table[c].type).dictionary_encode("encode").combine_chunks()
+        own = (own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy().astype(np.int64)
+        codes = np.unique(codes * (int(own.max()) + 1) + own, return_inverse=True)[1]
+    by = np.argsort(codes, kind="stable")
+    codes = codes[by]
+    tails = table["_tail"].cast(pa.large_binary()).combine_chunks()
+    tails = tails.chunk(0) if isinstance(tails, pa.ChunkedArray) else tails
+    starts = np.frombuffer(tails.buffers()[1], np.int64)[tails.offset : tails.offset + len(tails) + 1]
+    data = np.frombuffer(tails.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(starts)
+
+    def found(hits):
+        draw, cells, heads, rows = (np.concatenate(x) for x in zip(*hits))
+        at = draw * (int(codes[-1]) + 1) + cells
+        place = np.lexsort((heads, at))
+        first = np.flatnonzero(np.r_[True, np.diff(at[place]) > 0])
+        best = np.repeat(heads[place][first], np.diff(np.r_[first, len(place)]))
+        kept = place[heads[place] == best]
+        for part in range(0, len(kept), CHUNK):
+            own = kept[part : part + CHUNK]
+            out = table.take(pa.array(by[rows[own]]))
+            yield from out.add_column(0, "draw", pa.array((draw[own] + 1).astype(np.int32))).combine_chunks().to_batches()
+
+    hits, count = [], 0
+    for draw, rows, heads in md5_heads(prefixes, data, starts[:-1][by], sizes[by]):
+        cells = codes[rows]
+        edges = np.flatnonzero(np.r_[True, np.diff(cells) > 0])
+        best = np.repeat(np.minimum.reduceat(heads, edges), np.diff(np.r_[edges, len(rows)]))
+        hit = np.flatnonzero(heads == best)
+        hits.append((np.full(len(hit), draw), cells[hit], heads[hit], rows[hit]))
+        count += len(hit)
+        if count >= FOUND:
+            yield from found(hits)
+            hits, count = [], 0
+    if hits:
+        yield from found(hits)
 
 
 def sample_one(df: DataFrame, cell: list[str], seed: int, parts: list[str], value: str, draws: int) -> DataFrame:
