@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import digests, stats
 from trialweave.operators import blocked, learners, ordered, quality, sampling, summaries, timeseries
+from trialweave.plans import rows as plans_rows
+from trialweave.plans.registry import SQL
 from trialweave.session import compiled
 
 
@@ -105,6 +107,16 @@ def test_heads_are_those_of_the_library():
     assert got == {(p, r): int(hashlib.md5(a + t).hexdigest()[:8], 16) for p, a in enumerate(prefixes) for r, t in enumerate(texts)}
 
 
+def test_one_value_of_each_cell_in_a_hundred_profiles(spark, tmp_path):
+    rows = [(n, n % 40, n % 15, "NA"[n % 2], "F", n % 11 / 100.0, 1.0) for n in range(400)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_discount double, l_quantity double")
+    df.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = plans_rows.sample_one_per_cell(spark, str(tmp_path))
+    per = got.groupBy("subject", "item", "context").agg(F.count("*").alias("n"), F.count_distinct("draw").alias("d")).collect()
+    assert len(per) == df.select(F.col("l_suppkey") % 5, F.col("l_partkey") % 5, "l_returnflag").distinct().count()
+    assert {(r.n, r.d) for r in per} == {(100, 100)} and "range(1, 101)" in SQL["sample_one_per_cell"]
+
+
 def test_rounding_equals_decimal_rounding(spark):
     rng = np.random.default_rng(2)
     values = [0.0, -0.0, 0.5e-6, -0.5e-6, 1.5e-6, 2.0000005, -2.0000005, 1e11 + 0.3, 3.7e15, 1e300, float("inf"), float("nan"), None, *map(float, rng.normal(0, 100, 500))]

@@ -327,16 +327,19 @@ def distinct_canonical(spark, sf):
     return bits.groupBy("bits").agg(F.min("attempt").alias("attempt"))
 
 
+PROFILES = 100  # of the original work
+
+
 @query(
     "sample_one_per_cell",
     f"""WITH {V.RATINGS}, d AS (SELECT subject, item, context, m2, range AS draw, md5(concat_ws('|', '7', 'draw', subject, trial)) AS k0, trial,
- md5(concat_ws('|', '7', range, trial, printf('%.1f', m2))) AS key FROM ratings, range(1, 6))
+ md5(concat_ws('|', '7', range, trial, printf('%.1f', m2))) AS key FROM ratings, range(1, {PROFILES + 1}))
 SELECT CAST(draw AS INT) AS draw, subject, item, context, {rnd('m2', 'value')} FROM d
 QUALIFY row_number() OVER (PARTITION BY draw, subject, item, context ORDER BY key, trial, m2) = 1""",
 )
-def sample_one_per_cell(spark, sf):
+def sample_one_per_cell(spark, sf, draws=PROFILES):
     rated = V.ratings(spark, sf).withColumn("text", F.format_string("%.1f", "m2"))
-    first = sampling.first_by_key(rated, ["subject", "item", "context"], 7, ["trial", "text"], ["trial", "m2"], 5)
+    first = sampling.first_by_key(rated, ["subject", "item", "context"], 7, ["trial", "text"], ["trial", "m2"], draws)
     return first.select("draw", "subject", "item", "context", r6("first.m2").alias("value"))
 
 
