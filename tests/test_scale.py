@@ -107,6 +107,26 @@ def test_heads_are_those_of_the_library():
     assert got == {(p, r): int(hashlib.md5(a + t).hexdigest()[:8], 16) for p, a in enumerate(prefixes) for r, t in enumerate(texts)}
 
 
+def test_permuted_labels_are_never_broadcast(spark, monkeypatch):
+    rows = [(n % 3 or None, n // 2 if n % 5 else None, n * 7 % 11) for n in range(60)] + [(1, 400 + n, n % 4) for n in range(70)]
+    df = spark.createDataFrame(rows, "run int, unit long, item int").where("unit IS NULL OR unit % 2 = 1 OR unit > 399").dropDuplicates(["run", "unit"])
+    inside = sampling.permute_within(df, ["run"], "unit", "item", 70)
+    assert "Join" not in plan(inside)  # the units of a block meet their labels in one task
+    monkeypatch.setattr(sampling, "BLOCK", 0)
+    merged = sampling.permute_within(df, ["run"], "unit", "item", 70)
+    assert plan(merged).split("Join")[0].endswith("SortMerge")
+    assert sorted(map(str, inside.collect())) == sorted(map(str, merged.collect())) and inside.columns == merged.columns
+
+
+def test_labels_travel_as_few_bytes(spark):
+    """Labels of any spread come back as they went, in the order of permutation and unit."""
+    for spread in (1, 300, 70_000, 1 << 40):
+        labels = spark.createDataFrame([(p, u, (u * p % 5 - 2) * spread) for p in range(3) for u in range(7)], "perm int, u long, c long").withColumn("k", F.lit(0))
+        row = labels.groupBy("k").applyInArrow(blocked._packed_labels(["k"], "u"), "k int, labels struct<perm: array<int>, times: array<int>, least: bigint, form: string, c: binary>").first()["labels"]
+        assert row["perm"] == [0, 1, 2] and row["times"] == [7, 7, 7]
+        assert (np.frombuffer(row["c"], row["form"]).astype(np.int64) + row["least"]).tolist() == [(u * p % 5 - 2) * spread for p in range(3) for u in range(7)]
+
+
 def test_one_value_of_each_cell_in_a_hundred_profiles(spark, tmp_path):
     rows = [(n, n % 40, n % 15, "NA"[n % 2], "F", n % 11 / 100.0, 1.0) for n in range(400)]
     df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_discount double, l_quantity double")

@@ -65,32 +65,42 @@ def _block(state: list, added: list) -> list:
     return [np.add(x, y, out=x) for x, y in zip((a, b, c, d), state)]
 
 
-def md5_heads(prefixes: list[bytes], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of a prefix, rows, heads): the first 32 bits of the digests of each prefix with each tail, in passes.
-
-    Tail ``n`` is ``data[starts[n] : starts[n] + sizes[n]]``. Heads order as the first eight hex digits do. The rows of
-    a pass are consecutive where all texts fill the same number of blocks.
-    """
-    lengths = sorted({len(p) for p in prefixes})
-    for length in lengths:
+def _states(prefixes: list[bytes], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, list]]:
+    """(number of a prefix, rows, four words of the digests) of each prefix with each tail, in passes."""
+    for length in sorted({len(p) for p in prefixes}):
         need = (length + sizes + 72) // 64
-        for blocks in np.unique(need):
+        for blocks in map(int, np.unique(need)):
             wanted = np.flatnonzero(need == blocks)
             for at in range(0, len(wanted), LANES):
                 rows = wanted[at : at + LANES]
-                words = _packed(data, starts[rows], sizes[rows], length, int(blocks))
-                touched = -(-length // 4)
-                plain = [_added(words[16 * k : 16 * k + 16]) for k in range(int(blocks))]
+                words = _packed(data, starts[rows], sizes[rows], length, blocks)
+                plain = [_added(words[16 * k : 16 * k + 16]) for k in range(blocks)]
                 for number, prefix in enumerate(prefixes):
                     if len(prefix) != length:
                         continue
-                    front = np.frombuffer(prefix.ljust(4 * touched, b"\0"), "<u4")
+                    front = np.frombuffer(prefix.ljust(-(-length // 4) * 4, b"\0"), "<u4")
                     state = [np.full(len(rows), s, np.uint32) for s in START]
-                    for k in range(int(blocks)):
-                        own = front[16 * k : 16 * k + 16]
-                        added = plain[k]
-                        if len(own):
-                            mixed = {j: words[16 * k + j] | w for j, w in enumerate(own)}
-                            added = [mixed[WORD[i]] + np.uint32(SINES[i]) if WORD[i] in mixed else x for i, x in enumerate(added)]
+                    for k in range(blocks):
+                        mixed = {j: words[16 * k + j] | w for j, w in enumerate(front[16 * k : 16 * k + 16])}
+                        added = [mixed[WORD[i]] + np.uint32(SINES[i]) if WORD[i] in mixed else x for i, x in enumerate(plain[k])]
                         state = _block(state, added)
-                    yield number, rows, state[0].byteswap()
+                    yield number, rows, state
+
+
+def md5_heads(prefixes: list[bytes], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of a prefix, rows, heads): the first 32 bits of the digests of each prefix with each tail, in passes.
+
+    Tail ``n`` is ``data[starts[n] : starts[n] + sizes[n]]``. Heads order as the first eight hex digits do. The rows of
+    a pass rise.
+    """
+    for number, rows, state in _states(prefixes, data, starts, sizes):
+        yield number, rows, state[0].byteswap()
+
+
+def md5_order(prefixes: list[bytes], data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(prefixes, rows): the tails in the order of their digests behind each prefix; equal digests stay in their order."""
+    halves = np.empty((2, len(prefixes), len(sizes)), np.uint64)
+    for number, rows, state in _states(prefixes, data, starts, sizes):
+        a, b, c, d = (x.byteswap().astype(np.uint64) for x in state)
+        halves[0, number, rows], halves[1, number, rows] = a << np.uint64(32) | b, c << np.uint64(32) | d
+    return np.stack([np.lexsort((low, high)) for high, low in zip(*halves)])

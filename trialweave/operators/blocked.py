@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..session import durable
+from .ordered import FEW_ROWS
 from .patterns import DIGITS, centre_blocks
 
 CELLS = 1 << 21  # numbers of a matrix in a task, about 16 MB
@@ -47,6 +48,27 @@ def _chunked(units: DataFrame, unit: str, by: list[str], size: int) -> DataFrame
     return units.join(counts, by).withColumn("_chunk", F.pmod(F.xxhash64(unit), F.col("_chunks"))).drop("_chunks")
 
 
+def _packed_labels(keys: list[str], unit: str):
+    """Labels of a group of permutations, in the order of permutation and unit, as a few bytes each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("perm", "ascending"), (unit, "ascending"), ("c", "ascending")]))
+        if table["c"].null_count:
+            raise ValueError("a label is missing")
+        c, (perm, times) = table["c"].to_numpy(), np.unique(table["perm"].to_numpy(), return_counts=True)
+        least, most = int(c.min()), int(c.max())
+        form = next((f for f, size in (("u1", 8), ("<u2", 16), ("<u4", 32)) if most - least < 1 << size), "<i8")
+        least = 0 if form == "<i8" else least
+        row = {"perm": perm.tolist(), "times": times.tolist(), "least": least, "form": form, "c": (c - least).astype(form).tobytes()}
+        kind = pa.struct([("perm", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("least", pa.int64()), ("form", pa.string()), ("c", pa.binary())])
+        return table.slice(0, 1).select(keys).append_column("labels", pa.array([row], kind))
+
+    return pack
+
+
 def permuted_scores(
     units: DataFrame, unit: str, block: str, label: str, vec: str, places: DataFrame, key: str, labels: DataFrame, width: int, min_features: int = 1,
     keys: list[str] | None = None, source: str | None = None,
@@ -81,12 +103,16 @@ def permuted_scores(
     raw = durable(vectors.sum_vectors(units, by, vec, "_s", "_n", width))
     means = raw.select(*by, vectors.divide("_s", "_n").alias("block_mean"))
     moved = durable(_chunked(centre_blocks(units.select(unit, *by, "_g", vec), means, by, vec), unit, by, chunk))
-    packed = moved.groupBy(*by, "_chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(vec).alias("x"), F.col("_g").alias("g")))).alias("rows"))
-    named = labels.select("perm", unit, F.col("permuted").cast("bigint").alias("c")).join(moved.select(unit, *by, "_chunk"), unit)
-    named = named.groupBy(*by, "_chunk", F.floor(F.col("perm") / perms).cast("bigint").alias("_block"))
-    named = named.agg(F.array_sort(F.collect_list(F.struct("perm", F.col(unit).alias("u"), "c"))).alias("labels"))
+    rows = moved.groupBy(*by, "_chunk").agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(vec).alias("x"), F.col("_g").alias("g")))).alias("rows"))
+    places_of = moved.select(unit, *by, "_chunk")
+    # Labels are many short rows, which compress to a small file: only the units may be broadcast, and counted first.
+    named = labels.select("perm", unit, F.col("permuted").cast("bigint").alias("c"))
+    named = named.join(F.broadcast(places_of) if places_of.count() <= FEW_ROWS else places_of.hint("merge"), unit)
+    named = named.withColumn("_block", F.floor(F.col("perm") / perms).cast("bigint"))
+    kind = ", ".join(f"{name} {units.schema[name].dataType.simpleString()}" for name in by)
+    named = named.groupBy(*by, "_chunk", "_block").applyInArrow(_packed_labels([*by, "_chunk", "_block"], unit), f"{kind}, _chunk bigint, _block bigint, labels struct<perm: array<int>, times: array<int>, least: bigint, form: string, c: binary>")
     forms = labels.select(F.col("permuted").cast("bigint").alias("c")).distinct().agg(F.array_sort(F.collect_list("c")).alias("classes"))
-    met = packed.join(named, [*by, "_chunk"]).join(forms, F.lit(True)).join(groups, F.lit(True))  # one row of classes, one of sources
+    met = rows.join(named, [*by, "_chunk"]).join(forms, F.lit(True)).join(groups, F.lit(True))  # one row of classes, one of sources
     met = durable(met)
 
     def matrices(one) -> tuple:
@@ -94,8 +120,10 @@ def permuted_scores(
         x = np.stack([np.asarray(r["x"], float) for r in one["rows"]])
         if x.shape[1] != width or not np.isfinite(x).all():
             raise ValueError(f"a vector is not of width {width} or misses an element")
-        perm = np.array([r["perm"] for r in one["labels"]]).reshape(-1, len(x))
-        c = np.searchsorted(np.asarray(one["classes"]), np.array([r["c"] for r in one["labels"]])).reshape(perm.shape)
+        drawn = one["labels"]
+        perm = np.repeat(drawn["perm"], drawn["times"]).reshape(-1, len(x))
+        c = np.frombuffer(drawn["c"], drawn["form"]).astype(np.int64) + drawn["least"]
+        c = np.searchsorted(np.asarray(one["classes"]), c).reshape(perm.shape)
         g = np.searchsorted(np.asarray(one["groups"]), np.array([r["g"] for r in one["rows"]]))
         return x, c, g, perm[:, 0]
 
@@ -113,7 +141,6 @@ def permuted_scores(
             "s": [total[:, :, t : t + TILE].ravel() for t in tiles], "n": [count.ravel()] * len(tiles),
         })
 
-    kind = ", ".join(f"{name} {units.schema[name].dataType.simpleString()}" for name in by)
     cube = met.groupBy(*by, "_chunk", "_block").applyInPandas(sums, f"{kind}, _block bigint, _tile int, s array<double>, n array<bigint>")
 
     def held_out(group: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.digests import md5_heads
+from ..functions.digests import md5_heads, md5_order
 from ..functions.stats import seeded_chunk, seeded_key
 from ..session import durable
 from .ordered import number_rows
@@ -24,19 +24,64 @@ def seeded_rank(df: DataFrame, keys: list[str], seed: int, parts: list[str], ids
     return number_rows(keyed, keys, seeded_chunk("_key"), ["_key", *ids], out).drop("_key")
 
 
+BLOCK = 1 << 18  # units of a block that one task shuffles, at most
+DRAWN = 1 << 21  # labels that a task draws at a time
+
+
 def permute_within(
     df: DataFrame, blocks: list[str], unit: str, label: str, count: int, seed: int = 1, out: str = "permuted",
     chunk_width: int = 65536,
 ) -> DataFrame:
     """(perm, blocks, unit, permuted): labels shuffled inside each block, counts kept.
 
-    The unit at place r of its block takes the label of the unit at random place r.
+    The unit at place r of its block takes the label of the unit at random place r. Where no block holds more than
+    BLOCK units, a task orders the units of one block for some permutations, so that units are sent once for these and
+    never once for each permutation. Larger blocks are ranked by chunks; their drawn rows are merged, never broadcast.
     """
     base = df.select(*blocks, unit, label)
+    most = base.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= BLOCK:
+        return _permuted_blocks(base, blocks, unit, label, count, seed, out, max(1, min(64, DRAWN // max(1, most))))
     placed = number_rows(base.select(*blocks, unit), blocks, F.expr(f"{unit} div {chunk_width}"), [unit], "_place")
     drawn = seeded_rank(per_permutation(base, count), [*blocks, "perm"], seed, ["perm", unit], [unit], "_place")
     drawn = drawn.select("perm", *blocks, "_place", F.col(label).alias(out))
-    return placed.join(drawn, [*blocks, "_place"]).select("perm", *blocks, unit, out)
+    return placed.join(drawn.hint("merge"), [*blocks, "_place"]).select("perm", *blocks, unit, out)
+
+
+def _permuted_blocks(base: DataFrame, blocks: list[str], unit: str, label: str, count: int, seed: int, out: str, draws: int) -> DataFrame:
+    """``permute_within``: ``draws`` permutations of a block in one group of rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in blocks:
+        base = base.where(F.col(b).isNotNull())
+    schema = base.select(F.lit(1).alias("perm"), *blocks, unit, F.col(label).alias(out)).schema
+    sent = base.select(
+        *blocks, unit, F.col(label).alias("_label"), F.coalesce(F.concat(F.lit("|"), F.col(unit).cast("string")), F.lit("")).alias("_tail"),
+        F.explode(F.sequence(F.lit(1), F.lit(count), F.lit(draws))).alias("_first"))
+    sent = sent.repartition(4 * base.sparkSession.sparkContext.defaultParallelism, *blocks, "_first")  # few bytes make many rows
+
+    def shuffle(table: pa.Table) -> pa.Table:
+        first = table["_first"][0].as_py()
+        table = table.take(pc.sort_indices(table, sort_keys=[(unit, "ascending")], null_placement="at_start"))
+        perms = np.arange(first, min(first + draws, count + 1), dtype=np.int32)
+        order = md5_order([f"{seed}|{p}".encode() for p in perms], *_bytes_of(table["_tail"]))
+        own = table.select([*blocks, unit]).take(pa.array(np.tile(np.arange(table.num_rows), len(perms))))
+        own = own.add_column(0, "perm", pa.array(np.repeat(perms, table.num_rows)))
+        return own.append_column(out, table["_label"].take(pa.array(order.ravel())))
+
+    return sent.groupBy(*blocks, "_first").applyInArrow(shuffle, schema)
+
+
+def _bytes_of(texts) -> tuple:
+    """(data, starts, sizes) of an Arrow column of texts without missing ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in texts.chunks])
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2] or b"", np.uint8), ends[:-1], np.diff(ends)
 
 
 def permute_until_valid(
@@ -116,8 +161,7 @@ def first_by_key(df: DataFrame, cell: list[str], seed: int, parts: list[str], or
         if rows:
             yield from _least_heads(pa.Table.from_batches(held), cell, prefixes)
 
-    schema = df.sparkSession.createDataFrame([], "draw int").join(slim.limit(0), F.lit(True)).schema
-    near = slim.mapInArrow(least, schema)
+    near = slim.mapInArrow(least, slim.select(F.lit(1).alias("draw"), "*").schema)
     near = near.withColumn("_key", F.md5(F.concat(F.lit(f"{seed}|"), F.col("draw").cast("string"), "_tail")))
     return near.groupBy("draw", *cell).agg(F.min(F.struct("_key", *order)).alias("first"))
 
@@ -130,16 +174,11 @@ def _least_heads(table, cell: list[str], prefixes: list[bytes]):
     table = table.combine_chunks()
     codes = np.zeros(table.num_rows, np.int64)
     for c in cell:
-        own = pa.chunked_array(table[c].chunks, table[c].type).dictionary_encode("encode").combine_chunks()
-        own = (own.chunk(0) if isinstance(own, pa.ChunkedArray) else own).indices.to_numpy().astype(np.int64)
+        own = pa.concat_arrays(table[c].chunks).dictionary_encode("encode").indices.to_numpy().astype(np.int64)
         codes = np.unique(codes * (int(own.max()) + 1) + own, return_inverse=True)[1]
     by = np.argsort(codes, kind="stable")
     codes = codes[by]
-    tails = table["_tail"].cast(pa.large_binary()).combine_chunks()
-    tails = tails.chunk(0) if isinstance(tails, pa.ChunkedArray) else tails
-    starts = np.frombuffer(tails.buffers()[1], np.int64)[tails.offset : tails.offset + len(tails) + 1]
-    data = np.frombuffer(tails.buffers()[2] or b"", np.uint8)
-    sizes = np.diff(starts)
+    data, starts, sizes = _bytes_of(table["_tail"])
 
     def found(hits):
         draw, cells, heads, rows = (np.concatenate(x) for x in zip(*hits))
@@ -154,7 +193,7 @@ def _least_heads(table, cell: list[str], prefixes: list[bytes]):
             yield from out.add_column(0, "draw", pa.array((draw[own] + 1).astype(np.int32))).combine_chunks().to_batches()
 
     hits, count = [], 0
-    for draw, rows, heads in md5_heads(prefixes, data, starts[:-1][by], sizes[by]):
+    for draw, rows, heads in md5_heads(prefixes, data, starts[by], sizes[by]):
         cells = codes[rows]
         edges = np.flatnonzero(np.r_[True, np.diff(cells) > 0])
         best = np.repeat(np.minimum.reduceat(heads, edges), np.diff(np.r_[edges, len(rows)]))

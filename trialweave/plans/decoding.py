@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..functions.stats import r6
 from ..operators import blocked, inference, learners, patterns, responses, sampling, selection, spatial, splithalf, summaries, transfer
-from ..session import durable
+from ..session import durable, packed
 from ..sources import views as V
 from . import sqlparts as S
 from .registry import query, rnd
@@ -164,7 +164,7 @@ def labels_with_observed(u, label: str, blocks: list[str], count: int):
     """Permutation 0 is the observed labelling, so one pass scores everything."""
     drawn = sampling.permute_within(u, blocks, "unit", label, count)
     own = u.select(F.lit(0).alias("perm"), "unit", F.col(label).alias("permuted"))
-    return durable(drawn.select("perm", "unit", "permuted").unionByName(own))
+    return packed(drawn.select("perm", "unit", "permuted").unionByName(own))
 
 
 def perm_cte(src: str, label: str, blocks: list[str], count: int) -> str:
