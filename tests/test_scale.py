@@ -3,15 +3,19 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
 from trialweave.functions import digests, stats
 from trialweave.operators import blocked, learners, ordered, quality, sampling, summaries, timeseries
 from trialweave.plans import rows as plans_rows
+from trialweave.plans import series
 from trialweave.plans.registry import SQL
 from trialweave.session import compiled
+from trialweave.sources import views
 
 
 def plan(df):
@@ -137,6 +141,41 @@ def test_one_value_of_each_cell_in_a_hundred_profiles(spark, tmp_path):
     assert {(r.n, r.d) for r in per} == {(100, 100)} and "range(1, 101)" in SQL["sample_one_per_cell"]
 
 
+@pytest.mark.parametrize("few", [0, 400_000])
+def test_nuisance_table_numbers_frames_once_and_sends_no_wide_table(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW_ROWS", few)
+    rows = [(n * 7 % 400, n % 31, n % 4, n % 7, float(n * n % 50), 5e6 if n % 90 == 7 else float(n * 37 % 9000), n % 11 / 100.0, n % 9 / 100.0) for n in range(400)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    df.withColumns({"l_shipdate": F.lit("x"), "l_returnflag": F.lit("N"), "l_linestatus": F.lit("F")}).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = series.nuisance_table(spark, str(tmp_path))
+    text = plan(got)
+    assert "lineitem" not in text  # read from the written frames, not numbered a second time
+    assert not [line for line in text.split("\n") if "Exchange" in line and "sq_" in line]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = con.execute(SQL["nuisance_table"]).df()
+    assert compare(got.toPandas(), want) is None and want.spike.notna().any()
+
+
+def test_changes_of_the_numbering_pass_equal_differences(spark, tmp_path, monkeypatch):
+    """Over chunks of few orders, with missing values, missing runs, and rows that come twice."""
+    monkeypatch.setattr(views, "ORDER_CHUNK", 16)
+    rows = [(n * 7 % 90 if n % 17 else None, n % 31, n % 4 or None, n % 3, float(n * n % 50) if n % 6 else None, float(n * 37 % 9000), n % 11 / 100.0, n % 9 / 100.0) for n in range(200)]
+    df = spark.createDataFrame([*rows, *rows[:40]], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    df.withColumns({"l_shipdate": F.lit("x"), "l_returnflag": F.lit("N"), "l_linestatus": F.lit("F")}).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = timeseries.differences(views.frames(spark, str(tmp_path)), ["run"], "frame", views.MOTION, views.frame_chunk())
+    got = views.frames(spark, str(tmp_path), changes=True)
+    assert got.columns == want.columns and got.count() == 240
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_changes_that_are_there_are_kept(frames):
+    once = timeseries.differences(frames, ["run"], "frame", ["v"], F.expr("frame div 6"))
+    again = timeseries.differences(once, ["run"], "frame", ["v"], F.expr("frame div 6"))
+    assert again.columns == once.columns == ["run", "frame", "v", "w", "d_v"]
+    assert "d_w" in timeseries.differences(once, ["run"], "frame", ["v", "w"], F.expr("frame div 6")).columns
+
+
 def test_rounding_equals_decimal_rounding(spark):
     rng = np.random.default_rng(2)
     values = [0.0, -0.0, 0.5e-6, -0.5e-6, 1.5e-6, 2.0000005, -2.0000005, 1e11 + 0.3, 3.7e15, 1e300, float("inf"), float("nan"), None, *map(float, rng.normal(0, 100, 500))]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import clamp, col, pearson
-from ..session import durable
+from ..session import durable, packed
 from .ordered import join_few, percentiles
 
 
@@ -48,7 +48,7 @@ def equal_weight_mean(df: DataFrame, levels: list[list[str]], value: str, out: s
 
 def robust_z(df: DataFrame, run: str, frame: str, value: str, out: str) -> DataFrame:
     """(x - median) / (1.4826 MAD) per run from frame 2 on; frame 1 is zero; a run without spread is an error."""
-    df = durable(df)  # read four times below
+    df = packed(df)  # read four times below
     later = df.where(F.col(frame) > 1)
     med = durable(percentiles(later, [run], value, {"_med": 0.5}))
     dev = join_few(later, med, [run]).withColumn("_dev", F.abs(F.col(value) - F.col("_med")))

@@ -16,7 +16,9 @@ from .ordered import following, number_rows, percentiles, previous, running_sum,
 
 
 def differences(df: DataFrame, keys: list[str], frame: str, columns: list[str], chunk, prefix: str = "d_") -> DataFrame:
-    """Change from the previous frame; the first frame of a run gets zero."""
+    """Change from the previous frame; the first frame of a run gets zero. Changes that are there already are kept."""
+    if {f"{prefix}{c}" for c in columns} <= set(df.columns):
+        return df
     out = scan(df, keys, chunk, [frame], **{f"_prev_{c}": previous(c) for c in columns})
     return out.select(*df.columns, *[F.coalesce(F.col(c) - F.col(f"_prev_{c}"), F.lit(0.0)).alias(f"{prefix}{c}") for c in columns])
 
@@ -28,13 +30,13 @@ def framewise_displacement(df: DataFrame, keys: list[str], frame: str, motion: l
     return d.withColumn("fd", reduce(lambda a, b: a + b, parts)).drop(*[f"d_{c}" for c in motion])
 
 
-def motion24(df: DataFrame, keys: list[str], frame: str, motion: list[str], chunk) -> DataFrame:
-    """Parameters, changes, and the squares of both."""
+def motion24(df: DataFrame, keys: list[str], frame: str, motion: list[str], chunk, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parameters, changes, and the squares of both; other columns are left out but for those of ``keep``."""
     d = differences(df, keys, frame, motion, chunk)
     changes = [f"d_{c}" for c in motion]
     return d.select(
         *keys, frame, *motion, *changes,
-        *[(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in motion], *[(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in changes],
+        *[(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in motion], *[(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in changes], *keep,
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r6
 from ..operators import inference, ordered, quality, summaries, timeseries
+from ..session import packed
 from ..sources import views as V
 from .registry import query, rnd
 from .trials import QC, motion_qc
@@ -317,11 +318,13 @@ SELECT run, frame, {', '.join(rnd(c, c) for c in V.MOTION)}, {', '.join(rnd(f'd_
 FROM frames JOIN m USING (run, frame) LEFT JOIN b USING (run, frame)""",
 )
 def nuisance_table(spark, sf):
-    wide = timeseries.motion24(V.frames(spark, sf), ["run"], "frame", V.MOTION, V.frame_chunk())
+    # Frames are numbered and their changes taken in one pass, and written in compressed columns; of the 24 columns the
+    # squares are made last, so that no table of that width is written or sent.
+    f = packed(V.frames(spark, sf, changes=True).drop("signal"))
     bad = (F.col("fd") > 0.5) | (F.col("z") > 5)
-    spikes = timeseries.spike_columns(motion_qc(spark, sf), ["run"], "frame", bad, V.frame_chunk())
-    out = wide.join(spikes, ["run", "frame"], "left")
-    return out.select("run", "frame", *[r6(c).alias(c) for c in wide.columns if c not in ("run", "frame")], "spike")
+    spikes = timeseries.spike_columns(motion_qc(spark, sf, f), ["run"], "frame", bad, V.frame_chunk())
+    out = timeseries.motion24(ordered.join_few(f, spikes, ["run", "frame"], "left"), ["run"], "frame", V.MOTION, V.frame_chunk(), ("spike",))
+    return out.select("run", "frame", *[r6(c).alias(c) for c in out.columns if c not in ("run", "frame", "spike")], "spike")
 
 
 @query("design_diagnostics")

@@ -167,13 +167,13 @@ BAD = "bad AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-def motion_qc(spark, sf):
-    """(run, frame, fd, dvars, z) of every frame; displacement in tenths for this fixture."""
-    f = V.frames(spark, sf, stored=True)
+def motion_qc(spark, sf, f=None):
+    """(run, frame, fd, dvars, z) of every frame; displacement in tenths for this fixture. ``f``: frames written before."""
+    f = V.frames(spark, sf, stored=True) if f is None else f
     fd = timeseries.framewise_displacement(f, ["run"], "frame", V.MOTION, V.frame_chunk()).withColumn("fd", F.col("fd") / 10)
     d = quality.dvars(voxels(spark, sf, f), "run", "frame", "voxel", "val")
     z = summaries.robust_z(d, "run", "frame", "dvars", "z")
-    return fd.select("run", "frame", "fd").join(z, ["run", "frame"])
+    return fd.select("run", "frame", "fd").join(z.hint("merge"), ["run", "frame"])  # a row for each frame on either side
 
 
 @query("candidate_rules", f"WITH {QC}, {BAD} SELECT run, rule, count(*) AS n_frames, count(*) FILTER (WHERE bad) AS n_bad FROM bad GROUP BY 1, 2")

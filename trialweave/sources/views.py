@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import to_long
-from ..operators.ordered import number_rows
+from ..operators.ordered import number_rows, previous, row_number, scan
 from ..session import compiled, durable
 
 WIDTH = 64          # embedding width
@@ -88,30 +88,33 @@ RATINGS = """ratings AS (SELECT CAST(l_suppkey % 5 AS INT) AS subject, CAST(l_pa
 MOTION = ["p1", "p2", "p3", "p4", "p5", "p6"]
 
 
-def frames(spark, sf, stored: bool = False) -> DataFrame:
+def frames(spark, sf, stored: bool = False, changes: bool = False) -> DataFrame:
     """Six motion parameters per run and frame; frames are numbered along the order keys.
 
-    ``stored`` writes the numbered table once for pipelines that read it many times.
+    ``stored`` writes the numbered table once for pipelines that read it many times. ``changes`` adds the differences
+    from the frame before (zero in the first), found in the pass that numbers the frames.
     """
     li = table(spark, sf, "lineitem").drop("l_shipdate", "l_returnflag", "l_linestatus")
-    numbered = number_rows(
-        li, ["l_suppkey"], F.expr(f"l_orderkey div {ORDER_CHUNK}"), FRAME_ORDER, "frame"
-    )
-    q, e, d, t = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    chunk = F.expr(f"l_orderkey div {ORDER_CHUNK}")
+    measured = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    if changes:  # rows that tie in the order keys must lie alike in a chunk and in its summary
+        before = {f"_before_{c}": previous(c) for c in measured}
+        numbered = scan(li, ["l_suppkey"], chunk, [*FRAME_ORDER, *measured[2:]], frame=row_number(), **before)
+    else:
+        numbered = number_rows(li, ["l_suppkey"], chunk, FRAME_ORDER, "frame")
+    now = _motion(*(F.col(c) for c in measured))
+    delta = [F.coalesce(p - was, F.lit(0.0)) for p, was in zip(now, _motion(*(F.col(f"_before_{c}") for c in measured)))] if changes else []
     table_ = numbered.select(
-        F.col("l_suppkey").alias("run"),
-        "frame",
-        (q / 100).alias("p1"),
-        (e / 100000).alias("p2"),
-        d.alias("p3"),
-        (t / 100).alias("p4"),
-        ((d + t) / 100).alias("p5"),
-        ((q / 100 + d) / 100).alias("p6"),
-        q.alias("signal"),
+        F.col("l_suppkey").alias("run"), "frame", *[p.alias(c) for c, p in zip(MOTION, now)], F.col("l_quantity").alias("signal"),
+        *[d.alias(f"d_{c}") for c, d in zip(MOTION, delta)],
     )
     return durable(table_) if stored else table_
 
 
+def _motion(q: Column, e: Column, d: Column, t: Column) -> list[Column]:
+    return [q / 100, e / 100000, d, t / 100, (d + t) / 100, (q / 100 + d) / 100]
+
+
 FRAMES = """frames AS (SELECT l_suppkey AS run,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey,
     l_quantity, l_extendedprice) AS frame,
